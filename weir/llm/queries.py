@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from weir.llm import quality
+from weir.llm import mixing, quality
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
+    "op9_mixing": mixing.op9_mixing,
 }
 
 SQL = {
     "op1_quality": quality.OP1_SQL,
+    "op9_mixing": mixing.OP9_SQL,
 }
