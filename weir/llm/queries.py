@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from weir.llm import mixing, quality
+from weir.llm import mixing, pii, quality
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
+    "op5_pii": pii.op5_pii,
     "op9_mixing": mixing.op9_mixing,
 }
 
