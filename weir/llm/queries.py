@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from weir.llm import mixing, pii, quality
+from weir.llm import langid, mixing, pii, quality
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op5_pii": pii.op5_pii,
+    "op6_language": langid.op6_language,
     "op9_mixing": mixing.op9_mixing,
 }
 
