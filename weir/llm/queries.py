@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from weir.llm import langid, mixing, pii, quality
+from weir.llm import langid, mixing, pieces, pii, quality
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
     "op5_pii": pii.op5_pii,
     "op6_language": langid.op6_language,
     "op9_mixing": mixing.op9_mixing,
+    "op10_sentencepiece": pieces.op10_sentencepiece,
 }
 
 SQL = {
