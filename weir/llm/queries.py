@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from weir.llm import langid, mixing, pieces, pii, quality
+from weir.llm import chat, langid, mixing, pieces, pii, quality, urlfilter
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
+    "op4_urls": urlfilter.op4_urls,
     "op5_pii": pii.op5_pii,
     "op6_language": langid.op6_language,
+    "op7_chat": chat.op7_chat,
     "op9_mixing": mixing.op9_mixing,
     "op10_sentencepiece": pieces.op10_sentencepiece,
 }
 
 SQL = {
     "op1_quality": quality.OP1_SQL,
+    "op4_urls": urlfilter.OP4_SQL,
     "op9_mixing": mixing.OP9_SQL,
+    "op7_chat": chat.OP7_SQL,
 }
