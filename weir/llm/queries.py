@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from weir.llm import chat, langid, mixing, pieces, pii, quality, urlfilter
+from weir.llm import chat, htmltext, langid, mixing, pieces, pii, quality, urlfilter
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
+    "op3_html": htmltext.op3_html,
     "op4_urls": urlfilter.op4_urls,
     "op5_pii": pii.op5_pii,
     "op6_language": langid.op6_language,
