@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from weir.llm import chat, htmltext, langid, mixing, pieces, pii, quality, urlfilter
+from weir.llm import ann, chat, htmltext, langid, mixing, pieces, pii, quality, urlfilter
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_pii": pii.op5_pii,
     "op6_language": langid.op6_language,
     "op7_chat": chat.op7_chat,
+    "op8_neighbours": ann.op8_neighbours,
     "op9_mixing": mixing.op9_mixing,
     "op10_sentencepiece": pieces.op10_sentencepiece,
 }
