@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from weir.llm import ann, chat, htmltext, langid, mixing, pieces, pii, quality, urlfilter
+from weir.llm import ann, chat, htmltext, langid, mixing, neardup, pieces, pii, quality, urlfilter
 
 QUERIES = {
     "op1_quality": quality.op1_quality,
+    "op2_jaccard": neardup.op2_jaccard,
     "op3_html": htmltext.op3_html,
     "op4_urls": urlfilter.op4_urls,
     "op5_pii": pii.op5_pii,
