@@ -1,0 +1 @@
+"""Standing single-table queries over change streams, on Spark."""
