@@ -5,14 +5,15 @@ an n-gram among their first ``n - ceil(percent * n / 100) + 1``, in any order
 common to all documents.  The order is rare-first, by a count sketch of fixed
 size over all shingles, ties by hash.  Pairs that meet on a prefix n-gram pass
 a length filter, a positional filter and a suffix filter (a lower bound of the
-symmetric difference: the sets are dealt to ``8 * WORDS`` bytes of parity bits,
-each difference changes one bit at most) and are then verified once, exactly.
+symmetric difference: the sets are dealt to parity bits, ``64 * WORDS`` for
+every set and for a larger one about as many as it has members, and each
+difference changes one bit at most) and are then verified once, exactly.
 
 Documents with equal sets are one class; only classes are joined.  Within a
 prefix n-gram not all pairs are made:
 
-1. each class meets one pivot of its n-gram (another pivot for every n-gram);
-   the verified links give first components;
+1. each class meets up to ``PIVOTS`` pivots of its n-gram (other pivots for
+   every n-gram); the verified links give first components;
 2. what remains are pairs across components.  For each n-gram, the members
    outside its largest component meet the members of other components, and the
    filters are part of the join condition.
@@ -50,9 +51,10 @@ SKETCH = 1 << 20
 CHUNK = 1 << 14
 LEVELS = 4096
 WORDS = 8
+PIVOTS = 3
 BLOOM_BITS = 1 << 26
 
-FACTS = "row_key long, doc_id long, n int, s0 long, s1 long, parity array<long>, part int, chunk int, counts binary"
+FACTS = "row_key long, doc_id long, n int, s0 long, s1 long, parity array<long>, wide array<long>, part int, chunk int, counts binary"
 _SALTS = np.array([0x5851F42D4C957F2D, 0x14057B7EF767814F], np.uint64)
 
 
@@ -62,11 +64,22 @@ def _signature(s: np.ndarray) -> tuple[int, int]:
     return a - (1 << 64 if a >> 63 else 0), b - (1 << 64 if b >> 63 else 0)
 
 
-def _parity(s: np.ndarray) -> np.ndarray:
-    bits = np.bincount((s >> np.uint64(23)).astype(np.int64) & (64 * WORDS - 1), minlength=64 * WORDS) & 1
+def _parity(s: np.ndarray, words: int = WORDS) -> np.ndarray:
+    """Parities of the members dealt to ``64 * words`` bits (a power of two); halves fold onto each other by XOR."""
+    bits = np.bincount((s >> np.uint64(23)).astype(np.int64) & (64 * words - 1), minlength=64 * words) & 1
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
+def _wide(s: np.ndarray) -> list[int] | None:
+    """Parities of a set of more members than the short ones have bits."""
+    if len(s) <= 64 * WORDS:
+        return None
+    words = WORDS
+    while 64 * words < len(s):
+        words *= 2
+    return _parity(s, words).tolist()
+
+
 def _facts(width: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -89,6 +102,7 @@ def _facts(width: int):  # noqa: ANN202
                         pa.array([s[0] for s in sigs], pa.int64()),
                         pa.array([s[1] for s in sigs], pa.int64()),
                         lists(pa.int64(), [_parity(s) for s in sets]),
+                        pa.array([_wide(s) for s in sets], pa.list_(pa.int64())),
                         *[pa.nulls(n, t) for t in (pa.int32(), pa.int32(), pa.binary())],
                     ],
                     names=names,
@@ -97,7 +111,7 @@ def _facts(width: int):  # noqa: ANN202
         used = [c for c in range(SKETCH // CHUNK) if counts[c * CHUNK : (c + 1) * CHUNK].any()]
         if used:
             packed = [zlib.compress(counts[c * CHUNK : (c + 1) * CHUNK].astype(np.uint64).tobytes(), 1) for c in used]
-            none = [pa.nulls(len(used), t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()))]
+            none = [pa.nulls(len(used), t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([*none, pa.array([part] * len(used), pa.int32()), pa.array(used, pa.int32()), pa.array(packed, pa.binary())], names=names)
 
     return run
@@ -218,47 +232,66 @@ def _suffix(percent: int, na: Column, nb: Column, xa: Column, xb: Column) -> Col
     return (100 + percent) * (na + nb - apart) >= 2 * percent * (na + nb)
 
 
+def _wide_suffix(percent: int, na: Column, nb: Column, xa: Column, xb: Column) -> Column:
+    """The suffix filter on wide parities; their lengths are equal or, by the length filter, one fold apart."""
+
+    def fold(x: Column, size: Column) -> Column:
+        halves = F.zip_with(F.slice(x, 1, size), F.slice(x, size + 1, size), lambda a, b: a.bitwiseXOR(b))
+        return F.when(F.size(x) > size, halves).otherwise(x)
+
+    size = F.least(F.size(xa), F.size(xb))
+    apart = F.aggregate(F.zip_with(fold(xa, size), fold(xb, size), lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda t, x: t + x)
+    return F.coalesce((100 + percent) * (na + nb - apart) >= 2 * percent * (na + nb), F.lit(True))
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, class_id, component_id and the links of its class."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     facts = cut(rows.mapInArrow(_facts(width), FACTS))
-    own = facts.where("row_key IS NOT NULL").select("row_key", "doc_id", "n", "s0", "s1", "parity")
+    own = facts.where("row_key IS NOT NULL").select("row_key", "doc_id", "n", "s0", "s1", "parity", "wide")
     classes = cut(
         own.where("n > 0")
         .groupBy("s0", "s1")
-        .agg(F.min("row_key").alias("node"), F.min("doc_id").alias("rep_doc"), F.min("n").alias("n"), F.min("parity").alias("parity"))
+        .agg(F.min("row_key").alias("node"), F.min("doc_id").alias("rep_doc"), F.min("n").alias("n"), F.min("parity").alias("parity"), F.min("wide").alias("wide"))
     )
     levels = spark.sparkContext.broadcast(_levels(facts))  # SKETCH entries
     tokens = rows.select("text").mapInArrow(_prefixes(width, percent, levels), "s0 long, s1 long, tokens array<long>")
     posted = tokens.join(classes.select("s0", "s1", "node", "n"), ["s0", "s1"]).select("node", "n", F.posexplode("tokens").alias("pos", "token"))
     by_token = Window.partitionBy("token").orderBy(F.xxhash64("token", "node"), "node")
+    upto, own_row = by_token.rowsBetween(Window.unboundedPreceding, 0), F.struct("node", "n", "pos")
+    before = F.array(*[F.nth_value(own_row, k).over(upto) for k in range(1, PIVOTS + 1)])
     runs = cut(
         posted.select("token", "node", "n", "pos")
-        .withColumn("pivot", F.first(F.struct("node", "n", "pos")).over(by_token.rowsBetween(Window.unboundedPreceding, 0)))
+        .withColumn("pivots", before)
         .withColumn("next", F.lead("node").over(by_token))
-        .where((F.col("pivot.node") != F.col("node")) | (F.col("next") != F.col("node")))
-        .select("token", "node", "n", "pos", "pivot")
+        .where((F.col("pivots")[0]["node"] != F.col("node")) | (F.col("next") != F.col("node")))
+        .select("token", "node", "n", "pos", "pivots")
     )
 
     def filtered(pairs: DataFrame) -> DataFrame:
-        """Pairs (a, b) whose parities allow a link."""
-        side = lambda x: classes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("parity").alias(f"x_{x}"))
+        """Pairs (a, b) whose parities allow a link, with sizes and signatures."""
+        side = lambda x: classes.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("n", "s0", "s1", "parity", "wide")])
         joined = pairs.join(side("a"), "a").join(side("b"), "b")
-        return joined.where(_suffix(percent, F.col("n_a"), F.col("n_b"), F.col("x_a"), F.col("x_b"))).select("a", "b", "n_a", "n_b")
+        col = F.col
+        near = _suffix(percent, col("n_a"), col("n_b"), col("parity_a"), col("parity_b"))
+        near = F.when(near, _wide_suffix(percent, col("n_a"), col("n_b"), col("wide_a"), col("wide_b"))).otherwise(False)
+        return joined.where(near).select("a", "b", "n_a", "n_b", "s0_a", "s1_a", "s0_b", "s1_b")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """The links among pairs (a, b, n_a, n_b): sets are sent only of classes in pairs."""
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(classes.select("node", "s0", "s1", "rep_doc"), "node")
+        """The links among pairs: sets are sent only of classes in pairs, by signature."""
+        ends = pairs.select(F.explode(F.array(*[F.struct(F.col(x).alias("node"), F.col(f"s0_{x}").alias("s0"), F.col(f"s1_{x}").alias("s1")) for x in "ab"])).alias("e"))
+        wanted = ends.select("e.*").distinct().join(classes.select("node", "rep_doc"), "node")
         bloom = spark.sparkContext.broadcast(_bloom(wanted))  # BLOOM_BITS bits
         sets = rows.mapInArrow(_sets(width, bloom), "doc_id long, s0 long, s1 long, tokens array<long>")
-        sets = sets.join(classes.select("s0", "s1", "node", F.col("rep_doc")), ["s0", "s1"]).where(F.col("doc_id").eqNullSafe(F.col("rep_doc"))).select("node", "tokens")
-        side = lambda x: sets.select(F.col("node").alias(x), F.col("tokens").alias(f"t_{x}"))
+        side = lambda x: sets.select(F.col("s0").alias(f"s0_{x}"), F.col("s1").alias(f"s1_{x}"), F.col("tokens").alias(f"t_{x}"))
         common = F.size(F.array_intersect("t_a", "t_b"))
-        return pairs.join(side("b"), "b").join(side("a"), "a").where(100 * common >= percent * (F.col("n_a") + F.col("n_b") - common)).select("a", "b")
+        both = pairs.join(side("b"), ["s0_b", "s1_b"]).join(side("a"), ["s0_a", "s1_a"])
+        return both.where(100 * common >= percent * (F.col("n_a") + F.col("n_b") - common)).select("a", "b")
 
     pivot = F.col("pivot")
-    star = runs.where(pivot["node"] != F.col("node")).where(_may_link(percent, pivot["n"], F.col("n")) & _position(percent, pivot["n"], F.col("n"), pivot["pos"], F.col("pos")))
+    runs_by_pivot = runs.select("node", "n", "pos", F.explode("pivots").alias("pivot"))
+    star = runs_by_pivot.where(pivot["node"] != F.col("node")).where(_may_link(percent, pivot["n"], F.col("n")) & _position(percent, pivot["n"], F.col("n"), pivot["pos"], F.col("pos")))
     star = star.select(F.least(pivot["node"], F.col("node")).alias("a"), F.greatest(pivot["node"], F.col("node")).alias("b")).distinct()
     tested = cut(filtered(star))
     links = cut(verified(tested).distinct())
@@ -284,10 +317,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         & _position(percent, col("l_n"), col("r_n"), col("l_pos"), col("r_pos"))
         & _suffix(percent, col("l_n"), col("r_n"), col("l_parity"), col("r_parity"))
     )
-    rest = left.join(right, (left["token"] == right["token"]) & across).select(
-        F.least("l_node", "r_node").alias("a"), F.greatest("l_node", "r_node").alias("b"), F.when(col("l_node") < col("r_node"), col("l_n")).otherwise(col("r_n")).alias("n_a"), F.when(col("l_node") < col("r_node"), col("r_n")).otherwise(col("l_n")).alias("n_b")
-    )
-    rest = cut(rest.distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti"))
+    rest = left.join(right, (left["token"] == right["token"]) & across).select(F.least("l_node", "r_node").alias("a"), F.greatest("l_node", "r_node").alias("b"))
+    rest = cut(filtered(rest.distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")))
     if not rest.isEmpty():
         links = cut(links.union(verified(rest).distinct()))
         roots = components(links)
