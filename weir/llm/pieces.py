@@ -44,8 +44,10 @@ from weir.llm.langid import text_blocks
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 ALPHA = 1.0
 SEED = 11
-MAX_CACHED_UNITS = 400_000
+#: Units whose lattices a worker keeps; frequent ones come early.  Those of others last for one block.
+MAX_CACHED_UNITS = 200_000
 LONG_UNIT = 48
+WIDTH = 8
 SPELLED_COST = 12.0
 
 
@@ -56,18 +58,22 @@ class Vocabulary:
         self.texts, self.byte_ids = texts, byte_ids
         self.ids = {t: k for k, (t, ok) in enumerate(zip(texts, normal, strict=True)) if ok and t}
         self.scores = {k: scores[k] for k in self.ids.values()}
+        self.digest = hashlib.md5(repr((texts, scores, normal, sorted(byte_ids.items()))).encode("utf-8", "surrogatepass")).hexdigest()
         self.longest = max(map(len, self.ids), default=1)
         self.split = not any(re.search("[^ ] |[^\n]\n|\n[^\n]", t) for t in self.ids)
-        self.by_length: dict[int, tuple[np.ndarray, ...]] = {}
-        for n in {len(t) for t in self.ids}:
-            own = [t for t in self.ids if len(t) == n]
+        # per length all endings of pieces: sorted hashes, piece (-1: only an ending), spelling, score
+        self.by_length: list[tuple[np.ndarray, ...]] = []
+        for n in range(1, self.longest + 1):
+            own = sorted({t[-n:] for t in self.ids if len(t) >= n})
             spelled = np.frombuffer("".join(own).encode("utf-32-le"), np.uint32).reshape(-1, n)
             h = spelled[:, -1].astype(np.uint64)
             for j in range(2, n + 1):
                 h = h + spelled[:, -j].astype(np.uint64) * _ODD[j]
             order = np.argsort(h)
-            codes = np.array([self.ids[t] for t in own], np.int32)
-            self.by_length[n] = (h[order], codes[order], spelled[order], np.array([scores[k] for k in codes])[order])
+            if (np.diff(np.sort(h)) == 0).any():
+                raise ValueError("two endings of pieces share a hash")
+            codes = np.array([self.ids.get(t, -1) for t in own], np.int32)
+            self.by_length.append((h[order], codes[order], spelled[order], np.array([scores[k] if k >= 0 else -np.inf for k in codes])[order]))
         values = {i: bytes([b]) for b, i in byte_ids.items()}
         self.bytes = [values.get(k, t.encode() if k in self.scores else b"") for k, t in enumerate(texts)]
 
@@ -98,6 +104,11 @@ class Sampler:
     def __init__(self, vocabulary: Vocabulary, alpha: float = ALPHA, seed: int = SEED) -> None:
         self.v, self.alpha = vocabulary, alpha
         self.seed = mix64(np.array([seed], np.uint64))[0]
+        # how long a unit may be for the sums of its lattice to stay well above the smallest double
+        cost = alpha * max(SPELLED_COST, -min(vocabulary.scores.values(), default=0.0))
+        self.short = max(1, min(LONG_UNIT, int(600 / max(cost, 1e-9))))
+        self.spelled_weight = math.exp(-alpha * SPELLED_COST)
+        self.endings = [(keys, ids, spelled[:, 0].copy(), np.exp(alpha * values)) for keys, ids, spelled, values in vocabulary.by_length]
         self.unit = re.compile(r" *[^ \n]+| +|\n" if vocabulary.split else r"(?s:.+)")
         self.clear()
 
@@ -156,63 +167,76 @@ class Sampler:
         self._append(np.array(cum), np.array(come, np.int32), np.array(piece, np.int32))
         return base + n
 
-    def _filter_all(self, units: list[str]) -> np.ndarray:
-        """Adds the lattices of many short units, position by position over all of them; returns the last nodes."""
+    def _filter_all(self, units: list[str]) -> tuple[np.ndarray, list[int]]:
+        """Adds the lattices of many short units, position by position over all of them.
+
+        Returns their last nodes, and which units hold a piece of more than
+        ``WIDTH`` characters (their lattices here are incomplete).  The sums
+        are of probabilities, not logarithms: ``short`` keeps them in range.
+        """
         sizes = np.array([len(u) for u in units], np.int64)
-        order = np.argsort(-sizes, kind="stable")
         stops = np.cumsum(sizes)
         begins = stops - sizes
         chars = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), np.uint32)
-        at = np.arange(len(chars)) - np.repeat(begins, sizes)  # position in the unit of each character
-        width = min(self.v.longest, int(sizes.max()))
-        score = np.full((len(chars), width), -np.inf)  # by last character and length of the piece
+        of = np.repeat(np.arange(len(units)), sizes)
+        at = np.arange(len(chars)) - begins[of]  # position in the unit of each character
+        width = min(WIDTH, int(sizes.max()))
+        weight = np.zeros((len(chars), width))  # by last character and length of the piece
         piece = np.zeros((len(chars), width), np.int32)
-        hashes = np.zeros(len(chars), np.uint64)
-        for n in range(1, width + 1):
-            last = np.flatnonzero(at >= n - 1)
-            hashes[last] = chars[last].astype(np.uint64) if n == 1 else hashes[last] + chars[last - n + 1].astype(np.uint64) * _ODD[n]
-            keys, ids, spelled, values = self.v.by_length.get(n, (None,) * 4)
-            if keys is None:
-                continue
-            where = np.minimum(np.searchsorted(keys, hashes[last]), len(keys) - 1)
-            hit = keys[where] == hashes[last]
-            rows, where = last[hit], where[hit]
-            same = (chars[rows[:, None] + np.arange(1 - n, 1)] == spelled[where]).all(1)
-            rows, where = rows[same], where[same]
-            score[rows, n - 1], piece[rows, n - 1] = self.alpha * values[where], ids[where]
-        for k in np.flatnonzero(np.isinf(score[:, 0])).tolist():
-            score[k, 0], piece[k, 0] = -self.alpha * SPELLED_COST, self._spell(chr(chars[k]))
-        forward = np.zeros(len(chars))
-        share = np.zeros_like(score)
-        longest_first = sizes[order]
+        wide = np.zeros(len(units), bool)
+        last, hashes = np.arange(len(chars)), np.zeros(len(chars), np.uint64)  # ends of what may still be a piece's ending
+        for n in range(1, min(self.v.longest, int(sizes.max())) + 1):
+            before = chars[last - n + 1]
+            hashes = before.astype(np.uint64) if n == 1 else hashes + before.astype(np.uint64) * _ODD[n]
+            keys, ids, first, weights = self.endings[n - 1]
+            where = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+            same = (keys[where] == hashes) & (before == first[where])  # the rest was compared one character at a time
+            last, hashes, where = last[same], hashes[same], where[same]
+            whole = ids[where] >= 0
+            if n > width:
+                wide[of[last[whole]]] = True
+            else:
+                weight[last[whole], n - 1], piece[last[whole], n - 1] = weights[where[whole]], ids[where[whole]]
+            more = at[last] >= n
+            last, hashes = last[more], hashes[more]
+            if not len(last):
+                break
+        for k in np.flatnonzero(weight[:, 0] == 0).tolist():
+            weight[k, 0], piece[k, 0] = self.spelled_weight, self._spell(chr(chars[k]))
+        # forward sums, with a slot for the start of every unit
+        slot = np.arange(len(chars)) + of + 1
+        forward = np.zeros(len(chars) + len(units))
+        forward[begins + np.arange(len(units))] = 1.0
+        order = np.argsort(-sizes, kind="stable")
+        longest_first = -sizes[order]
+        steps = np.arange(1, width + 1)
         for j in range(int(sizes.max())):
-            rows = begins[order[: np.searchsorted(-longest_first, -j, "left")]] + j
+            rows = begins[order[: np.searchsorted(longest_first, -j, "left")]] + j
             n = min(width, j + 1)
-            x = score[rows, :n].copy()
-            back = rows[:, None] - np.arange(1, n + 1)
-            x += np.where(np.arange(1, n + 1) <= j, forward[back], 0.0)
-            top = x.max(1)
-            w = np.exp(x - top[:, None])
-            total = w.sum(1)
-            forward[rows] = top + np.log(total)
-            share[rows, :n] = w / total[:, None]
-        row, col = np.nonzero(share > 0)
+            x = weight[rows, :n]
+            x *= forward[slot[rows][:, None] - steps[:n]]
+            total = x.sum(1)
+            forward[slot[rows]] = total
+            weight[rows, :n] = x / total[:, None]
+        row, col = np.nonzero(weight)
         node = self.nodes + np.arange(len(chars))
-        cum = np.minimum(np.cumsum(share, 1)[row, col], 1.0) + node[row]
+        cum = np.minimum(np.cumsum(weight, 1)[row, col], 1.0) + node[row]
         cum[np.concatenate((row[1:] != row[:-1], [True]))] = node + 1.0
         come = np.where(at[row] - col > 0, node[row] - col - 1, 0)
         self._append(cum, come.astype(np.int32), piece[row, col])
         self.nodes += len(chars)
-        return node[stops - 1]
+        return node[stops - 1], np.flatnonzero(wide).tolist()
 
     def _learn(self, units: list[str]) -> None:
-        short = [u for u in units if len(u) <= LONG_UNIT]
-        for a in range(0, len(short), 20_000):
-            part = short[a : a + 20_000]
-            self.known.update(zip(part, self._filter_all(part).tolist(), strict=True))
-        for u in units:
-            if len(u) > LONG_UNIT:
-                self.known[u] = self._filter(u)
+        short = [u for u in units if len(u) <= self.short]
+        rest = [u for u in units if len(u) > self.short]
+        for a in range(0, len(short), 2_000):
+            part = short[a : a + 2_000]
+            nodes, wide = self._filter_all(part)
+            self.known.update(zip(part, nodes.tolist(), strict=True))
+            rest += [part[k] for k in wide]
+        for u in rest:
+            self.known[u] = self._filter(u)
 
     def _spellings(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Per piece, or character outside the vocabulary: how many ids it has, where they begin, and all ids."""
@@ -224,15 +248,15 @@ class Sampler:
 
     def encode(self, texts: list[str], keys: np.ndarray) -> list[np.ndarray]:
         """Piece ids of every text; ``keys`` (uint64) seed the draws."""
-        if len(self.known) > MAX_CACHED_UNITS:
-            self.clear()
         units, counts = [], []
         for t in texts:
             found = self.unit.findall(" " + t) if t else []
             units += found
             counts.append(len(found))
         known = self.known
-        self._learn([u for u in set(units) if u not in known])
+        new = sorted(u for u in set(units) if u not in known)
+        keep, kept_size, kept_nodes = len(known) < MAX_CACHED_UNITS, self.size, self.nodes
+        self._learn(new)
         last = np.fromiter(map(known.__getitem__, units), np.int64, len(units))
         cum, come, piece = self.cum[: self.size], self.come, self.piece
         width, begin, flat = self._spellings()
@@ -253,6 +277,10 @@ class Sampler:
             node = come[edge]
             more = node > 0
             active, node, state = active[more], node[more], state[more]
+        if not keep:
+            self.size, self.nodes = kept_size, kept_nodes
+            for u in new:
+                del known[u]
         ends = np.cumsum(steps)
         ids = np.zeros(int(ends[-1]) if len(ends) else 0, np.int64)
         for s, (who, what) in enumerate(drawn):
@@ -264,6 +292,18 @@ class Sampler:
         return [out[a:b] for a, b in zip(per_text[:-1].tolist(), per_text[1:].tolist(), strict=True)]
 
 
+#: The sampler of this worker process; its lattices serve the tasks that follow.
+_OWN: dict[tuple, Sampler] = {}
+
+
+def worker_sampler(vocabulary: Vocabulary, alpha: float, seed: int) -> Sampler:
+    key = (vocabulary.digest, alpha, seed)
+    if key not in _OWN:
+        _OWN.clear()
+        _OWN[key] = Sampler(vocabulary, alpha, seed)
+    return _OWN[key]
+
+
 def decode(ids: list[int] | np.ndarray, table_: list[bytes]) -> str:
     """The text that piece ids spell (``table_``: the bytes of every piece)."""
     raw = b"".join(map(table_.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids))
@@ -285,11 +325,11 @@ def encode(docs: DataFrame, vocabulary: Vocabulary | None = None, text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = shared.value
-        sampler = Sampler(vocab, alpha, seed)
+        sampler = worker_sampler(vocab, alpha, seed)
         for batch in batches:
             wide = batch.num_columns
             keys = batch.column(wide - 2).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            for first, texts in text_blocks(batch.column(wide - 1)):
+            for first, texts in text_blocks(batch.column(wide - 1), 1 << 20):
                 ids = sampler.encode(texts, keys[first : first + len(texts)])
                 kept = [batch.column(k).slice(first, len(texts)) for k in range(wide - 2)]
                 if digests:
