@@ -123,9 +123,9 @@ def epochs(events: DataFrame) -> DataFrame:
     """Events with their epoch: the truncates of the table before them (a TRUNCATE opens the epoch it is in)."""
     cuts = events.where("kind = 'truncate'").select("table_id", F.col("seq").alias("cut"))
     upto = Window.partitionBy("table_id").orderBy("cut")
-    spans = cuts.select("table_id", "cut", F.row_number().over(upto).alias("epoch"), F.lead("cut").over(upto).alias("next_cut"))
-    found = events.join(spans, (events["table_id"] == spans["table_id"]) & (events["seq"] >= spans["cut"]) & (spans["next_cut"].isNull() | (events["seq"] < spans["next_cut"])), "left")
-    return found.select(*[events[c] for c in events.columns], F.coalesce("epoch", F.lit(0)).cast("long").alias("epoch"))
+    spans = cuts.select(F.col("table_id").alias("_table"), "cut", F.row_number().over(upto).alias("epoch"), F.lead("cut").over(upto).alias("next_cut"))
+    inside = (F.col("table_id") == F.col("_table")) & (F.col("seq") >= F.col("cut")) & (F.col("next_cut").isNull() | (F.col("seq") < F.col("next_cut")))
+    return events.join(spans, inside, "left").select(*events.columns, F.coalesce("epoch", F.lit(0)).cast("long").alias("epoch"))
 
 
 def running_totals(deltas: DataFrame, start: DataFrame | None = None) -> DataFrame:

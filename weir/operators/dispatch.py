@@ -66,11 +66,22 @@ class _Group:
         return matches(self.shape.where, self.table, _image(side), self.shape.leaf(lambda k: F.col(f"p{k}")))
 
     def join(self, events: DataFrame, side: str) -> DataFrame:
-        on = _touched(F.col("deps")) & self.condition(side)
-        if self.shape.equi:
-            name, k = self.shape.equi
-            on = (_image(side)(name) == F.col(f"p{k}")) & on
-        return events.join(self.frame(events.sparkSession), on)
+        """Events with the predicates they match, each pair once.
+
+        Every branch of an OR is a join of its own, on its own key, of what the
+        branches before it left.
+        """
+        image, leaf = _image(side), self.shape.leaf(lambda k: F.col(f"p{k}"))
+        parts, before = [], F.lit(True)
+        params = self.frame(events.sparkSession)
+        for branch, equi in self.shape.branches:
+            hit = matches(branch, self.table, image, leaf)
+            on = _touched(F.col("deps")) & hit & before
+            if equi:
+                on = (image(equi[0]) == F.col(f"p{equi[1]}")) & on
+            parts.append(events.join(params, on))
+            before = before & ~hit
+        return reduce(DataFrame.unionByName, parts)
 
 
 def grouped(predicates: Iterable[Predicate]) -> list[_Group]:

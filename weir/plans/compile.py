@@ -180,7 +180,7 @@ class Template:
     where: object | None
     key: str
     kinds: tuple[str, ...]
-    equi: tuple[str, int] | None  # column and parameter of a conjunct ``column = parameter`` of one type
+    branches: tuple[tuple[object, tuple[str, int] | None], ...]  # what OR joins, each with the column and parameter of a conjunct ``column = parameter`` of one type
 
     def leaf(self, params: Callable[[int], Column]) -> Leaf:
         """Literals by position, whichever order the compiler asks for them in."""
@@ -217,12 +217,16 @@ def template(where: object | None, table: TableDef) -> tuple[Template, list]:
     lits = _params(where)
     key = text(where, lambda lit: "NULL" if lit.kind == "N" else f"?{lit.kind}")
     place = {id(lit): k for k, lit in enumerate(lits)}
-    conjuncts = where.args if isinstance(where, S.Logic) and where.op == "AND" else (where,)
-    equi = None
-    for c in conjuncts:
-        if isinstance(c, S.Compare) and c.op == "=":
-            pair = [c.left, c.right] if isinstance(c.left, S.Col) else [c.right, c.left]
-            if isinstance(pair[0], S.Col) and isinstance(pair[1], S.Lit) and table.types[pair[0].name] == pair[1].kind != "D":
-                equi = (pair[0].name, place[id(pair[1])])
-                break
-    return Template(where, key, tuple(lit.kind for lit in lits), equi), [lit.value for lit in lits]
+
+    def key_of(branch: object) -> tuple[str, int] | None:
+        found = []
+        for c in branch.args if isinstance(branch, S.Logic) and branch.op == "AND" else (branch,):
+            if isinstance(c, S.Compare) and c.op == "=":
+                pair = [c.left, c.right] if isinstance(c.left, S.Col) else [c.right, c.left]
+                if isinstance(pair[0], S.Col) and isinstance(pair[1], S.Lit) and table.types[pair[0].name] == pair[1].kind != "D":
+                    found.append((table.types[pair[0].name] == "B", table.types[pair[0].name] == "S", pair[0].name, place[id(pair[1])]))
+        return min(found)[2:] if found else None  # numbers tell rows apart best, booleans least
+
+    parts = where.args if isinstance(where, S.Logic) and where.op == "OR" else (where,)
+    branches = tuple((b, key_of(b)) for b in parts)
+    return Template(where, key, tuple(lit.kind for lit in lits), branches), [lit.value for lit in lits]
