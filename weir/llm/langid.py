@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weir.llm.common import BLOCK_BYTES, _ODD, mix64, table
+from weir.llm.common import BLOCK_BYTES, _ODD, blocks, mix64, table
 
 ORDER = 4
 TRAIN_DOCS = 400
@@ -245,37 +245,35 @@ def train(
 
 
 def text_blocks(column: pa.Array, limit: int = BLOCK_BYTES // 4) -> Iterator[tuple[int, list[str]]]:
-    """Runs of consecutive texts (null: empty) of about ``limit`` characters, with the index of the first."""
-    texts, size, first = [], 0, 0
-    for k, x in enumerate(column.to_pylist()):
-        texts.append(x or "")
-        size += len(x or "")
-        if size >= limit:
-            yield first, texts
-            texts, size, first = [], 0, k + 1
-    if texts:
-        yield first, texts
+    """Runs of consecutive texts (null: empty) of about ``limit`` bytes, with the index of the first.
+
+    Only one run at a time exists as Python strings.
+    """
+    for block in blocks(column, limit):
+        yield block.first, [x or "" for x in column.slice(block.first, block.n).to_pylist()]
 
 
 def predict(docs: DataFrame, model: Model | None, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The ``keep`` columns with lang_pred, score, entropy and rejected."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    rows = docs.select(*keep, F.col(text_col).cast("string").alias("_text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
+    own = text_col in keep and dict(docs.dtypes)[text_col] == "string"  # then the text travels once
+    rows = docs.select(*keep) if own else docs.select(*keep, F.col(text_col).cast("string").alias("_text"))
+    at, fields = (keep.index(text_col), rows.schema.fields) if own else (len(keep), rows.schema.fields[:-1])
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
     schema += ", lang_pred string, score double, entropy double, rejected boolean"
-    names = [*[f.name for f in rows.schema.fields[:-1]], "lang_pred", "score", "entropy", "rejected"]
+    names = [*[f.name for f in fields], "lang_pred", "score", "entropy", "rejected"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            for first, texts in text_blocks(batch.column(batch.num_columns - 1)):
+            for first, texts in text_blocks(batch.column(at)):
                 if m is None:
                     n = len(texts)
                     new = [["und"] * n, np.zeros(n), np.full(n, np.nan), np.ones(n, bool)]
                 else:
                     new = list(m.predict(texts))
-                kept = [batch.column(k).slice(first, len(texts)) for k in range(batch.num_columns - 1)]
+                kept = [batch.column(k).slice(first, len(texts)) for k in range(len(fields))]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(new[0], pa.string()), pa.array(new[1], pa.float64()), pa.array(new[2], pa.float64(), from_pandas=True), pa.array(new[3], pa.bool_())], names=names)
 
     return rows.mapInArrow(run, schema)

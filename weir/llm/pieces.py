@@ -45,7 +45,7 @@ MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 ALPHA = 1.0
 SEED = 11
 #: Units whose lattices a worker keeps; frequent ones come early.  Those of others last for one block.
-MAX_CACHED_UNITS = 200_000
+MAX_CACHED_UNITS = 40_000
 LONG_UNIT = 48
 WIDTH = 8
 SPELLED_COST = 12.0
@@ -329,7 +329,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary | None = None, text_col: str
         for batch in batches:
             wide = batch.num_columns
             keys = batch.column(wide - 2).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            for first, texts in text_blocks(batch.column(wide - 1), 1 << 20):
+            for first, texts in text_blocks(batch.column(wide - 1), 1 << 19):
                 ids = sampler.encode(texts, keys[first : first + len(texts)])
                 kept = [batch.column(k).slice(first, len(texts)) for k in range(wide - 2)]
                 if digests:
