@@ -32,6 +32,7 @@ MAX_EPOCHS = 3
 SEED = "mix-1"
 BUCKET_DOCS = 64
 MAX_BUCKETS = 1 << 20
+SALTS = 32
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS) -> DataFrame:
@@ -80,9 +81,12 @@ def mix(
         .withColumn("buckets", F.greatest(F.lit(1), F.least(F.lit(MAX_BUCKETS), F.ceil(F.col("n_docs") / BUCKET_DOCS))).cast("long"))
         .select(*key, "source_size", "target", "whole", "rest", "buckets")
     )
+    # a source may hold a third of all rows: it meets its plan in SALTS places
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt")
     dealt = (
-        sizes.select("doc_id", "source", "size", *key)
-        .join(plan, ["skey", "snull"])
+        sizes.select("doc_id", "source", "size", *key, salt)
+        .join(plan.select("*", salts), ["skey", "snull", "salt"])
         .withColumn("digest", _digest(seed))
         .withColumn("bucket", F.conv(F.substring("digest", 1, 8), 16, 10).cast("long") % F.col("buckets"))
     )
@@ -94,10 +98,10 @@ def mix(
         .where(F.col("upto") > F.col("rest"))
         .groupBy("skey", "snull")
         .agg(F.min(F.struct("bucket", (F.col("rest") - F.col("upto") + F.col("in_bucket")).alias("room"))).alias("last"))
-        .select("skey", "snull", F.col("last.bucket").alias("last_bucket"), F.col("last.room").alias("room"))
+        .select("skey", "snull", F.col("last.bucket").alias("last_bucket"), F.col("last.room").alias("room"), salts)
     )
     # a source of size 0 has no last bucket; what it takes is 0 words either way
-    placed = dealt.join(ends, ["skey", "snull"], "left").withColumn("last_bucket", F.coalesce("last_bucket", F.lit(-1).cast("long")))
+    placed = dealt.join(ends, ["skey", "snull", "salt"], "left").withColumn("last_bucket", F.coalesce("last_bucket", F.lit(-1).cast("long")))
     kept = ["doc_id", "source", "size", "source_size", "target", "whole"]
     sure = placed.where(F.col("bucket") != F.col("last_bucket")).select(*kept, (F.col("bucket") < F.col("last_bucket")).cast("int").alias("extra"))
     start = F.struct(F.first("room").alias("room"), F.array().cast("array<struct<digest:string,doc_id:bigint,size:bigint,extra:int>>").alias("out"))
