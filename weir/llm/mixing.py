@@ -103,7 +103,8 @@ def mix(
     # a source of size 0 has no last bucket; what it takes is 0 words either way
     placed = dealt.join(ends, ["skey", "snull", "salt"], "left").withColumn("last_bucket", F.coalesce("last_bucket", F.lit(-1).cast("long")))
     kept = ["doc_id", "source", "size", "source_size", "target", "whole"]
-    sure = placed.where(F.col("bucket") != F.col("last_bucket")).select(*kept, (F.col("bucket") < F.col("last_bucket")).cast("int").alias("extra"))
+    some = F.col("rest") > 0  # else not even empty texts are taken once more
+    sure = placed.where(F.col("bucket") != F.col("last_bucket")).select(*kept, (some & (F.col("bucket") < F.col("last_bucket"))).cast("int").alias("extra"))
     start = F.struct(F.first("room").alias("room"), F.array().cast("array<struct<digest:string,doc_id:bigint,size:bigint,extra:int>>").alias("out"))
     edge = (
         placed.where(F.col("bucket") == F.col("last_bucket"))
@@ -111,10 +112,11 @@ def mix(
         .agg(
             F.array_sort(F.collect_list(F.struct("digest", F.col("doc_id").cast("long").alias("doc_id"), "size"))).alias("docs"),
             start.alias("start"),
-            *[F.first(c).alias(c) for c in ("source", "source_size", "target", "whole")],
+            *[F.first(c).alias(c) for c in ("source", "source_size", "target", "whole", "rest")],
         )
         .select(
             *[c for c in kept if c not in ("doc_id", "size")],
+            "rest",
             F.explode(
                 F.aggregate(
                     "docs",
@@ -127,7 +129,7 @@ def mix(
                 )
             ).alias("d"),
         )
-        .select(F.col("d.doc_id").alias("doc_id"), "source", F.col("d.size").alias("size"), "source_size", "target", "whole", F.col("d.extra").alias("extra"))
+        .select(F.col("d.doc_id").alias("doc_id"), "source", F.col("d.size").alias("size"), "source_size", "target", "whole", F.when(some, F.col("d.extra")).otherwise(0).alias("extra"))
     )
     copies = (F.col("whole") + F.col("extra")).cast("long")
     return sure.unionByName(edge).select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
