@@ -40,7 +40,7 @@ from weir.llm.langid import text_blocks
 
 THRESHOLD = 0.5
 LABELLED_PAGES = 300
-STEPS = 500
+STEPS = 300
 DECAY = 0.002
 
 #: Elements by how they are read.
@@ -49,6 +49,7 @@ RAW = frozenset("script style template svg iframe noscript textarea select objec
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 TAGS = "html head body header nav main article section aside footer form div p h1 h2 h3 h4 ul ol li dl dt dd table tr td th blockquote pre figure figcaption button address inline".split()
+ASIDE = frozenset(("nav", "aside", "footer", "form"))  # elements that speak against content as words do
 #: Words of class, id, role and aria-label that speak against and for content.
 AGAINST = frozenset("ad ads adv advert advertisement advertising adbox alert banner breadcrumb breadcrumbs byline comment comments commentlist consent cookie cookies copyright disclaimer discussion disqus feedback foot footer form gdpr head header legal login masthead menu meta modal nav navbar navigation newsletter notice notification overlay pager pagination paywall popup promo promoted promotion rail recommended related replies reply respond response responses search share sharing side sidebar signup skip social sponsor sponsored subscribe tags toolbar topbar toc warning widget".split())
 IN_FAVOUR = frozenset("article articlebody body content entry main maincontent page post postbody prose story storybody text".split())
@@ -77,10 +78,21 @@ class Page:
         stack: list[tuple[str, int]] = [("html", 0)]  # open elements with their block
         inside = {"p": 0, "a": 0}
         at, runs = 0, self.runs
+        body = False
+
+        def need_body() -> None:
+            """What stands in no other place is in the body, whether the page says so or not."""
+            nonlocal body
+            if not body and stack[-1][1] == 0:
+                body = True
+                stack.append(("body", self._open(0, "body", 0, 0, -1)))
+
         lower = None
 
         def text(raw: str) -> None:
             if raw:
+                if not raw.isspace():
+                    need_body()
                 block = stack[-1][1]
                 raw = unescape(raw)
                 runs.append((block, raw))
@@ -110,7 +122,7 @@ class Page:
                 continue
             if name not in INLINE:
                 runs.append((stack[-1][1], "\n"))
-            if name in VOID:
+            if name in VOID or name == "html" or name == "body" and body:
                 continue
             if name in RAW:
                 if not m[3].endswith("/"):
@@ -121,13 +133,17 @@ class Page:
                     stop = html.find(">", end) if end >= 0 else -1
                     at = stop + 1 if stop >= 0 else len(html)
                 continue
+            if name == "body":
+                body = True
+            elif name != "head":
+                need_body()
             if inside["p"] and name in ENDS_P:
                 close("p")
             elif name in ("li", "dt", "dd", "tr", "td", "th", "option"):
                 peers = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th")}.get(name, (name,))
                 if stack[-1][0] in peers or stack[-1][0] in INLINE and any(s[0] in peers for s in stack[-3:]):
                     close(next(s[0] for s in reversed(stack) if s[0] in peers))
-            against = favour = 0
+            against, favour = int(name in ASIDE), 0
             label = -1
             if m[3]:
                 for key, *values in _ATTR.findall(m[3]):
@@ -210,6 +226,8 @@ class Forest:
         order = np.argsort(depth, kind="stable")
         cuts = np.searchsorted(depth[order], np.arange(int(depth.max()) + 2))
         self.levels = [order[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        # in page order, the nodes of a level stand by their parents
+        self.families = [(self.parent[x[s]], s) for x, s in ((x, np.flatnonzero(np.diff(self.parent[x], prepend=-2))) for x in self.levels)]
 
     def infer(self, weights: np.ndarray, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
         """Node marginals (n, 2), edge marginals (n, 2, 2; parent's state first) and the log-partition sum."""
@@ -217,11 +235,11 @@ class Forest:
         own[:, 1] = self.x @ weights
         up = own.copy()  # potential and messages from the children
         sent = np.zeros_like(own)
-        for level in self.levels[:0:-1]:
+        for level, (above, begin) in zip(self.levels[:0:-1], self.families[:0:-1], strict=True):
             joint = edge[None] + up[level][:, None, :]
             top = joint.max(2)
             sent[level] = top + np.log(np.exp(joint - top[:, :, None]).sum(2))
-            np.add.at(up, self.parent[level], sent[level])
+            up[above] += np.add.reduceat(sent[level], begin)
         roots = self.levels[0]
         total = float(np.logaddexp(up[roots, 0], up[roots, 1]).sum())
         down = np.zeros_like(own)
@@ -311,7 +329,7 @@ def labelled_pages(count: int = LABELLED_PAGES, seed: int = 5) -> list[str]:
 
     pages = []
     for _ in range(count):
-        inner = "".join(piece() + (boiler() if some(0.08) else "") for _ in range(int(rng.integers(1, pick_size()))))
+        inner = "".join(piece() + (boiler() if some(0.15) else "") for _ in range(int(rng.integers(1, pick_size()))))
         title = f"<h1>{short(12)}</h1>"
         title = pick(title, title, f"<header class='entry-title'>{title}</header>") if some(0.9) else ""
         body = pick(
@@ -320,7 +338,7 @@ def labelled_pages(count: int = LABELLED_PAGES, seed: int = 5) -> list[str]:
             f"<article data-label=1>{title}{inner}</article>",
             f"<article data-label=1>{title}<p><b>{short(12)}<br><p>{short(12)}</p></article>",
             f"<main data-label=1>{title}{inner}</main>",
-            f"<main><article data-label=1>{title}{inner}</article></main>",
+            f"<main data-label=1><article>{title}{inner}</article></main>",
             f"<div class='{pick('content', 'post-content', 'entry', 'story', 'main', 'article-body')}' data-label=1>{title}{inner}</div>",
             f"<div><div id='content' data-label=1>{title}{inner}</div></div>",
             f"<div data-label=1>{title}{inner}</div>",
@@ -328,6 +346,9 @@ def labelled_pages(count: int = LABELLED_PAGES, seed: int = 5) -> list[str]:
         head = "".join(x for x in (junk("header", pick("", "site-header"), short(6) + links(3)), junk("nav", pick("", "navbar"), pick(links(6), short(8), f"<a href='/a'>{short(2)}</a> | <a href='/b'>{short(2)}</a>")), junk("div", "menu", links(5))) if some(0.5))
         foot = "".join(x for x in (comments(), boiler(), boiler(), junk("footer", pick("", "footer"), pick(short(30), links(4), f"<p>&copy; {short(20)}</p>"))) if some(0.5))
         before = "".join(boiler() for _ in range(int(rng.integers(0, 3))))
+        if some(0.2):  # a fragment
+            pages.append(f"{head}{before}{body}{foot}")
+            continue
         pages.append(f"<!DOCTYPE html><html><head><meta charset=utf-8><title>x</title></head><body data-label=0>{head}{before}{body}{foot}</body></html>")
     return pages
 
@@ -353,7 +374,7 @@ def train(count: int = LABELLED_PAGES, steps: int = STEPS, seed: int = 5) -> tup
         grad_e = (seen_edge - pair[inner].sum(0)) / count - DECAY * edge
         mean_w, mean_e = 0.9 * mean_w + 0.1 * grad_w, 0.9 * mean_e + 0.1 * grad_e
         var_w, var_e = 0.99 * var_w + 0.01 * grad_w**2, 0.99 * var_e + 0.01 * grad_e**2
-        scale = 0.1 * np.sqrt(1 - 0.99**t) / (1 - 0.9**t)
+        scale = (0.3 if 2 * t < steps else 0.05) * np.sqrt(1 - 0.99**t) / (1 - 0.9**t)
         weights += scale * mean_w / (np.sqrt(var_w) + 1e-8)
         edge += scale * mean_e / (np.sqrt(var_e) + 1e-8)
     return weights, edge
