@@ -294,6 +294,20 @@ def d_trunc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.dispatch(truncate_events(e, ORDERS, "event_id"), registry(), ORDERS.table_id)
 
 
+_MANY = [(k, f"custkey = {3 * k} AND price > {1000 * k}") for k in range(200)] + [(1000 + k, f"price BETWEEN {2000 * k} AND {2000 * k + 900}") for k in range(100)] + [(2000 + k, f"custkey = {5 * k} OR price < {2000 + k}") for k in range(50)]
+
+
+@add("d_template", _changes("inserted", _MANY))
+def d_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hundreds of predicates of three shapes: three parameter tables, four joins."""
+    return D.dispatch(inserts(spark, sf_dir), registry(_MANY), ORDERS.table_id)
+
+
+@add("d_template_upd", _changes("updates", _MANY))
+def d_template_upd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return D.dispatch(updates(spark, sf_dir), registry(_MANY), ORDERS.table_id)
+
+
 @add("d_dedup", _changes("inserted", [(1, "status = 'F'"), (1, "price > 0"), (1, "custkey > 0")]))
 def d_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.dispatch(inserts(spark, sf_dir), registry([(1, "status = 'F'"), (1, "price > 0"), (1, "custkey > 0")]), ORDERS.table_id)
@@ -899,6 +913,20 @@ def s_wal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, [PARSERS[k](m(spark, sf_dir), _catalog()).select("kind") for k, m in made.items()]).groupBy("kind").agg(F.count("*").alias("n"))
 
 
+@add("s_ri", "SELECT TRUE AS names_identity")
+def s_ri(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statement with which a user checks a table's replica identity."""
+    from weir.sources.pgoutput import REPLICA_IDENTITY_SQL
+
+    return spark.createDataFrame([("relreplident" in REPLICA_IDENTITY_SQL,)], "names_identity boolean")
+
+
+@add("s_file", f"SELECT orderkey AS seq, price FROM ({ROWS_SQL}) WHERE price > 400000")
+def s_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events straight from a file scan: filter and columns reach the scan."""
+    return inserts(spark, sf_dir).where("new_row.price > 400000").select("seq", F.col("new_row.price").alias("price"))
+
+
 # -- snapshots and merges (2.7)
 
 
@@ -1081,14 +1109,42 @@ def x_notif(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @add("t_dispatch", _changes("inserted"))
 def t_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import tempfile
-
     from weir.streaming.runner import dispatch_stream
 
     base = _store(spark).path
     inserts(spark, sf_dir).write.parquet(str(base / "in"))
     stream = spark.readStream.schema(event_schema(ORDERS)).parquet(str(base / "in"))
-    del tempfile
     q = dispatch_stream(stream, registry(), ORDERS.table_id, lambda df, n: df.write.mode("append").parquet(str(base / "out")), str(base / "ckpt"))
     q.awaitTermination()
     return spark.read.parquet(str(base / "out"))
+
+
+@add("t_messages", _changes("updates"))
+def t_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream of raw change messages, parsed and dispatched batch by batch."""
+    from weir.sources.json_formats import debezium
+    from weir.streaming.runner import message_stream
+
+    base = _store(spark).path
+    dbz_messages(spark, sf_dir).write.parquet(str(base / "in"))
+    stream = spark.readStream.schema("msg_id long, value string").parquet(str(base / "in"))
+    q = message_stream(stream, debezium, registry(), ORDERS, lambda df, n: df.write.mode("append").parquet(str(base / "out")), str(base / "ckpt"))
+    q.awaitTermination()
+    return spark.read.parquet(str(base / "out")).select((F.col("seq") / 1_000_000).cast("long").alias("seq"), "consumer_id", "change")
+
+
+@add("t_totals", "SELECT CAST(count(*) AS BIGINT) AS count_total, round(sum(value), 4) AS sum_total FROM events WHERE user_id < 50")
+def t_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running totals kept in a stream's state."""
+    from weir.streaming.runner import running_totals_stream
+
+    r = Registry(Catalog([EVENTS]))
+    r.register(Request(1, "SELECT AVG(value) FROM clicks WHERE user_id < 50"))
+    base = _store(spark).path
+    d = A.aggregate_deltas(events_from_snapshot(_table(spark, sf_dir, "events"), EVENTS, "insert", "event_id"), r, EVENTS.table_id)
+    d.write.parquet(str(base / "in"))
+    stream = spark.readStream.schema(A.DELTAS).parquet(str(base / "in"))
+    totals = running_totals_stream(stream)
+    q = totals.writeStream.outputMode("update").foreachBatch(lambda df, n: df.write.mode("append").parquet(str(base / "out"))).option("checkpointLocation", str(base / "ckpt")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.parquet(str(base / "out")).agg(F.max("count_total").alias("count_total"), F.round(F.max(F.struct("count_total", "sum_total"))["sum_total"], 4).alias("sum_total"))

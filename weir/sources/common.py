@@ -90,8 +90,15 @@ def primary_key(catalog: Catalog, table_id: Column, row: Column, strict_names: C
     return F.when(~lacking & row.isNotNull(), pk).otherwise(F.create_map().cast(CELLS)), F.when(lacking, "missing_primary_key")
 
 
-def first_error(*errors: Column) -> Column:
-    return F.coalesce(*errors)
+def held(df: DataFrame) -> DataFrame:
+    """``df`` behind a generator of one row.
+
+    The optimizer pushes a filter on derived columns below their projection and
+    with it all they are made of, so each message would be parsed once for
+    every use of a cell in the filter.  It pushes none through a generator.
+    """
+    row = F.struct(*[F.col(c) for c in df.columns])
+    return df.select(F.explode(F.array(row)).alias("_row")).select("_row.*")
 
 
 def finish(rows: DataFrame, strict: bool) -> DataFrame:
@@ -102,6 +109,7 @@ def finish(rows: DataFrame, strict: bool) -> DataFrame:
         *[F.when(F.col("error").isNull(), F.col(c)).alias(c) for c in ("kind", "table_id", "pk", "old", "new", "changed_only")],
         "error",
     )
+    clean = held(clean)
     if strict:
         bad = clean.where("error IS NOT NULL").select("msg_id", "error").first()
         if bad:

@@ -21,11 +21,12 @@ MAXWELL = "struct<database:string,`table`:string,type:string,data:map<string,str
 
 
 
-def _messages(messages: DataFrame) -> DataFrame:
-    """Messages without tombstones, with text and its JSON error."""
-    text = F.col("value").cast("string")
-    rows = messages.select("msg_id", text.alias("_text"))
-    return rows.where(~F.coalesce(C.is_tombstone(F.col("_text")), F.lit(False))).withColumn("_bad", F.when(C.malformed(F.col("_text")), F.lit("json")))
+def _messages(messages: DataFrame, schema: str) -> DataFrame:
+    """Messages without tombstones: the parsed envelope ``m`` and the JSON error ``_bad``."""
+    rows = messages.select("msg_id", F.col("value").cast("string").alias("_text"))
+    rows = C.held(rows).where(~F.coalesce(C.is_tombstone(F.col("_text")), F.lit(False)))
+    bad = F.when(C.malformed(F.col("_text")), F.lit("json")).alias("_bad")
+    return C.held(rows.select("msg_id", bad, F.from_json("_text", schema).alias("m")))
 
 
 def _checked(rows: DataFrame, catalog: Catalog) -> DataFrame:
@@ -37,7 +38,7 @@ def _checked(rows: DataFrame, catalog: Catalog) -> DataFrame:
 @C.parser
 def wal2json_v1(messages: DataFrame, catalog: Catalog, strict: bool = False) -> DataFrame:
     """One message is one transaction of many changes; an unknown kind drops its change, an error its message."""
-    rows = _messages(messages).withColumn("m", F.from_json("_text", V1))
+    rows = _messages(messages, V1)
     each = rows.select("msg_id", "_bad", F.when(F.col("_bad").isNull() & F.col("m.change").isNull(), "missing_field").alias("_lack"), F.posexplode_outer("m.change").alias("idx", "c"))
     kind = C.lookup(C.KINDS["wal2json_v1"], F.col("c.kind"), "string")
     each = each.withColumn("kind", kind).where(F.col("_bad").isNotNull() | F.col("_lack").isNotNull() | F.col("kind").isNotNull())
@@ -69,7 +70,7 @@ def wal2json_v1(messages: DataFrame, catalog: Catalog, strict: bool = False) ->
 @C.parser
 def wal2json_v2(messages: DataFrame, catalog: Catalog, strict: bool = False) -> DataFrame:
     """One message is one change; transaction marks and unknown actions are skipped."""
-    rows = _messages(messages).withColumn("m", F.from_json("_text", V2))
+    rows = _messages(messages, V2)
     kind = C.lookup(C.KINDS["wal2json_v2"], F.col("m.action"), "string")
     lack = F.when(F.col("_bad").isNull() & F.col("m.action").isNull(), "missing_field")
     rows = rows.withColumn("kind", kind).withColumn("_lack", lack).where("_bad IS NOT NULL OR _lack IS NOT NULL OR kind IS NOT NULL")
@@ -104,7 +105,7 @@ def _map_rows(rows: DataFrame, catalog: Catalog, table_id: Column, table_error:
 @C.parser
 def debezium(messages: DataFrame, catalog: Catalog, strict: bool = False) -> DataFrame:
     """Unwrapped envelopes; ``schema.table`` is tried before ``db.table``; message records are skipped."""
-    rows = _messages(messages).withColumn("m", F.from_json("_text", DEBEZIUM))
+    rows = _messages(messages, DEBEZIUM)
     kind = C.lookup(C.KINDS["debezium"], F.col("m.op"), "string")
     lack = F.when(F.col("_bad").isNull() & (F.col("m.op").isNull() | F.col("m.source").isNull()), "missing_field")
     rows = rows.withColumn("kind", kind).withColumn("_lack", lack).where("_bad IS NOT NULL OR _lack IS NOT NULL OR kind IS NOT NULL")
@@ -117,7 +118,7 @@ def debezium(messages: DataFrame, catalog: Catalog, strict: bool = False) -> Dat
 @C.parser
 def maxwell(messages: DataFrame, catalog: Catalog, strict: bool = False) -> DataFrame:
     """Maxwell rows: the old image of an update holds the changed cells only, that of a delete is its data."""
-    rows = _messages(messages).withColumn("m", F.from_json("_text", MAXWELL))
+    rows = _messages(messages, MAXWELL)
     kind = C.lookup(C.KINDS["maxwell"], F.col("m.type"), "string")
     lack = F.when(F.col("_bad").isNull() & (F.col("m.type").isNull() | F.col("m.table").isNull()), "missing_field")
     rows = rows.withColumn("kind", kind).withColumn("_lack", lack).where("_bad IS NOT NULL OR _lack IS NOT NULL OR kind IS NOT NULL")

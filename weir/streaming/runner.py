@@ -44,8 +44,12 @@ def message_stream(messages: DataFrame, parse: Callable, registry: Registry, tab
     """The same from raw change messages (msg_id, value)."""
 
     def batch(frame: DataFrame, batch_id: int) -> None:
-        events = typed_events(parse(frame, registry.catalog), table).where("error IS NULL").drop("error")
-        sink(dispatch(events, registry, table.table_id), batch_id)
+        # parsed once: every group of predicates reads the events again
+        events = typed_events(parse(frame, registry.catalog), table).where("error IS NULL").drop("error").persist()
+        try:
+            sink(dispatch(events, registry, table.table_id), batch_id)
+        finally:
+            events.unpersist()
 
     return messages.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
