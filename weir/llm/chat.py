@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weir.llm.common import table
+from weir.llm.common import small_batches, table
 
 Turn = tuple[str, str]
 
@@ -190,7 +190,7 @@ def format_records(records: DataFrame, json_col: str = "record", keep: tuple[str
             new = [pa.array([m[k] for m in made], t) for k, t in enumerate(types)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(layouts, pa.string()), *new], names=[*names, *own])
 
-    return rows.mapInArrow(run, schema)
+    return small_batches(rows).mapInArrow(run, schema)
 
 
 def conversation_records(turns: DataFrame, id_col: str = "conv_id") -> DataFrame:

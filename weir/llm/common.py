@@ -14,7 +14,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
+ARROW_ROWS = 2000
 WORD = r"[^\x20\x09-\x0D]+"
 
 _rng = np.random.default_rng(20240501)
@@ -152,6 +153,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``, with the session's Arrow batches held to ``ARROW_ROWS`` rows.
+
+    A batch of texts exists several times on its way to Python and back; at the
+    default of 10,000 rows that is most of a small executor's memory.
+    """
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key, "10000")) <= ARROW_ROWS:
+        conf.set(key, str(ARROW_ROWS))
+    return df
+
+
 def cut(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared checkpoint folder and read from there.
 

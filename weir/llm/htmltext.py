@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weir.llm.common import table
+from weir.llm.common import small_batches, table
 from weir.llm.langid import text_blocks
 
 THRESHOLD = 0.5
@@ -404,7 +404,7 @@ def extract_text(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...]
                 kept = [batch.column(k).slice(first, len(htmls)) for k in range(batch.num_columns - 1)]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=names)
 
-    return rows.mapInArrow(run, schema)
+    return small_batches(rows).mapInArrow(run, schema)
 
 
 def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weir.llm.common import BLOCK_BYTES, _ODD, blocks, mix64, table
+from weir.llm.common import BLOCK_BYTES, _ODD, blocks, mix64, small_batches, table
 
 ORDER = 4
 TRAIN_DOCS = 400
@@ -244,7 +244,7 @@ def train(
     return model
 
 
-def text_blocks(column: pa.Array, limit: int = BLOCK_BYTES // 4) -> Iterator[tuple[int, list[str]]]:
+def text_blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, list[str]]]:
     """Runs of consecutive texts (null: empty) of about ``limit`` bytes, with the index of the first.
 
     Only one run at a time exists as Python strings.
@@ -276,7 +276,7 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text", keep:
                 kept = [batch.column(k).slice(first, len(texts)) for k in range(len(fields))]
                 yield pa.RecordBatch.from_arrays([*kept, pa.array(new[0], pa.string()), pa.array(new[1], pa.float64()), pa.array(new[2], pa.float64(), from_pandas=True), pa.array(new[3], pa.bool_())], names=names)
 
-    return rows.mapInArrow(run, schema)
+    return small_batches(rows).mapInArrow(run, schema)
 
 
 def fold() -> F.Column:

@@ -45,7 +45,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weir.llm.common import blocks, cut, lists, mix64, shingle_sets, table
+from weir.llm.common import blocks, cut, lists, mix64, shingle_sets, small_batches, table
 
 SKETCH = 1 << 20
 CHUNK = 1 << 14
@@ -248,7 +248,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
     """One row per row of ``docs``: doc_id, n_shingles, class_id, component_id and the links of its class."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    facts = cut(rows.mapInArrow(_facts(width), FACTS))
+    facts = cut(small_batches(rows).mapInArrow(_facts(width), FACTS))
     own = facts.where("row_key IS NOT NULL").select("row_key", "doc_id", "n", "s0", "s1", "parity", "wide")
     classes = cut(
         own.where("n > 0")

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weir.llm.common import _ODD, lists, mix64, table
+from weir.llm.common import _ODD, lists, mix64, small_batches, table
 from weir.llm.langid import text_blocks
 
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
@@ -344,7 +344,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary | None = None, text_col: str
                 else:
                     yield pa.RecordBatch.from_arrays([*kept, lists(pa.int32(), ids)], names=[*names, "piece_ids"])
 
-    return rows.mapInArrow(run, schema)
+    return small_batches(rows).mapInArrow(run, schema)
 
 
 def decoded(encoded: DataFrame, vocabulary: Vocabulary | None = None, ids_col: str = "piece_ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -358,7 +358,7 @@ def decoded(encoded: DataFrame, vocabulary: Vocabulary | None = None, ids_col: s
             texts = [decode(x or [], shared.value) for x in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(texts, pa.string())], names=[*names, "text"])
 
-    return rows.mapInArrow(run, f"{schema}, text string")
+    return small_batches(rows).mapInArrow(run, f"{schema}, text string")
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,6 +35,7 @@ from weir.llm.common import (
     cut,
     lists,
     mix64,
+    small_batches,
     span_hashes,
     table,
 )
@@ -139,7 +140,7 @@ def line_quality(
 ) -> DataFrame:
     """One row per row of ``docs``: statistics, base verdict, removed lines and final verdict."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).cast("string").alias("text"))
-    stats = cut(rows.mapInArrow(_stats, STATS))
+    stats = cut(small_batches(rows).mapInArrow(_stats, STATS))
     key = F.xxhash64(F.coalesce(F.col("host"), F.lit("")), F.col("host").isNull(), F.col("hash")).alias("key")
     frequent = (
         stats.select("host", F.explode(F.array_distinct("line_hash")).alias("hash"))

@@ -31,7 +31,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weir.llm.common import table
+from weir.llm.common import small_batches, table
 
 #: Rules of the query, and the method's own block list (used where no rule fits).
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
@@ -157,7 +157,7 @@ def judge_urls(pages: DataFrame, rules: Iterable[tuple[str, str]] = RULES, block
             new = [pa.array(x, pa.string()) for x in ([h for h, _ in parts], [p for _, p in parts], text, verdict)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *new], names=columns)
 
-    return rows.mapInArrow(run, schema)
+    return small_batches(rows).mapInArrow(run, schema)
 
 
 def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
