@@ -19,6 +19,7 @@ QUERIES = {
 
 SQL = {
     "op1_quality": quality.OP1_SQL,
+    "op2_jaccard": neardup.OP2_SQL,
     "op4_urls": urlfilter.OP4_SQL,
     "op9_mixing": mixing.OP9_SQL,
     "op7_chat": chat.OP7_SQL,
