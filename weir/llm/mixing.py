@@ -105,12 +105,13 @@ def mix(
     kept = ["doc_id", "source", "size", "source_size", "target", "whole"]
     some = F.col("rest") > 0  # else not even empty texts are taken once more
     sure = placed.where(F.col("bucket") != F.col("last_bucket")).select(*kept, (some & (F.col("bucket") < F.col("last_bucket"))).cast("int").alias("extra"))
-    start = F.struct(F.first("room").alias("room"), F.array().cast("array<struct<digest:string,doc_id:bigint,size:bigint,extra:int>>").alias("out"))
+    id_type = sizes.schema["doc_id"].dataType.simpleString()
+    start = F.struct(F.first("room").alias("room"), F.array().cast(f"array<struct<digest:string,doc_id:{id_type},size:bigint,extra:int>>").alias("out"))
     edge = (
         placed.where(F.col("bucket") == F.col("last_bucket"))
         .groupBy("skey", "snull")
         .agg(
-            F.array_sort(F.collect_list(F.struct("digest", F.col("doc_id").cast("long").alias("doc_id"), "size"))).alias("docs"),
+            F.array_sort(F.collect_list(F.struct("digest", "doc_id", "size"))).alias("docs"),
             start.alias("start"),
             *[F.first(c).alias(c) for c in ("source", "source_size", "target", "whole", "rest")],
         )
