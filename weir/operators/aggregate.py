@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from weir.errors import AggregateUpdateRequiresOldRow, TruncateRequiresReset
 from weir.functions.tri import finite
 from weir.model import TableDef
-from weir.operators.dispatch import _image, _small, _table, _touched, _strings, check_events, grouped, FILTERS
+from weir.operators.dispatch import FILTERS, _image, _small, _strings, _table, _touched, check_events, grouped, local_frame
 from weir.operators.registry import Predicate, Registry
 from weir.plans.compile import matches, predicate
 
@@ -88,7 +88,7 @@ def aggregate_deltas(events: DataFrame, registry: Registry, table_id: int, stric
     if not parts:
         return spark.createDataFrame([], DELTAS)
     rows = [(b.predicate_id, b.subscription_id, b.consumer_id, AGG_KIND[registry.by_id[b.predicate_id].projection.kind]) for b in registry.bindings.values() if registry.by_id[b.predicate_id].table.table_id == table_id and registry.by_id[b.predicate_id].projection.kind != "rows"]
-    bound = _small(spark.createDataFrame(rows, "predicate_id long, subscription_id long, consumer_id long, agg_kind string"), len(rows))
+    bound = _small(local_frame(spark, rows, "predicate_id long, subscription_id long, consumer_id long, agg_kind string"), len(rows))
     sums = reduce(DataFrame.unionByName, parts).groupBy("seq", "predicate_id").agg(F.sum("c").cast("long").alias("count_delta"), F.sum("s").alias("sum_delta"))
     return sums.where("count_delta <> 0 OR sum_delta <> 0").join(bound, "predicate_id").select("seq", "subscription_id", "consumer_id", "agg_kind", "count_delta", "sum_delta")
 
@@ -115,7 +115,7 @@ def bootstrap(rows: DataFrame, registry: Registry, table_id: int) -> DataFrame:
     one = image.agg(*sums)
     parts = F.array(*[F.struct(F.lit(p.predicate_id).cast("long").alias("predicate_id"), F.col(f"c{p.predicate_id}").alias("count_total"), F.col(f"s{p.predicate_id}").alias("sum_total")) for p in predicates])
     rows_ = [(b.predicate_id, b.subscription_id, b.consumer_id, AGG_KIND[registry.by_id[b.predicate_id].projection.kind]) for b in registry.bindings.values() if b.predicate_id in {p.predicate_id for p in predicates}]
-    bound = spark.createDataFrame(rows_, "predicate_id long, subscription_id long, consumer_id long, agg_kind string")
+    bound = local_frame(spark, rows_, "predicate_id long, subscription_id long, consumer_id long, agg_kind string")
     return one.select(F.explode(parts).alias("t")).select("t.*").join(_small(bound, len(rows_)), "predicate_id").select("subscription_id", "consumer_id", "agg_kind", "count_total", "sum_total")
 
 

@@ -18,8 +18,11 @@ from collections import defaultdict
 from collections.abc import Callable, Iterable
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from weir.errors import ArityMismatch, DispatchError, MissingImage, UnknownTableId
 from weir.model import TYPES, TableDef
@@ -33,6 +36,14 @@ FILTERS = 4
 OLD_COMPLETE = "old_row IS NOT NULL AND size(old_missing) = 0"
 
 
+def local_frame(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
+    """A driver-side list as a local relation: no job reads it and its size is known to the optimizer."""
+    schema = StructType.fromDDL(ddl)
+    arrow = to_arrow_schema(schema)
+    columns = list(zip(*rows, strict=True)) or [[] for _ in arrow]
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow), schema)
+
+
 def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
@@ -59,7 +70,7 @@ class _Group:
     def frame(self, spark: SparkSession) -> DataFrame:
         fields = [f"p{k} {TYPES[t].simpleString()}" for k, t in enumerate(self.shape.kinds)]
         rows = [(p.predicate_id, list(p.deps), *values) for p, values in self.members]
-        return _small(spark.createDataFrame(rows, ", ".join(["predicate_id long", "deps array<string>", *fields])), len(rows))
+        return _small(local_frame(spark, rows, ", ".join(["predicate_id long", "deps array<string>", *fields])), len(rows))
 
     def condition(self, side: str) -> Column:
         """The template over an image, as a join condition."""
@@ -173,7 +184,7 @@ def subscription_matches(events: DataFrame, registry: Registry, table_id: int, s
     if gone is not None:
         add(gone.where((F.col("kind") == "delete") | ~F.col("other")), F.lit("deleted"))
     # a truncated table has left every result
-    ids = events.sparkSession.createDataFrame([(table_id, p.predicate_id) for p in predicates], "table_id int, predicate_id long")
+    ids = local_frame(events.sparkSession, [(table_id, p.predicate_id) for p in predicates], "table_id int, predicate_id long")
     add(events.where("kind = 'truncate'").select("seq", "table_id").join(_small(ids, len(predicates)), "table_id"), F.lit("deleted"))
     return reduce(DataFrame.unionByName, parts)
 
@@ -182,7 +193,7 @@ def dispatch(events: DataFrame, registry: Registry, table_id: int, strict: bool
     """(seq, consumer_id, change): each consumer at most once per change of an event."""
     found = subscription_matches(events, registry, table_id, strict)
     rows = sorted({(b.predicate_id, b.consumer_id) for b in registry.bindings.values() if registry.by_id[b.predicate_id].table.table_id == table_id})
-    bound = events.sparkSession.createDataFrame(rows, "predicate_id long, consumer_id long")
+    bound = local_frame(events.sparkSession, rows, "predicate_id long, consumer_id long")
     return found.join(_small(bound, len(rows)), "predicate_id").select("seq", "consumer_id", "change").distinct()
 
 
