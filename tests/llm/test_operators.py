@@ -130,6 +130,20 @@ def test_near_duplicates_against_all_pairs(spark, width, percent):
     assert got == brute_components(rows, width, percent)
 
 
+@pytest.mark.parametrize("run", [7, neardup.RUN])
+def test_links_of_dense_groups_are_exact(spark, monkeypatch, run):
+    monkeypatch.setattr(neardup, "RUN", run)
+    base = [f"w{k}" for k in range(40)]
+    rows = [(k, " ".join([*base[: 39 - k % 3], *[f"e{k} {j}" for j in range(k % 3 + 1)]])) for k in range(60)]
+    rows += [(100 + k, rows[k][1]) for k in range(5)]  # copies are of the same class
+    sets = {i: set(zip(t.split(), t.split()[1:], t.split()[2:], strict=False)) for i, t in rows[:60]}
+    want = {a: sum(100 * len(x & y) >= 90 * len(x | y) for b, y in sets.items() if a != b) for a, x in sets.items()}
+    want |= {100 + k: want[k] for k in range(5)}
+    found = neardup.near_duplicates(frame(spark, [(i, t, "en", "s") for i, t in rows]), 3, 90).collect()
+    assert {r["doc_id"]: r["verified_links"] for r in found} == want
+    assert {r["class_id"] for r in found if r["doc_id"] >= 100} == set(range(5))
+
+
 def test_near_duplicates_of_nothing(spark):
     assert neardup.near_duplicates(frame(spark, [])).count() == 0
     one = neardup.near_duplicates(frame(spark, [(None, "a b c d e f", None, None), (3, "a b c d e f", None, None), (4, None, None, None)])).collect()

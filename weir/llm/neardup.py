@@ -18,7 +18,12 @@ prefix n-gram not all pairs are made:
    outside its largest component meet the members of other components, and the
    filters are part of the join condition.
 
-A pair inside a component can't change the components, so the result is exact.
+A pair inside a component can't change the components, so they are exact after
+two steps.  With ``all_links`` a third makes the links exact too:
+
+3. within a component, all members that share a prefix n-gram meet, groups cut
+   into runs of about ``RUN`` members; each pair not seen before is verified once.
+
 Components come from alternating large-star and small-star steps.
 
 Texts are read, never shuffled: the passes send sketches, prefixes, and the
@@ -52,6 +57,7 @@ CHUNK = 1 << 14
 LEVELS = 4096
 WORDS = 8
 PIVOTS = 3
+RUN = 256
 BLOOM_BITS = 1 << 26
 
 FACTS = "row_key long, doc_id long, n int, s0 long, s1 long, parity array<long>, wide array<long>, part int, chunk int, counts binary"
@@ -244,8 +250,12 @@ def _wide_suffix(percent: int, na: Column, nb: Column, xa: Column, xb: Column) -
     return F.coalesce((100 + percent) * (na + nb - apart) >= 2 * percent * (na + nb), F.lit(True))
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, class_id, component_id and the links of its class."""
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", all_links: bool = True) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, class_id, component_id and the links of its class to others.
+
+    Without ``all_links`` (for callers that need components only) verified_links
+    counts just the links that were needed to find the components.
+    """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     facts = cut(small_batches(rows).mapInArrow(_facts(width), FACTS))
@@ -323,6 +333,31 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         links = cut(links.union(verified(rest).distinct()))
         roots = components(links)
 
+    if all_links:
+        inside = Window.partitionBy("token", "root")
+        members = (
+            runs.select("token", "node", "n", "pos")
+            .join(roots, "node")
+            .withColumn("cuts", F.ceil(F.count("*").over(inside) / RUN).cast("int"))
+            .join(classes.select("node", "parity"), "node")
+        )
+        mine = members.withColumn("run", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int"))
+        left = mine.select("token", "root", "run", *[F.col(c).alias(f"l_{c}") for c in ("node", "n", "pos", "parity")])
+        right = members.withColumn("run", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+        right = right.select("token", "root", "run", *[F.col(c).alias(f"r_{c}") for c in ("node", "n", "pos", "parity")])
+        within = (
+            (col("l_node") < col("r_node"))
+            & _may_link(percent, col("l_n"), col("r_n"))
+            & _position(percent, col("l_n"), col("r_n"), col("l_pos"), col("r_pos"))
+            & _suffix(percent, col("l_n"), col("r_n"), col("l_parity"), col("r_parity"))
+        )
+        same = (left["token"] == right["token"]) & (left["root"] == right["root"]) & (left["run"] == right["run"])
+        dense = left.join(right, same & within).select(F.col("l_node").alias("a"), F.col("r_node").alias("b")).distinct()
+        seen = tested.select("a", "b").union(rest.select("a", "b"))
+        dense = cut(filtered(dense.join(seen, ["a", "b"], "left_anti")))
+        if not dense.isEmpty():
+            links = cut(links.union(verified(dense).distinct()))
+
     degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
     placed = classes.select("s0", "s1", "node", "rep_doc").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     placed = placed.join(placed.groupBy("root").agg(F.min("rep_doc").alias("component_id")), "root").join(degree, "node", "left")
