@@ -304,6 +304,29 @@ def test_language_learns_and_rejects(spark):
     assert langid.predict(frame(spark, rows[:2]), None).where("lang_pred = 'und'").count() == 2
 
 
+def test_every_labelled_language_is_learnt(spark):
+    rnd = random.Random(6)
+    langs = [f"l{k:02}" for k in range(40)]
+    text = lambda k: " ".join("".join(chr(0x4E00 + 3 * k + rnd.randrange(5)) for _ in range(6)) for _ in range(20))
+    rows = [(j * 40 + k, text(k), langs[k], "s") for k in range(40) for j in range(6 + k % 2)]
+    model = langid.train(frame(spark, rows))
+    assert model.langs == langs
+    tests = [(k, text(k), None, None) for k in range(40)]
+    got = {r["doc_id"]: (r["lang_pred"], r["rejected"]) for r in langid.predict(frame(spark, tests), model).collect()}
+    assert got == {k: (langs[k], False) for k in range(40)}
+
+
+def test_blocks_of_languages_score_as_one_model():
+    texts = {"aa": ["the cat sat on the mat"], "bb": ["le chat dort sur le tapis"], "cc": ["die katze liegt auf der matte"]}
+    counts = {k: langid.count_grams(t, 4) for k, t in texts.items()}
+    one = langid.Model(list(counts), list(counts.values()), 4)
+    tried = ["the mat", "der tapis", "", "xyz q", "chat"]
+    for size in (1, 2, 3):
+        blocks = langid.Blocks(list(counts), counts.get, 4, size)
+        assert np.allclose(blocks.entropies(tried)[0], one.entropies(tried)[0], atol=1e-4)
+        assert (blocks.entropies(tried)[1] == one.entropies(tried)[1]).all()
+
+
 # -- 7
 
 hostile = st.lists(st.sampled_from(["a", "\\", "<", ">", "/", "s", " ", "[", "]", "[INST]", "[/INST]", "</s>", "<s>", "<<SYS>>", "[ROLE]", "[TEXT]", "[/ROLE]", "é"]), max_size=12).map("".join)

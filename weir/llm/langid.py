@@ -13,10 +13,10 @@ counts; a text is rejected when its lowest cross-entropy exceeds the
 ``REJECT_QUANTILE`` of its language there by ``REJECT_MARGIN`` and an allowance
 for short texts.
 
-Bounds of the classifier (a sample of labelled rows, chosen by a hash of the
-id): ``TRAIN_DOCS`` texts for each of at most ``MAX_LANGUAGES`` languages (the
-most frequent ones); the model that is broadcast grows with these parameters,
-not with the table.
+Bound of the classifier (a sample of labelled rows, chosen by a hash of the
+id): about ``TRAIN_DOCS`` texts for each language.  Every label is learnt; the
+languages are held and scored in blocks of ``BLOCK_LANGUAGES``, so that the
+model that is broadcast grows in proportion to the languages, not with the table.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0 and
 not rejected by entropy but by the lack of letters; without any labelled row
@@ -25,7 +25,7 @@ every text is ``und``; ties go to the first language in code point order.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -37,7 +37,7 @@ from weir.llm.common import BLOCK_BYTES, _ODD, blocks, mix64, small_batches, tab
 
 ORDER = 4
 TRAIN_DOCS = 400
-MAX_LANGUAGES = 32
+BLOCK_LANGUAGES = 32
 CALIBRATE_EVERY = 5
 REJECT_QUANTILE = 0.995
 REJECT_MARGIN = 1.2
@@ -102,9 +102,12 @@ def count_grams(texts: list[str], order: int) -> list[tuple[np.ndarray, np.ndarr
 
 
 class Model:
-    """Sorted hash arrays of all orders, their log-probabilities and back-off weights."""
+    """Sorted hash arrays of all orders, their log-probabilities and back-off weights.
 
-    def __init__(self, langs: list[str], counts: list[list[tuple]], order: int) -> None:
+    ``letters`` is the number of distinct 1-grams (of these languages, if not given).
+    """
+
+    def __init__(self, langs: list[str], counts: list[list[tuple]], order: int, letters: int | None = None) -> None:
         self.langs, self.order = langs, order
         size = len(langs)
         self.keys: list[np.ndarray] = []
@@ -121,7 +124,7 @@ class Model:
                 suffix[at], context[at] = c[n][2], c[n][3]
             self.keys.append(keys)
             links.append((raw, suffix, context))
-        below = np.full((1, size), 1.0 / (len(self.keys[0]) + 1))
+        below = np.full((1, size), 1.0 / ((letters or len(self.keys[0])) + 1))
         self.floor = np.log(below[0]).astype(np.float32)
         for n in range(order):
             raw, _, context = links[n]
@@ -203,6 +206,30 @@ class Model:
         return langs, np.where(none, 0.0, score), np.where(none, np.nan, low), rejected
 
 
+class Blocks(Model):
+    """Models of some languages each, over one alphabet, that score as one."""
+
+    def __init__(self, langs: list[str], counts: Callable[[str], list[tuple]], order: int, size: int = BLOCK_LANGUAGES) -> None:
+        self.langs, self.order = langs, order
+        alphabet = np.zeros(0, np.uint64)
+        for x in langs:
+            alphabet = np.union1d(alphabet, counts(x)[0][0])
+        parts = [langs[k : k + size] for k in range(0, len(langs), size)]
+        self.models = [Model(part, [counts(x) for x in part], order, len(alphabet)) for part in parts]
+        self.limits = np.full(len(langs), np.inf)
+
+    def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = [m.entropies(texts) for m in self.models]
+        return np.concatenate([ce for ce, _ in found], axis=1), found[0][1]
+
+    def calibrate(self, texts_by_lang: list[list[str]], quantile: float, margin: float) -> None:
+        at = 0
+        for m in self.models:  # a text's limit is that of its own language
+            m.calibrate(texts_by_lang[at : at + len(m.langs)], quantile, margin)
+            at += len(m.langs)
+        self.limits = np.concatenate([m.limits for m in self.models])
+
+
 def train(
     labelled: DataFrame,
     text_col: str = "text",
@@ -210,21 +237,19 @@ def train(
     id_col: str = "doc_id",
     order: int = ORDER,
     train_docs: int = TRAIN_DOCS,
-    max_languages: int = MAX_LANGUAGES,
     quantile: float = REJECT_QUANTILE,
     margin: float = REJECT_MARGIN,
 ) -> Model | None:
     """Fit the models on a bounded sample of the labelled rows; counting runs on the executors."""
     rows = labelled.select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
+    sizes = rows.groupBy("lang").count().collect()
     if not sizes:
         return None
     langs = sorted(r["lang"] for r in sizes)
-    share = {r["lang"]: train_docs / r["count"] for r in sizes}
+    share = labelled.sparkSession.createDataFrame(pa.table({"lang": [r["lang"] for r in sizes], "share": [train_docs / r["count"] for r in sizes]}))
     u = (F.xxhash64(F.lit("train"), "id").bitwiseAND(F.lit((1 << 52) - 1))) / float(1 << 52)
-    wanted = F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(share[k]))])
     part = F.pmod(F.xxhash64(F.lit("part"), "id"), F.lit(CALIBRATE_EVERY)) == 0
-    sample = rows.where(u < wanted[F.col("lang")]).select("lang", "text", part.alias("held"))
+    sample = rows.join(F.broadcast(share), "lang").where(u < F.col("share")).select("lang", "text", part.alias("held"))
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         held = pdf[pdf["held"]]["text"].tolist()
@@ -239,7 +264,7 @@ def train(
     if not langs:
         return None
     read = lambda r, n: tuple(np.frombuffer(r[f"{k}{n}"], np.int64 if k == "c" else np.uint64) for k in "kcsx")
-    model = Model(langs, [[read(found[x], n) for n in range(order)] for x in langs], order)
+    model = Blocks(langs, lambda x: [read(found[x], n) for n in range(order)], order)
     model.calibrate([list(found[x]["held"]) for x in langs], quantile, margin)
     return model
 
