@@ -258,6 +258,19 @@ def test_added_spans_and_redaction(spark):
     assert out == {0: "iban [IBAN] ok", 1: texts[1], 2: "my ssn is [SSN]", 3: texts[3], 4: "[PHONE] [CARD]", 5: "key [SECRET] and [SECRET]", 6: texts[6], 7: None}
 
 
+def test_long_secrets_are_covered_whole(spark):
+    rnd = random.Random(5)
+    value = lambda n: "".join(rnd.choice("abcdefghXYZ_-") for _ in range(n))
+    runs = [value(8), value(200), value(201), value(600), value(50_000), f"{value(300)}/192.168.0.1/{value(300)}", f"{value(40)}.4111111111111111.{value(40)}", f"{value(300)}4111111111111111"]
+    rows = [(k, f"token = {v} end") for k, v in enumerate(runs)]
+    rows += [(100, "token = 4111111111111111 end"), (101, "password: john.doe.of.some.long.name@example.com end")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = pii.find_pii(df).select("doc_id", pii.redact(F.col("text"), F.col("pii_spans")).alias("t"), F.filter("pii_spans", lambda s: s["kind"] == "secret").alias("s"))
+    out = {r["doc_id"]: (r["t"], [(s["start"], s["end"]) for s in r["s"]]) for r in found.collect()}
+    assert {k: out[k] for k in range(len(runs))} == {k: ("[SECRET] end", [(0, 8 + len(v))]) for k, v in enumerate(runs)}
+    assert out[100] == ("token = [CARD] end", []) and out[101] == ("password: [EMAIL] end", [])
+
+
 # -- 6
 
 

@@ -5,7 +5,8 @@ mod-97 for IBANs, ranges and digit counts for addresses and phones), and words
 within ``CONTEXT`` code points adjust the score of a proposal; what reaches
 ``THRESHOLD`` is reported.  The four base kinds (email, ip, card, phone) follow
 fixed patterns and stay whatever their context; further proposals are added
-where they don't overlap a base span.
+where they don't overlap a base span.  A base span that starts more than
+``SECRET_HEAD`` code points into a secret is a part of it and doesn't displace it.
 
 Positions come from cutting the text at the matches: with ``n`` matches there
 are ``n + 1`` pieces, and running lengths give starts and ends in code points.
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 from weir.llm.common import table
 
 CONTEXT = 40
+SECRET_HEAD = 24
 THRESHOLD = 0.5
 
 #: The base kinds in order, as patterns without deep repetition.
@@ -46,7 +48,7 @@ CARD_BLOCK = r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[ -][0-9]{4}){3})(?![0-9])"
 PHONE_BLOCK = r"(?<![0-9])\+?[0-9]{0,3} ?\([0-9]{2,4}\) ?[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
-SECRET = r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])|(?i:(?<![a-z])(?:password|passwd|secret|token|api[_-]?key))\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_+/.~-]{8,200}"
+SECRET = r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])|(?i:(?<![a-z])(?:password|passwd|secret|token|api[_-]?key))\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_+/.~-]{8,}+"
 EXTRA = (
     ("card", CARD_BLOCK, "[0-9]{4}", 0.2, 0.5, "card|visa|credit|payment|account|carte|tarjeta|karte"),
     ("phone", PHONE_BLOCK, r"\(", 0.55, 0.0, "phone|call|tel|mobile|fax"),
@@ -139,7 +141,8 @@ def added_spans(text: Column, base: Column, threshold: float = THRESHOLD) -> Col
 
     def proposals(kind: str, pattern: str, test: str, prior: float, bonus: float, words: str) -> Column:
         spans = F.transform(_matches(text, pattern, text.rlike(test)), lambda x: _span(x, kind, scored(x, prior, bonus, words, kind)))
-        free = lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
+        own = lambda s: F.least(s["end"], s["start"] + SECRET_HEAD) if kind == "secret" else s["end"]
+        free = lambda s: ~F.exists(base, lambda b: (b["start"] < own(s)) & (s["start"] < b["end"]))
         return F.filter(spans, lambda s: (s["score"] >= threshold) & free(s))
 
     return F.concat(*[proposals(*row) for row in EXTRA])
