@@ -376,29 +376,71 @@ def test_conversations_with_gaps(spark):
 # -- 8
 
 
-def test_neighbours_recall_and_edges(spark):
+def brute_neighbours(rows, k=10):
+    """Per query id the k nearest other ids (each once, at its smallest distance), ties to the smaller id."""
+    good = [(i, np.array(v, np.float64)) for i, v in rows if i is not None and v is not None and None not in v and np.isfinite(np.array(v, np.float64)).all() and any(v)]
+    asked = {}
+    for i, v in good:
+        if i % 100 == 0:
+            asked[i] = min(asked.get(i, v.tolist()), v.tolist())
+    out = {}
+    for q, v in asked.items():
+        near = {}
+        for i, x in good:
+            if i != q and len(x) == len(v):
+                near[i] = min(near.get(i, math.inf), math.sqrt(((x - np.array(v)) ** 2).sum()))
+        out[q] = sorted((d, i) for i, d in near.items())[:k]
+    return out
+
+
+def odd_vectors():
     rng = np.random.default_rng(4)
     base = rng.standard_normal((30, 24))
     x = (base[rng.integers(0, 30, 2500)] + 0.4 * rng.standard_normal((2500, 24))).astype(np.float32)
     rows = [(k, v.tolist()) for k, v in enumerate(x)]
-    rows += [(3000, None), (3100, [0.0] * 24), (3200, [float("nan")] * 24), (3300, [None] * 24), (3400, [float("inf")] + [0.0] * 23), (3500, [1.0] * 5), (3600, [1.0, 2.0, 3.0, 4.0, 5.0]), (700, x[700].tolist())]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    rows += [(3000, None), (3100, [0.0] * 24), (3200, [float("nan")] * 24), (3300, [None] * 24), (3400, [float("inf")] + [0.0] * 23), (3500, [1.0] * 5), (3600, [1.0, 2.0, 3.0, 4.0, 5.0]), (None, x[3].tolist())]
+    rows += [(700, x[700].tolist())] * 3 + [(800, x[801].tolist())]  # queries in several rows
+    rows += [(901, x[901].tolist())] * 3 + [(902, x[900].tolist()), (902, x[900].tolist())]  # candidates in several rows
+    rows += [(5000 + k, x[1].tolist()) for k in range(600)]  # one vector under many ids
+    return rows
+
+
+@pytest.mark.parametrize(("confidence", "least"), [(1 - 1e-13, 1.0), (ann.CONFIDENCE, 0.9)])
+def test_neighbours_of_every_query(spark, confidence, least):
+    rows = odd_vectors()
+    df = spark.createDataFrame([(i, v, "x", 1) for i, v in rows], "vec_id long, embedding array<float>, cell string, rank int").repartition(5)
     got = defaultdict(list)
-    for r in ann.nearest(df, df.where("vec_id % 100 = 0"), block_rows=800, query_rows=10).collect():
+    for r in ann.nearest(df, df.where("vec_id % 100 = 0"), confidence=confidence, cell_rows=300, query_rows=7).collect():
         got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
-    assert not set(got) & {3000, 3100, 3200, 3300, 3400} and [v[1] for v in got[3500]] == [3600]
-    hit = 0
-    y = x.astype(np.float64)
-    for q in range(0, 2500, 100):
-        d = np.sqrt(((y - y[q]) ** 2).sum(1))
-        d[q] = np.inf
-        best = np.lexsort((np.arange(2500), d))[:10]
-        mine = sorted(got[q])
-        assert [m[0] for m in mine] == list(range(1, 11)) and all(math.isclose(m[2], d[m[1]]) for m in mine)
-        assert [m[2] for m in mine] == sorted(m[2] for m in mine)
-        hit += len(set(best.tolist()) & {m[1] for m in mine})
-    assert hit >= 0.9 * 250
-    assert ann.nearest(df.limit(0), df.limit(0)).count() == 0
+    want = brute_neighbours(rows)
+    assert set(got) == {q for q, v in want.items() if v}
+    for q, mine in got.items():
+        mine = sorted(mine)
+        assert [m[0] for m in mine] == list(range(1, len(want[q]) + 1)), q
+        assert len({m[1] for m in mine}) == len(mine), q
+        assert [(m[2], m[1]) for m in mine] == sorted((m[2], m[1]) for m in mine), q
+        true = dict((i, d) for d, i in want[q])
+        assert all(math.isclose(m[2], true[m[1]], rel_tol=1e-12) for m in mine if m[1] in true), q
+        assert len(set(true) & {m[1] for m in mine}) >= least * len(true) - (least < 1) * 3, q
+    hit = sum(len({i for _, i in v} & {m[1] for m in got[q]}) for q, v in want.items())
+    assert hit >= least * sum(map(len, want.values()))
+
+
+def test_neighbours_of_nothing(spark):
+    df = spark.createDataFrame([], "vec_id long, embedding array<float>")
+    assert ann.nearest(df, df).count() == 0
+    one = spark.createDataFrame([(100, [1.0, 2.0])], "vec_id long, embedding array<float>")
+    assert ann.nearest(one, one).count() == 0
+
+
+def test_cells_split_until_equal():
+    rng = np.random.default_rng(1)
+    points = np.concatenate((rng.standard_normal((3000, 4)), np.ones((3000, 4))))
+    cells = ann.Cells(points, 60_000, 1_000)
+    at = cells.locate(points)
+    assert len(set(at[3000:].tolist())) == 1 and cells.blocks[at[-1]] >= 30
+    box = ann.box_distances(cells.low, cells.high, points[:50])
+    assert (box[np.arange(50), at[:50]] == 0).all()
 
 
 def test_chi_square_limit():
