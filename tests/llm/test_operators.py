@@ -137,13 +137,32 @@ def test_links_of_dense_groups_are_exact(spark, monkeypatch, run):
     rows = [(k, " ".join([*base[: 39 - k % 3], *[f"e{k} {j}" for j in range(k % 3 + 1)]])) for k in range(60)]
     rows += [(100 + k, rows[k][1]) for k in range(5)]  # copies are of the same class
     sets = {i: set(zip(t.split(), t.split()[1:], t.split()[2:], strict=False)) for i, t in rows[:60]}
+    sets |= {100 + k: sets[k] for k in range(5)}
     want = {a: sum(100 * len(x & y) >= 90 * len(x | y) for b, y in sets.items() if a != b) for a, x in sets.items()}
-    want |= {100 + k: want[k] for k in range(5)}
     found = neardup.near_duplicates(frame(spark, [(i, t, "en", "s") for i, t in rows]), 3, 90).collect()
-    assert {r["doc_id"]: r["verified_links"] for r in found} == want
+    assert {r["doc_id"]: r["n_links"] for r in found} == want
     assert {r["class_id"] for r in found if r["doc_id"] >= 100} == set(range(5))
 
 
+def test_one_row_of_each_component(spark):
+    """Against brute force by row: ids that repeat, with equal and with other texts, and null ids."""
+    rnd = random.Random(3)
+    text = lambda: " ".join(f"w{rnd.randrange(10**6)}" for _ in range(60))
+    a, b, c, d, e = (text() for _ in range(5))
+    rows = [(3, a), (5, a), (5, b), (None, c), (None, c), (7, c), (None, d), (None, d), (9, e), (9, e), (9, e), (9, e + " x"), (8, f"{e} y")]
+    rows += [(20, None), (20, None), (21, ""), (None, " \n"), (30, "one two"), (30, "one two"), (31, "ONE two")]
+    found = neardup.one_of_each(frame(spark, [(i, t, None, None) for i, t in rows]).withColumn("_k0", F.lit("clash")).repartition(3))
+    got = Counter((r["doc_id"], r["text"]) for r in found.collect())
+    part = brute_components(list(enumerate(t for _, t in rows)), 5, 80)
+    for root in {r for _, r in part.values()}:
+        members = {rows[k] for k, (_, r) in part.items() if r == root and words(rows[k][1])}
+        low = min(members, key=lambda m: (m[0] is None, m[0] or 0), default=(0, ""))[0]
+        assert sum(got[m] for m in members) == sum(got[m] for m in members if m[0] == low) == len(members and [1]), members
+    empty = lambda rs: sorted(map(str, (r for r in rs if not words(r[1]))))
+    assert empty(got.elements()) == empty(rows) and set(found.columns) == {*DOCS.replace(",", "").split()[::2], "_k0"}
+    assert neardup.one_of_each(frame(spark, [])).count() == 0
+
+
 def test_near_duplicates_of_nothing(spark):
     assert neardup.near_duplicates(frame(spark, [])).count() == 0
     one = neardup.near_duplicates(frame(spark, [(None, "a b c d e f", None, None), (3, "a b c d e f", None, None), (4, None, None, None)])).collect()

@@ -153,6 +153,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_names(wanted: tuple[str, ...], taken: list[str]) -> list[str]:
+    """``wanted`` with underscores in front where a name (of any case) is taken."""
+    used = {c.lower() for c in taken}
+    out = []
+    for name in wanted:
+        while name.lower() in used:
+            name = "_" + name
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
+def kept_as(keep: tuple[str, ...], own: tuple[str, ...]) -> list[str]:
+    """Result names of kept columns: those that clash with an operator's own columns get underscores in front."""
+    out: list[str] = []
+    for name in keep:
+        out += free_names((name,), [*own, *out, *[k for k in keep if k != name]]) if name.lower() in {c.lower() for c in own} else [name]
+    return out
+
+
 def small_batches(df: DataFrame) -> DataFrame:
     """``df``, with the session's Arrow batches held to ``ARROW_ROWS`` rows.
 

@@ -2,8 +2,8 @@
 
 Prefix filtering: two sets with Jaccard similarity of at least ``percent`` share
 an n-gram among their first ``n - ceil(percent * n / 100) + 1``, in any order
-common to all documents.  The order is rare-first, by a count sketch of fixed
-size over all shingles, ties by hash.  Pairs that meet on a prefix n-gram pass
+common to all documents.  The order is rare-first, by a count sketch over all
+shingles, ties by hash.  Pairs that meet on a prefix n-gram pass
 a length filter, a positional filter and a suffix filter (a lower bound of the
 symmetric difference: the sets are dealt to parity bits, ``64 * WORDS`` for
 every set and for a larger one about as many as it has members, and each
@@ -19,7 +19,7 @@ prefix n-gram not all pairs are made:
    filters are part of the join condition.
 
 A pair inside a component can't change the components, so they are exact after
-two steps.  With ``all_links`` a third makes the links exact too:
+two steps.  With ``all_links`` (op2_jaccard) a third makes the links exact too:
 
 3. within a component, all members that share a prefix n-gram meet, groups cut
    into runs of about ``RUN`` members; each pair not seen before is verified once.
@@ -27,15 +27,18 @@ two steps.  With ``all_links`` a third makes the links exact too:
 Components come from alternating large-star and small-star steps.
 
 Texts are read, never shuffled: the passes send sketches, prefixes, and the
-sets of those classes that occur in pairs (found by a Bloom filter of fixed
-size; its false positives only cost traffic).  What reaches the driver is of
-fixed size: the sketch and the Bloom filter.
+sets of those classes that occur in pairs (found by a Bloom filter; its false
+positives only cost traffic).  What reaches the driver is the sketch and the
+Bloom filter; both are sized by the table, within fixed bounds.  Beyond them
+the order is less exactly rare-first and more sets are sent; the result is the
+same.
 
 Edge cases: documents without words or text have an empty set and link with
 nothing; fewer words than ``width`` make one shingle of the whole sequence;
-rows are documents, equal ids are one id in the result; a null id never becomes
-a component's id unless the component has no other; an empty table gives no
-rows; further columns are ignored.
+rows are documents, so a repeated row links with its copies and counts in
+n_links; equal ids are one id in the result; a null id never becomes a
+component's id unless the component has no other; an empty table gives no rows;
+further columns are ignored.
 """
 
 from __future__ import annotations
@@ -50,17 +53,18 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weir.llm.common import blocks, cut, lists, mix64, shingle_sets, small_batches, table
+from weir.llm.common import blocks, cut, free_names, lists, mix64, shingle_sets, small_batches, table
 
-SKETCH = 1 << 20
+MIN_SKETCH, MAX_SKETCH = 20, 24
 CHUNK = 1 << 14
 LEVELS = 4096
 WORDS = 8
 PIVOTS = 3
 RUN = 256
-BLOOM_BITS = 1 << 26
+JOIN_SALTS = 16
+MIN_BLOOM, MAX_BLOOM = 26, 29
 
-FACTS = "row_key long, doc_id long, n int, s0 long, s1 long, parity array<long>, wide array<long>, part int, chunk int, counts binary"
+FACTS = "row_key long, doc_id long, k0 long, k1 long, n int, s0 long, s1 long, parity array<long>, wide array<long>, part int, chunk int, counts binary"
 _SALTS = np.array([0x5851F42D4C957F2D, 0x14057B7EF767814F], np.uint64)
 
 
@@ -86,24 +90,31 @@ def _wide(s: np.ndarray) -> list[int] | None:
     return _parity(s, words).tolist()
 
 
-def _facts(width: int):  # noqa: ANN202
+def sketch_size(df: DataFrame) -> int:
+    """Buckets of the count sketch by the optimizer's estimate of the table's bytes, a power of two between the bounds."""
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    known = size < 1 << 60
+    return 1 << min(MAX_SKETCH, max(MIN_SKETCH, (size >> 10).bit_length() if known else 0))
+
+
+def _facts(width: int, sketch: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
         key = part << 40
-        counts = np.zeros(SKETCH, np.uint32)
+        counts = np.zeros(sketch, np.uint32)
         names = [c.split()[0] for c in FACTS.split(", ")]
         for batch in batches:
             for block in blocks(batch.column(1)):
                 sets = shingle_sets(block, width)
                 if any(map(len, sets)):
-                    at, many = np.unique(np.concatenate(sets) & np.uint64(SKETCH - 1), return_counts=True)
+                    at, many = np.unique(np.concatenate(sets) & np.uint64(sketch - 1), return_counts=True)
                     counts[at.astype(np.int64)] += many.astype(np.uint32)
                 sigs = [_signature(s) for s in sets]
                 n = block.n
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.arange(key, key + n)),
-                        batch.column(0).slice(block.first, n),
+                        *[batch.column(c).slice(block.first, n) for c in (0, 2, 3)],
                         pa.array([len(s) for s in sets], pa.int32()),
                         pa.array([s[0] for s in sigs], pa.int64()),
                         pa.array([s[1] for s in sigs], pa.int64()),
@@ -114,16 +125,16 @@ def _facts(width: int):  # noqa: ANN202
                     names=names,
                 )
                 key += n
-        used = [c for c in range(SKETCH // CHUNK) if counts[c * CHUNK : (c + 1) * CHUNK].any()]
+        used = [c for c in range(sketch // CHUNK) if counts[c * CHUNK : (c + 1) * CHUNK].any()]
         if used:
             packed = [zlib.compress(counts[c * CHUNK : (c + 1) * CHUNK].astype(np.uint64).tobytes(), 1) for c in used]
-            none = [pa.nulls(len(used), t) for t in (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))]
+            none = [pa.nulls(len(used), t) for t in (*[pa.int64()] * 4, pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))]
             yield pa.RecordBatch.from_arrays([*none, pa.array([part] * len(used), pa.int32()), pa.array(used, pa.int32()), pa.array(packed, pa.binary())], names=names)
 
     return run
 
 
-def _levels(facts: DataFrame) -> np.ndarray:
+def _levels(facts: DataFrame, sketch: int) -> np.ndarray:
     """Rank of every sketch bucket among ``LEVELS`` quantiles; sums run on the executors, at most 256 parts at once."""
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -135,14 +146,14 @@ def _levels(facts: DataFrame) -> np.ndarray:
     schema = "part int, chunk int, counts binary"
     rows = facts.where("chunk IS NOT NULL").select("part", "chunk", "counts")
     rows = rows.groupBy("chunk", F.floor(F.col("part") / 256).alias("g")).applyInPandas(lambda k, pdf: add(pdf), schema)
-    sums = np.zeros(SKETCH, np.uint64)
-    for r in rows.groupBy("chunk").applyInPandas(lambda k, pdf: add(pdf), schema).collect():  # SKETCH / CHUNK rows
+    sums = np.zeros(sketch, np.uint64)
+    for r in rows.groupBy("chunk").applyInPandas(lambda k, pdf: add(pdf), schema).collect():  # sketch / CHUNK rows
         sums[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(zlib.decompress(r["counts"]), np.uint64)
     cuts = np.quantile(sums, np.arange(1, LEVELS) / LEVELS)
     return np.searchsorted(cuts, sums).astype(np.uint16)
 
 
-def _prefixes(width: int, percent: int, levels):  # noqa: ANN001, ANN202
+def _prefixes(width: int, percent: int, levels, sketch: int):  # noqa: ANN001, ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level, seen = levels.value, set()
         for batch in batches:
@@ -154,7 +165,7 @@ def _prefixes(width: int, percent: int, levels):  # noqa: ANN001, ANN202
                     seen.add(sig)
                     n = len(s)
                     size = n + (-percent * n // 100) + 1
-                    key = (level[(s & np.uint64(SKETCH - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(52)) | (s >> np.uint64(12))
+                    key = (level[(s & np.uint64(sketch - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(52)) | (s >> np.uint64(12))
                     first = np.argpartition(key, size - 1)[:size]
                     prefixes.append(s[first[np.argsort(key[first], kind="stable")]].view(np.int64))
                     sigs.append(sig)
@@ -164,23 +175,24 @@ def _prefixes(width: int, percent: int, levels):  # noqa: ANN001, ANN202
     return run
 
 
-def _bloom_positions(s0: np.ndarray, s1: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _bloom_positions(s0: np.ndarray, s1: np.ndarray, ids: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Two bit positions for each (signature, id)."""
     h = mix64(s0.view(np.uint64) ^ mix64(s1.view(np.uint64) + ids.view(np.uint64)))
-    return (h & np.uint64(BLOOM_BITS - 1)).astype(np.int64), ((h >> np.uint64(32)) & np.uint64(BLOOM_BITS - 1)).astype(np.int64)
+    return (h & np.uint64(bits - 1)).astype(np.int64), ((h >> np.uint64(32)) & np.uint64(bits - 1)).astype(np.int64)
 
 
 def _bloom(wanted: DataFrame) -> np.ndarray:
-    """A Bloom filter over (s0, s1, rep_doc) as ``BLOOM_BITS / 8`` bytes."""
+    """A Bloom filter over (s0, s1, rep_doc), about 16 bits a member between the bounds."""
+    size = 1 << min(MAX_BLOOM, max(MIN_BLOOM, (16 * wanted.count()).bit_length()))
 
     def positions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(2).fill_null(0)
-            bits = np.unique(np.concatenate(_bloom_positions(*[c.to_numpy(zero_copy_only=False).astype(np.int64) for c in (batch.column(0), batch.column(1), ids)])))
+            bits = np.unique(np.concatenate(_bloom_positions(*[c.to_numpy(zero_copy_only=False).astype(np.int64) for c in (batch.column(0), batch.column(1), ids)], size)))
             yield pa.RecordBatch.from_arrays([pa.array(bits >> 5), pa.array(np.int64(1) << (bits & 31))], names=["word", "bit"])
 
     words = wanted.select("s0", "s1", "rep_doc").mapInArrow(positions, "word long, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
-    out = np.zeros(BLOOM_BITS // 32, np.uint32)
+    out = np.zeros(size // 32, np.uint32)
     out[words["word"].to_numpy()] = words["bits"].to_numpy().astype(np.uint32)
     return out
 
@@ -195,7 +207,7 @@ def _sets(width: int, bloom):  # noqa: ANN001, ANN202
                 sets = shingle_sets(block, width)
                 sigs = np.array([_signature(s) for s in sets], np.int64).reshape(-1, 2)
                 hit = np.array([len(s) > 0 for s in sets], bool)
-                for bits in _bloom_positions(sigs[:, 0].copy(), sigs[:, 1].copy(), own[block.first : block.first + block.n]):
+                for bits in _bloom_positions(sigs[:, 0].copy(), sigs[:, 1].copy(), own[block.first : block.first + block.n], 32 * len(words)):
                     hit &= (words[bits >> 5] >> (bits & 31).astype(np.uint32) & 1).astype(bool)
                 at = np.flatnonzero(hit)
                 if len(at):
@@ -250,23 +262,36 @@ def _wide_suffix(percent: int, na: Column, nb: Column, xa: Column, xb: Column) -
     return F.coalesce((100 + percent) * (na + nb - apart) >= 2 * percent * (na + nb), F.lit(True))
 
 
+def row_keys(doc_id: Column, text: Column) -> tuple[Column, Column]:
+    """128 bits that tell (id, text) pairs apart, nulls included."""
+    known = F.concat(doc_id.isNull().cast("string"), text.isNull().cast("string"))
+    return F.xxhash64(doc_id, text, known), F.xxhash64(F.lit("second"), doc_id, text, known)
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", all_links: bool = True) -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, class_id, component_id and the links of its class to others.
+    """One row per row of ``docs``: doc_id, n_shingles, class_id, component_id, n_links, component, k0, k1.
 
-    Without ``all_links`` (for callers that need components only) verified_links
-    counts just the links that were needed to find the components.
+    class_id is the smallest id with the same set, n_links the number of other
+    rows that a row links with.  Without ``all_links`` (for callers that need
+    components only) it counts just the links that were needed to find the
+    components.  ``component`` tells components apart even where ids are null
+    or repeated; k0 and k1 are the :func:`row_keys`.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    facts = cut(small_batches(rows).mapInArrow(_facts(width), FACTS))
-    own = facts.where("row_key IS NOT NULL").select("row_key", "doc_id", "n", "s0", "s1", "parity", "wide")
+    sketch = sketch_size(rows)
+    keyed = small_batches(rows).select("*", *[k.alias(f"k{j}") for j, k in enumerate(row_keys(F.col("doc_id"), F.col("text")))])
+    facts = cut(keyed.mapInArrow(_facts(width, sketch), FACTS))
+    own = facts.where("row_key IS NOT NULL").select("row_key", "doc_id", "k0", "k1", "n", "s0", "s1", "parity", "wide")
     classes = cut(
         own.where("n > 0")
         .groupBy("s0", "s1")
-        .agg(F.min("row_key").alias("node"), F.min("doc_id").alias("rep_doc"), F.min("n").alias("n"), F.min("parity").alias("parity"), F.min("wide").alias("wide"))
+        .agg(F.min("row_key").alias("node"), F.min("doc_id").alias("rep_doc"), F.min("n").alias("n"), F.min("parity").alias("parity"), F.min("wide").alias("wide"), F.count("*").alias("n_rows"))
     )
-    levels = spark.sparkContext.broadcast(_levels(facts))  # SKETCH entries
-    tokens = rows.select("text").mapInArrow(_prefixes(width, percent, levels), "s0 long, s1 long, tokens array<long>")
+    levels = spark.sparkContext.broadcast(_levels(facts, sketch))  # sketch entries
+    tokens = rows.select("text").mapInArrow(_prefixes(width, percent, levels, sketch), "s0 long, s1 long, tokens array<long>")
+    # a class comes from every task that saw one of its rows; the join needs this order anyway
+    tokens = tokens.withColumn("again", F.row_number().over(Window.partitionBy("s0", "s1").orderBy(F.size("tokens")))).where("again = 1")
     posted = tokens.join(classes.select("s0", "s1", "node", "n"), ["s0", "s1"]).select("node", "n", F.posexplode("tokens").alias("pos", "token"))
     by_token = Window.partitionBy("token").orderBy(F.xxhash64("token", "node"), "node")
     upto, own_row = by_token.rowsBetween(Window.unboundedPreceding, 0), F.struct("node", "n", "pos")
@@ -292,7 +317,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         """The links among pairs: sets are sent only of classes in pairs, by signature."""
         ends = pairs.select(F.explode(F.array(*[F.struct(F.col(x).alias("node"), F.col(f"s0_{x}").alias("s0"), F.col(f"s1_{x}").alias("s1")) for x in "ab"])).alias("e"))
         wanted = ends.select("e.*").distinct().join(classes.select("node", "rep_doc"), "node")
-        bloom = spark.sparkContext.broadcast(_bloom(wanted))  # BLOOM_BITS bits
+        bloom = spark.sparkContext.broadcast(_bloom(wanted))  # at most 2^MAX_BLOOM bits
         sets = rows.mapInArrow(_sets(width, bloom), "doc_id long, s0 long, s1 long, tokens array<long>")
         side = lambda x: sets.select(F.col("s0").alias(f"s0_{x}"), F.col("s1").alias(f"s1_{x}"), F.col("tokens").alias(f"t_{x}"))
         common = F.size(F.array_intersect("t_a", "t_b"))
@@ -358,25 +383,59 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         if not dense.isEmpty():
             links = cut(links.union(verified(dense).distinct()))
 
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    placed = classes.select("s0", "s1", "node", "rep_doc").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # links of a document: the copies of its class, and all documents of the classes linked with it
+    sizes = classes.select("node", "n_rows")
+    ends = links.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other")))).alias("e")).select("e.*")
+    degree = ends.join(sizes.toDF("other", "others"), "other").groupBy("node").agg(F.sum("others").alias("n_linked"))
+    placed = classes.select("s0", "s1", "node", "rep_doc", "n_rows").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     placed = placed.join(placed.groupBy("root").agg(F.min("rep_doc").alias("component_id")), "root").join(degree, "node", "left")
-    placed = placed.select("s0", "s1", F.lit(True).alias("full"), F.col("rep_doc").alias("class_id"), "component_id", "n_links")
+    n_links = F.col("n_rows") - 1 + F.coalesce("n_linked", F.lit(0).cast("long"))
+    placed = placed.select("s0", "s1", F.lit(True).alias("full"), F.col("rep_doc").alias("class_id"), "component_id", n_links.alias("n_links"), "root")
     return (
-        own.select("doc_id", "n", "s0", "s1", (F.col("n") > 0).alias("full"))
+        own.select("row_key", "doc_id", "k0", "k1", "n", "s0", "s1", (F.col("n") > 0).alias("full"))
         .join(placed, ["s0", "s1", "full"], "left")
         .select(
             "doc_id",
             F.col("n").cast("long").alias("n_shingles"),
             F.when(F.col("full"), F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"),
             F.when(F.col("full"), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
-            F.coalesce("n_links", F.lit(0).cast("long")).alias("verified_links"),
+            F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
+            F.coalesce("root", "row_key").alias("component"),
+            "k0",
+            "k1",
         )
     )
 
 
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each component: of its rows with the smallest id (null last) one.
+
+    Rows without words are components of their own and stay.  What goes is
+    decided by id and text together; only rows that repeat both are gathered,
+    to keep one of them.
+    """
+    found = near_duplicates(docs, width, percent, id_col, text_col, all_links=False)
+    rows = cut(found.where("n_shingles > 0").groupBy("component", "k0", "k1").agg(F.min("doc_id").alias("id"), F.count("*").alias("n")))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(JOIN_SALTS - 1))).alias("salt")
+    first = rows.groupBy("component").agg(F.min(F.struct(F.col("id").isNull(), "id", "k0", "k1")).alias("first"), F.sum("n").alias("all"))
+    first = first.where("all > 1").select("component", F.col("first.k0").alias("f0"), F.col("first.k1").alias("f1"), salts)
+    own = rows.withColumn("salt", F.pmod("k0", F.lit(JOIN_SALTS)).cast("int")).join(first, ["component", "salt"])
+    stays = (F.col("k0") == F.col("f0")) & (F.col("k1") == F.col("f1"))
+    k0, k1, row = free_names(("_k0", "_k1", "_row"), docs.columns)
+    judged = cut(own.select(F.col("k0").alias(k0), F.col("k1").alias(k1), stays.alias("stays"), "n").where("NOT stays OR n > 1"))
+    keys = row_keys(F.col(id_col).cast("long"), F.col(text_col).cast("string"))
+    on = (keys[0] == F.col(k0)) & (keys[1] == F.col(k1))
+    kept = docs.join(judged.select(k0, k1), on, "left_anti")
+    again = judged.where("stays").select(k0, k1)
+    if again.isEmpty():
+        return kept
+    once = docs.join(again, on).groupBy(k0, k1).agg(F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias(row))
+    return kept.unionByName(once.select(f"{row}.*"))
+
+
 def op2_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=90).select("doc_id", "n_shingles", "component_id")
+    found = near_duplicates(table(spark, sf_dir, "documents"), width=3, percent=90)
+    return found.select("doc_id", "n_shingles", "component_id", "class_id", "n_links")
 
 
 OP2_SQL = r"""
@@ -386,7 +445,10 @@ n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
 p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM g x JOIN g y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2),
 l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
 r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
-m AS (SELECT a, min(b) AS low FROM r GROUP BY a)
-SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(m.low, d.doc_id)) AS component_id
-FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN m ON m.a = d.doc_id
+m AS (SELECT a, min(b) AS low FROM r GROUP BY a),
+e AS (SELECT a, min(b) AS low FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c = x.n AND c = y.n GROUP BY a),
+k AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, coalesce(m.low, d.doc_id)) AS component_id,
+  least(d.doc_id, coalesce(e.low, d.doc_id)) AS class_id, CAST(coalesce(k.n, 0) AS BIGINT) AS n_links
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN m ON m.a = d.doc_id LEFT JOIN e ON e.a = d.doc_id LEFT JOIN k ON k.a = d.doc_id
 """
