@@ -39,9 +39,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near-duplicates."""
-    found = neardup.near_duplicates(docs, width=5, percent=80, all_links=False)
-    gone = cut(found.where("doc_id <> component_id").select("doc_id").distinct())
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    return neardup.one_of_each(docs.select(*COLUMNS), width=5, percent=80)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
