@@ -504,6 +504,36 @@ def test_mix_targets_and_takings(spark):
     assert mixing.mix(frame(spark, [])).count() == 0
 
 
+def test_mixed_rows_of_repeated_and_null_ids(spark, tmp_path):
+    """Every row is taken as often as `mix` says, whatever its id; targets hold to one small document."""
+    rnd = random.Random(7)
+    rows = [(k if k % 3 else None, " ".join(rnd.choice("abc") for _ in range(rnd.randrange(1, 9))), None, rnd.choice(["s", "t", None])) for k in range(600)]
+    rows += [(1, "x y z", None, "s")] * 300 + [(None, "x y", None, "t")] * 200 + [(2, f"w{k}", None, "u") for k in range(150)]
+    docs = frame(spark, rows).withColumn("_row", F.lit(1)).withColumn("copies", F.lit(2))
+    out = mixing.mix(docs.repartition(3)).collect()
+    assert Counter((r["doc_id"], r["size"], r["source"]) for r in out) == Counter((i, len(words(t)), s) for i, t, _, s in rows)
+    sizes, taken, target = defaultdict(int), defaultdict(int), {}
+    for r in out:
+        sizes[r["source"]] += r["size"]
+        taken[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+        assert 0 <= r["copies"] <= 3
+    assert all(math.isclose(target[s], t) and abs(taken[s] - t) <= 9 for s, t in brute_targets(dict(sizes)).items())
+    again = mixing.mix(docs.repartition(5)).collect()
+    assert sorted(map(str, again)) == sorted(map(str, out))
+    full = mixing.mixed(docs)
+    assert full.columns == docs.columns
+    got = Counter((r["doc_id"], len(words(r["text"])), r["source"]) for r in full.collect())
+    want: Counter = Counter()
+    for r in out:
+        want[(r["doc_id"], r["size"], r["source"])] += r["copies"]
+    assert got == +want
+    unique = frame(spark, [(k, t, lang, s) for k, (_, t, lang, s) in enumerate(rows)])
+    want = {r["doc_id"]: r["copies"] for r in mixing.mix(unique).collect() if r["copies"]}
+    assert Counter(r["doc_id"] for r in mixing.mixed(unique).collect()) == want
+    assert mixing.mixed(unique.limit(0)).count() == 0
+
+
 # -- 10
 
 
