@@ -12,9 +12,9 @@ columns of documents.
 4. mixture: documents are repeated or left out as the mix says.
 5. sentencepiece: sampled segmentations, seeded by doc_id.
 
-Rows with equal ids are one document in several rows: they stay, go and repeat
-together.  Nulls, empty texts and empty tables pass through every stage as its
-operator defines.
+Every stage decides by row: rows that share an id, or have none, are documents
+of their own.  Nulls, empty texts and empty tables pass through every stage as
+its operator defines.
 """
 
 from __future__ import annotations
@@ -51,9 +51,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
-    taken = mixing.mix(docs).where("copies > 0").groupBy(F.col("doc_id").alias("id")).agg(F.max("copies").alias("copies"))
-    joined = docs.select(*COLUMNS).join(taken, F.col("doc_id").eqNullSafe(F.col("id")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*COLUMNS)
+    return mixing.mixed(docs.select(*COLUMNS))
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
