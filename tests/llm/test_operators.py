@@ -5,6 +5,7 @@ import json
 import math
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -198,7 +199,7 @@ def test_held_out_pages(weights):
     pages = htmltext.labelled_pages(80, seed=901)
     right = 0
     for h in pages:
-        p = htmltext.Page(h)
+        p = htmltext.Page(h, labelled=True)
         label = [p.label[0]]
         for k in range(1, len(p.parent)):
             label.append(p.label[k] if p.label[k] >= 0 else label[p.parent[k]])
@@ -215,6 +216,43 @@ def test_html_edge_cases(spark, weights):
     assert (got[0], got[1], got[3], got[4]) == ("", "", want, want)
 
 
+def article(inner):
+    return f"<body><nav><a href=x>Home</a></nav><article><h1>A title of it.</h1><p>The first paragraph has words enough.</p>{inner}<p>The last one has some more.</p></article><footer>c 2024</footer></body>"
+
+
+@pytest.mark.parametrize(
+    ("inner", "want"),
+    [
+        ("<p>" + "\u0130" * 30 + " before.</p><script>var a = '<p>no</p>';</script><p>After the script.</p>", "\u0130" * 30 + " before. After the script."),
+        ("<p>Where <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds it is so.</p>", "Where x=1 holds it is so."),
+        ("<p>Text.</p><object data=f.pdf><p>The fallback of the object is text.</p></object>", "Text. The fallback of the object is text."),
+        ("<p>Text.</p><noscript><p>Read by those without scripts, too.</p></noscript>", "Text. Read by those without scripts, too."),
+        ("<p data-label='Price'>A labelled price is text like any other.</p>", "A labelled price is text like any other."),
+        ("<p title='a > b class=ad'>Quotes may hold what looks like markup.</p>", "Quotes may hold what looks like markup."),
+        ("<p>Numbers &#0000065; and &#" + "9" * 5000 + "; are decoded.</p>", "Numbers A and \ufffd are decoded."),
+        ("<SCRIPT>no</ſcript> no</Script ><p>Only the real end tag counts here.</p>", "Only the real end tag counts here."),
+        ("<p>A stray </span></div> end tag</b> does nothing.</p>", "A stray end tag does nothing."),
+    ],
+)
+def test_article_text_is_kept(weights, inner, want):
+    got = htmltext.main_texts([article(inner)], *weights)[0]
+    assert got == f"A title of it. The first paragraph has words enough. {want} The last one has some more."
+
+
+@pytest.mark.parametrize("unit", ["<a ", "<", "<!", "<!--", "</", "<div>", "<p>", "<span>", "</span>", "<a '", '<p class="', "<title>", "<script>", "&#1", "<td><div>", "<b></p>", "<li><b>", "<div></p></span>", "<a class   "])
+def test_hostile_pages_are_read_in_linear_time(weights, unit):
+    html = unit * (1_000_000 // len(unit))
+    began = time.perf_counter()
+    htmltext.main_texts([f"<body><div>{html}"], *weights)
+    assert time.perf_counter() - began < 15
+
+
+def test_text_as_a_kept_column(spark):
+    df = spark.createDataFrame([(1, "t", "<article><p>Some words of an article here.</p></article>")], "page_id long, text string, html string")
+    assert htmltext.extract_text(df, keep=("page_id", "text")).columns == ["page_id", "_text", "text", "n_chars"]
+    assert htmltext.extract_text(df.limit(0), keep=("page_id",)).count() == 0
+
+
 # -- 4
 
 

@@ -19,8 +19,10 @@ otherwise.  Character references are decoded, white space becomes one space,
 block boundaries and line breaks count as white space.
 
 Edge cases: null or empty html, and html without content, give the empty
-string; unclosed and stray tags are tolerated; nothing is dropped for its
-length; repeated rows and null ids are passed along.
+string; unclosed and stray tags are tolerated; elements nested deeper than
+``MAX_DEPTH`` are siblings; nothing is dropped for its length; repeated rows and
+null ids are passed along, kept columns named like a result get underscores in
+front.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weir.llm.common import small_batches, table
+from weir.llm.common import kept_as, small_batches, table
 from weir.llm.langid import text_blocks
 
 THRESHOLD = 0.5
@@ -45,8 +47,9 @@ DECAY = 0.002
 
 #: Elements by how they are read.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style template svg iframe noscript textarea select object math title".split())
-INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
+#: Scripts, styles and form controls, whose inside is no text of the page, and what holds raw text only.
+RAW = frozenset("script style template textarea select iframe title".split())
+INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var math mi mn mo ms mtext mrow msup msub msubsup mfrac msqrt mroot semantics annotation svg g text tspan".split())
 ENDS_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 TAGS = "html head body header nav main article section aside footer form div p h1 h2 h3 h4 ul ol li dl dt dd table tr td th blockquote pre figure figcaption button address inline".split()
 ASIDE = frozenset(("nav", "aside", "footer", "form"))  # elements that speak against content as words do
@@ -54,112 +57,172 @@ ASIDE = frozenset(("nav", "aside", "footer", "form"))  # elements that speak aga
 AGAINST = frozenset("ad ads adv advert advertisement advertising adbox alert banner breadcrumb breadcrumbs byline comment comments commentlist consent cookie cookies copyright disclaimer discussion disqus feedback foot footer form gdpr head header legal login masthead menu meta modal nav navbar navigation newsletter notice notification overlay pager pagination paywall popup promo promoted promotion rail recommended related replies reply respond response responses search share sharing side sidebar signup skip social sponsor sponsored subscribe tags toolbar topbar toc warning widget".split())
 IN_FAVOUR = frozenset("article articlebody body content entry main maincontent page post postbody prose story storybody text".split())
 
-_TOKEN = re.compile(r"<!--(?:.*?-->|.*)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*+>", re.S)
-_ATTR = re.compile(r"""(?:^|\s)(class|id|role|aria-label|data-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+#: The rest of a tag after its name: quoted values may hold ``>``.
+_TAG_END = re.compile(r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>")
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*+")
+_ATTR = re.compile(r"""([^\s"'>/=]++)(?:\s*+=\s*+(?:"([^"]*)"|'([^']*)'|([^\s>]++)))?""")
+_READ = frozenset(("class", "id", "role", "aria-label"))
+_LONG_NUMBER = re.compile(r"&#0*+([0-9]{8,}+);?")
+_LEADING_ZEROS = re.compile(r"&#0++(?=[0-9])")
+#: Elements nested deeper hang under the one at this depth, as in browsers.
+MAX_DEPTH = 512
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _SENTENCE = re.compile(r"[.!?…。](?:\s|$)")
 
 
+def tokens(html: str) -> Iterator[tuple[int, int, str | None, bool, str]]:
+    """Markup in page order: (start, end, element name or None, whether it closes, attributes).
+
+    Each character is scanned a bounded number of times, whatever is missing:
+    a tag whose quotes don't close ends at the next ``>``, one without any
+    ``>`` is dropped with what follows it, as is an open comment.  Who reads
+    the tokens may send back a position to go on at.
+    """
+    at, size = 0, len(html)
+    while (at := html.find("<", at)) >= 0:
+        start = at
+        sent = None
+        if html.startswith("<!--", at):
+            end = html.find("-->", at + 4)
+            at = end + 3 if end >= 0 else size
+            sent = yield start, at, None, False, ""
+        elif html.startswith(("<!", "<?"), at):
+            end = html.find(">", at)
+            at = end + 1 if end >= 0 else size
+            sent = yield start, at, None, False, ""
+        else:
+            closes = html.startswith("</", at)
+            name = _NAME.match(html, at + 1 + closes)
+            if name is None:
+                at += 1
+                continue
+            rest = _TAG_END.match(html, name.end())
+            end = rest.end() if rest else html.find(">", name.end()) + 1
+            at = end or size
+            sent = yield start, at, name[0].lower(), closes, html[name.end() : at - 1] if end else ""
+        if sent is not None:
+            at = sent
+
+
+def decoded(raw: str) -> str:
+    """``raw`` with character references decoded; numbers beyond all characters are U+FFFD."""
+    if "&" not in raw:
+        return raw
+    if "&#" in raw:
+        raw = _LONG_NUMBER.sub("\ufffd", _LEADING_ZEROS.sub("&#", raw))
+    return unescape(raw)
+
+
+#: Where a raw element ends; only A-Z and a-z are alike in names.
+_RAW_END = {name: re.compile(rf"</{name}(?=[\s/>])[^>]*+(?:>|\Z)", re.I | re.A) for name in RAW}
+#: An element of the first kind ends an open one of the others.
+PEERS = {"li": ("li",), "tr": ("tr",), "option": ("option",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th")}
+
+
 class Page:
-    """Blocks of one page: parents, tags, cues and the text runs with the block each belongs to."""
+    """Blocks of one page: parents, tags, cues and the text runs with the block each belongs to.
+
+    ``labelled`` pages carry the state of a block in ``data-label``.
+    """
 
-    def __init__(self, html: str) -> None:
+    def __init__(self, html: str, labelled: bool = False) -> None:
         self.parent, self.tag, self.against, self.favour, self.label = [-1], ["html"], [0], [0], [-1]
+        self.depth = [0]
         self.runs: list[tuple[int, str]] = []
         self.links: dict[int, int] = {}
-        self._read(html)
+        self._read(html, labelled)
 
     def _open(self, parent: int, tag: str, against: int, favour: int, label: int) -> int:
-        for own, x in ((self.parent, parent), (self.tag, tag), (self.against, against), (self.favour, favour), (self.label, label)):
+        if self.depth[parent] >= MAX_DEPTH:
+            parent = self.parent[parent]
+        for own, x in ((self.parent, parent), (self.tag, tag), (self.against, against), (self.favour, favour), (self.label, label), (self.depth, self.depth[parent] + 1)):
             own.append(x)
         return len(self.parent) - 1
 
-    def _read(self, html: str) -> None:
+    def _read(self, html: str, labelled: bool) -> None:
         stack: list[tuple[str, int]] = [("html", 0)]  # open elements with their block
-        inside = {"p": 0, "a": 0}
+        opened: dict[str, int] = {}  # how many of each name are open
         at, runs = 0, self.runs
         body = False
+        unclosed = set()  # raw elements without an end tag in the rest of the page
+
+        def push(name: str, block: int) -> None:
+            stack.append((name, block))
+            opened[name] = opened.get(name, 0) + 1
 
         def need_body() -> None:
             """What stands in no other place is in the body, whether the page says so or not."""
             nonlocal body
             if not body and stack[-1][1] == 0:
                 body = True
-                stack.append(("body", self._open(0, "body", 0, 0, -1)))
-
-        lower = None
+                push("body", self._open(0, "body", 0, 0, -1))
 
         def text(raw: str) -> None:
             if raw:
                 if not raw.isspace():
                     need_body()
                 block = stack[-1][1]
-                raw = unescape(raw)
+                raw = decoded(raw)
                 runs.append((block, raw))
-                if inside["a"]:
+                if opened.get("a"):
                     self.links[block] = self.links.get(block, 0) + len(raw.strip())
 
         def close(name: str) -> None:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][0] == name:
-                    for gone, _ in stack[k:]:
-                        if gone in inside:
-                            inside[gone] -= 1
-                    del stack[k:]
-                    return
-
-        while (m := _TOKEN.search(html, at)) is not None:
-            text(html[at : m.start()])
-            at = m.end()
-            name = m[2]
-            if name is None:
-                continue
-            name = name.lower()
-            if m[1]:
+            if opened.get(name):
+                while True:
+                    gone = stack.pop()[0]
+                    opened[gone] -= 1
+                    if gone == name:
+                        return
+
+        reader = tokens(html)
+        token = next(reader, None)
+        while token is not None:
+            start, end, name, closes, attributes = token
+            text(html[at:start])
+            at, skip = end, None
+            if name is not None and closes:
                 if name not in INLINE:
                     runs.append((stack[-1][1], "\n"))
                 close(name)
-                continue
-            if name not in INLINE:
-                runs.append((stack[-1][1], "\n"))
-            if name in VOID or name == "html" or name == "body" and body:
-                continue
-            if name in RAW:
-                if not m[3].endswith("/"):
-                    lower = html.lower() if lower is None else lower
-                    end = lower.find(f"</{name}", at)
-                    if end < 0 and name == "title":
-                        continue
-                    stop = html.find(">", end) if end >= 0 else -1
-                    at = stop + 1 if stop >= 0 else len(html)
-                continue
-            if name == "body":
-                body = True
-            elif name != "head":
-                need_body()
-            if inside["p"] and name in ENDS_P:
-                close("p")
-            elif name in ("li", "dt", "dd", "tr", "td", "th", "option"):
-                peers = {"dt": ("dt", "dd"), "dd": ("dt", "dd"), "td": ("td", "th"), "th": ("td", "th")}.get(name, (name,))
-                if stack[-1][0] in peers or stack[-1][0] in INLINE and any(s[0] in peers for s in stack[-3:]):
-                    close(next(s[0] for s in reversed(stack) if s[0] in peers))
-            against, favour = int(name in ASIDE), 0
-            label = -1
-            if m[3]:
-                for key, *values in _ATTR.findall(m[3]):
-                    value = values[0] or values[1] or values[2]
-                    if key.lower() == "data-label":
-                        label = int(value)
-                        continue
-                    words = {w.lower() for w in _WORDS.findall(value)}
-                    against += len(words & AGAINST)
-                    favour += len(words & IN_FAVOUR)
-            if name in inside:
-                inside[name] += 1
-            block = stack[-1][1]
-            if name not in INLINE or against:
-                block = self._open(block, name if name not in INLINE else "inline", against, favour, label)
-            stack.append((name, block))
+            elif name is not None:
+                if name not in INLINE:
+                    runs.append((stack[-1][1], "\n"))
+                if name in RAW:
+                    if not attributes.endswith("/") and name not in unclosed:
+                        tail = _RAW_END[name].search(html, at)
+                        if tail is not None:
+                            at = skip = tail.end()
+                        elif name == "title":
+                            unclosed.add(name)
+                        else:
+                            at = skip = len(html)
+                elif not (name in VOID or name == "html" or name == "body" and body):
+                    if name == "body":
+                        body = True
+                    elif name != "head":
+                        need_body()
+                    if opened.get("p") and name in ENDS_P:
+                        close("p")
+                    elif name in PEERS and (stack[-1][0] in PEERS[name] or stack[-1][0] in INLINE and any(s[0] in PEERS[name] for s in stack[-3:])):
+                        close(next(s[0] for s in reversed(stack) if s[0] in PEERS[name]))
+                    against, favour, label = int(name in ASIDE), 0, -1
+                    for key, *values in _ATTR.findall(attributes):
+                        key, value = key.lower(), values[0] or values[1] or values[2]
+                        if key in _READ:
+                            words = {w.lower() for w in _WORDS.findall(value)}
+                            against += len(words & AGAINST)
+                            favour += len(words & IN_FAVOUR)
+                        elif labelled and key == "data-label":
+                            label = int(value)
+                    block = stack[-1][1]
+                    if name not in INLINE or against:
+                        block = self._open(block, name if name not in INLINE else "inline", against, favour, label)
+                    push(name, block)
+            try:
+                token = reader.send(skip)
+            except StopIteration:
+                token = None
         text(html[at:])
 
     def features(self) -> np.ndarray:
@@ -217,12 +280,7 @@ class Forest:
         self.first = np.cumsum([0, *[len(p.parent) for p in pages]])
         self.parent = np.concatenate([np.where(np.array(p.parent) < 0, -1, np.array(p.parent) + f) for p, f in zip(pages, self.first, strict=False)])
         self.x = np.concatenate([p.features() for p in pages])
-        depth = np.zeros(len(self.parent), np.int64)
-        for p, f in zip(pages, self.first, strict=False):
-            own = [0] * len(p.parent)
-            for k in range(1, len(own)):
-                own[k] = own[p.parent[k]] + 1
-            depth[f : f + len(own)] = own
+        depth = np.concatenate([np.array(p.depth) for p in pages])
         order = np.argsort(depth, kind="stable")
         cuts = np.searchsorted(depth[order], np.arange(int(depth.max()) + 2))
         self.levels = [order[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
@@ -356,7 +414,7 @@ def labelled_pages(count: int = LABELLED_PAGES, seed: int = 5) -> list[str]:
 @lru_cache(maxsize=2)
 def train(count: int = LABELLED_PAGES, steps: int = STEPS, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Node weights and edge table fitted on the labelled pages."""
-    pages = [Page(h) for h in labelled_pages(count, seed)]
+    pages = [Page(h, labelled=True) for h in labelled_pages(count, seed)]
     forest = Forest(pages)
     labels = np.zeros(len(forest.parent), np.int64)
     for p, f in zip(pages, forest.first, strict=False):
@@ -394,8 +452,8 @@ def extract_text(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...]
     weights, edge = train()
     rows = pages.select(*keep, F.col(html_col).cast("string").alias("_html"))
     fields = rows.schema.fields[:-1]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", text string, n_chars long"
-    names = [*[f.name for f in fields], "text", "n_chars"]
+    names = [*kept_as(keep, ("text", "n_chars")), "text", "n_chars"]
+    schema = ", ".join(f"`{n}` {f.dataType.simpleString()}" for n, f in zip(names, fields, strict=False)) + ", text string, n_chars long"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
