@@ -410,13 +410,69 @@ def test_chat_round_trip(turns):
     assert "".join(chat.unescape(text[a:b]) for a, b in spans) == "".join(t for r, t in turns if r == "assistant")
 
 
-def test_layouts_become_turns():
-    known = chat.registry()
-    assert len(known) == len(chat.MAPPINGS)
-    want = [("user", "q"), ("assistant", "a")]
-    for record in ({"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}]}, {"conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "a"}]}, {"prompt": "q", "completion": "a"}, {"instruction": "q", "output": "a"}, {"instruction": "q", "input": "", "output": "a"}, {"system": "", "instruction": "q", "input": "", "output": "a"}, {"messages": [{"role": "user", "content": [{"type": "text", "text": "q"}]}, {"role": "assistant", "content": [{"type": "text", "text": "a"}]}]}):
-        assert chat.canonical(record, known)[1] == want, record
-    assert chat.canonical({"unknown": 1}, known) == (None, [])
+MESSAGES = {"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}]}
+PARTS = {"messages": [{"role": "user", "content": [{"type": "text", "text": "q"}]}, {"role": "assistant", "content": [{"type": "text", "text": "a"}]}]}
+SHARED = {"conversations": [{"from": "human", "value": "q"}, {"from": "gpt", "value": "a"}]}
+WANT = [("user", "q"), ("assistant", "a")]
+
+
+@pytest.mark.parametrize(
+    ("layout", "record"),
+    [
+        ("messages", MESSAGES),
+        ("messages", MESSAGES | {"id": 7, "source": {"deep": [1, {"x": None}]}}),
+        ("messages", {"messages": [{"role": "user", "content": "q", "name": "n", "weight": 1}, {"role": "assistant", "content": "a"}]}),
+        ("messages", MESSAGES | {"prompt": "q"}),
+        ("message-parts", PARTS),
+        ("message-parts", {"messages": [{"role": "user", "content": [{"type": "image", "url": {"u": 1}}, {"type": "text", "text": "q"}]}, {"role": "assistant", "content": [{"type": "text", "text": "a"}]}]}),
+        ("message-mixed", {"messages": [PARTS["messages"][0], MESSAGES["messages"][1]]}),
+        ("from-value", SHARED),
+        ("from-value", SHARED | {"id": "x"}),
+        ("author-text", {"dialog": [{"author": "user", "text": "q"}, {"author": "bot", "text": "a"}]}),
+        ("prompt-completion", {"prompt": "q", "completion": "a", "meta": [[[]]]}),
+        ("prompt-response", {"prompt": "q", "response": "a"}),
+        ("question-answer", {"question": "q", "answer": "a"}),
+        ("instruction", {"instruction": "q", "output": "a", "category": "c"}),
+        ("instruction-input", {"instruction": "q", "input": "", "output": "a"}),
+        ("instruction-input", {"instruction": "q", "input": None, "output": "a"}),
+        ("system-instruction-input", {"system": "", "instruction": "q", "input": "", "output": "a"}),
+    ],
+)
+def test_layouts_become_turns(layout, record):
+    assert chat.Mappings().canonical(record) == (layout, WANT)
+
+
+def test_odd_records():
+    known = chat.Mappings()
+    for record in ({"unknown": 1}, None, 3, "x", [], [MESSAGES], {}, {"messages": [{"role": "user", "content": 7}]}, {"messages": [{"role": 1, "content": "x"}]}, {"messages": ["x"]}, {"messages": "x"}, {"messages": {"role": "user", "content": "x"}}, {"prompt": ["x"], "completion": "a"}, {"prompt": "x"}, {"messages": [{"role": "user", "content": {"text": "x"}}]}, {"conversations": [{"from": "human", "value": ["x"]}]}):
+        assert known.canonical(record) == (None, []), record
+    assert known.canonical({"messages": []})[1] == [] and known.canonical({"messages": [None, {"role": None, "content": None}]}) == ("messages", [("", ""), ("", "")])
+    plain = Counter(known.canonical(r)[0] for r in (MESSAGES, PARTS, SHARED))
+    assert plain == {"messages": 1, "message-parts": 1, "from-value": 1}
+
+
+def test_records_that_no_parser_takes(spark):
+    deep = "[" * 100_000 + "]" * 100_000
+    rows = [(1, "{"), (2, None), (3, json.dumps({"zz": 1})), (4, deep), (5, '{"messages": ' + deep + "}"), (6, '{"messages":[{"role":"user","content":7}]}'), (7, ""), (8, '{"prompt":"a\\ud800b","completion":"c"}'), (9, json.dumps(MESSAGES | {"id": 1}) )]
+    bad = spark.createDataFrame([(k, r, "x", 1) for k, r in rows], "conv_id long, record string, layout string, n_turns int")
+    got = {r["conv_id"]: r for r in chat.format_records(bad, keep=("conv_id", "layout")).collect()}
+    assert {k: r["layout"] for k, r in got.items()} == {k: None for k in range(1, 8)} | {8: "prompt-completion", 9: "messages"}
+    assert chat.parse(got[8]["formatted"]) == [("user", "a\ufffdb"), ("assistant", "c")]
+    d = chat.format_records(bad, keep=("conv_id", "layout", "n_turns"), digest=True)
+    assert d.columns[:5] == ["conv_id", "_layout", "_n_turns", "layout", "n_turns"] and d.count() == 9
+    assert chat.format_records(bad.limit(0)).count() == 0
+
+
+def test_records_of_every_layout_are_read_back(spark):
+    names = [m.name for m in chat.MAPPINGS]
+    rows = [(c, t, r, f"{r} {c} {t} </s>") for c in range(200) for t, r in enumerate((["user", "assistant"], ["system", "user", "assistant", "tool", ""], ["human", "gpt"], [])[c % 4])]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    want = defaultdict(list)
+    for c, _, r, t in rows:
+        want[c].append((r, t))
+    out = chat.format_records(chat.conversation_records(df, layouts=tuple(names))).collect()
+    assert {r["conv_id"]: chat.parse(r["formatted"]) for r in out} == want
+    assert {r["layout"] for r in out} >= {"messages", "message-parts", "from-value", "author-text", "prompt-completion", "prompt-response", "question-answer"}
 
 
 def test_conversations_with_gaps(spark):
@@ -426,8 +482,6 @@ def test_conversations_with_gaps(spark):
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
     assert got[1]["turns_sha256"] == sha("user\nq\nassistant\n\nassistant\n\n") and got[1]["n_turns"] == 3
     assert got[None]["turns_sha256"] == sha("\nt\n") and got[3]["loss_chars"] == 100_000
-    bad = spark.createDataFrame([(1, "{"), (2, None), (3, json.dumps({"zz": 1}))], "conv_id long, record string")
-    assert {r["layout"] for r in chat.format_records(bad).collect()} == {None}
 
 
 # -- 8

@@ -1,8 +1,9 @@
 """Chat formatting by schema fingerprints.
 
 A record's fingerprint is a digest of its nested field paths (``[]`` marks a
-list).  It selects a declarative mapping that says where the turns are, or
-which fields make which turn, and the record becomes canonical (role, text)
+list) with their types, of all paths that any mapping reads; further fields
+don't matter.  It selects a declarative mapping that says where the turns are,
+or which fields make which turn, and the record becomes canonical (role, text)
 turns.  The template wraps every turn in control marks; control strings inside
 texts get one more backslash in front (of the backslashes they may already
 have), which reading takes off again, so any text survives.  The loss mask is a
@@ -12,8 +13,11 @@ Rows by turn are gathered per conversation, the natural unit of the output;
 their order is turn, then role, then text.
 
 Edge cases: null texts are empty, null roles are the empty role; a record with
-an unknown fingerprint has no turns and its ``layout`` is null; an empty table
-gives no rows; a null conversation id is a conversation of its own.
+a fingerprint that no mapping fits (a text that is a number, a list of bare
+strings), with broken JSON, or nested too deep to parse has no turns and its
+``layout`` is null; lone surrogates become U+FFFD; an empty table gives no rows;
+a null conversation id is a conversation of its own.  Kept columns named like a
+result get underscores in front.
 """
 
 from __future__ import annotations
@@ -21,15 +25,16 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weir.llm.common import small_batches, table
+from weir.llm.common import kept_as, small_batches, table
 
 Turn = tuple[str, str]
 
@@ -42,48 +47,106 @@ _MARK = re.compile(rf"(?<!\\)(?:{_CONTROL})")
 _OPEN = {a: (role, b) for role, (a, b) in MARKS.items()}
 
 
-def paths(value: Any, at: str = "") -> set[str]:
-    """The nested field paths of a record; what a null or an empty list holds adds none."""
-    if isinstance(value, dict):
-        return set().union(*(paths(v, f"{at}.{k}" if at else str(k)) for k, v in value.items())) if value else set()
+Node = dict[str, "Node"]
+
+
+def _kind(value: Any) -> str:
+    """Type of a leaf: s string, 0 null, n number or boolean, d object, l list, e empty list."""
+    if value is None:
+        return "0"
     if isinstance(value, list):
-        return set().union(*(paths(v, f"{at}[]") for v in value)) if value else {f"{at}[]"}
-    return {at}
+        return "l" if value else "e"
+    return "s" if isinstance(value, str) else "d" if isinstance(value, dict) else "n"
+
+
+def paths(value: Any, known: Node) -> set[str]:
+    """The nested field paths of a record that some mapping reads, with the type of what is there.
+
+    ``known`` is the tree of those paths (``[]`` stands for the elements of a
+    list).  Other fields are not visited, so neither their number nor their
+    depth matters.
+    """
+    out: set[str] = set()
+    todo: list[tuple[Any, Node, str]] = [(value, known, "")]
+    while todo:
+        value, node, at = todo.pop()
+        if isinstance(value, list) and value and "[]" in node:
+            todo += [(v, node["[]"], f"{at}[]") for v in value]
+        elif isinstance(value, dict) and any(k != "[]" for k in node):
+            out.add(f"{at}:d")
+            todo += [(value[k], node[k], f"{at}.{k}") for k in node if k in value]
+        else:
+            out.add(f"{at}:{_kind(value)}")
+    return out
 
 
-def fingerprint(record: Any) -> str:
-    return hashlib.md5("\n".join(sorted(paths(record))).encode()).hexdigest()
+def fingerprint(found: set[str]) -> str:
+    return hashlib.md5("\n".join(sorted(found)).encode("utf-8", "surrogatepass")).hexdigest()
 
 
 @dataclass(frozen=True)
 class Mapping:
-    """Either ``turns`` (a list field with ``role`` and ``text`` inside), or ``fields``: role and the fields joined to its text."""
+    """Either ``turns`` (a list field with ``role`` and ``text`` inside), or ``fields``: role and the fields joined to its text.
+
+    With ``parts`` the text is a list of parts, each with its text in that
+    field (parts of other kinds have none); with ``either`` a string as well.
+    """
 
     name: str
     turns: str | None = None
     role: str = "role"
     text: str = "content"
-    parts: str | None = None  # field of the text where content is a list of parts
+    parts: str | None = None
+    either: bool = False
     roles: dict[str, str] = field(default_factory=dict)
     fields: tuple[tuple[str, tuple[str, ...]], ...] = ()
 
-    def layout(self) -> dict:
-        """A record of this layout, for the fingerprint."""
+    def leaves(self) -> dict[str, str]:
+        """The paths that the mapping reads, with the types that each may have."""
         if self.turns is None:
-            return {f: "" for _, names in self.fields for f in names}
-        text: Any = [{"type": "text", self.parts: ""}] if self.parts else ""
-        return {self.turns: [{self.role: "", self.text: text}]}
+            return {f".{f}": "s0" for _, names in self.fields for f in names}
+        at = f".{self.turns}[]"
+        out = {f"{at}.{self.role}": "s0"}
+        if self.parts is None or self.either:
+            out[f"{at}.{self.text}"] = "s0e" if self.either else "s0"
+        if self.parts:
+            out[f"{at}.{self.text}[].{self.parts}"] = "s0"
+        return out
+
+    def fits(self, found: set[str]) -> bool:
+        """Whether a record with these paths has all that the mapping reads, in types that it reads, and nothing else in its place."""
+        leaves = self.leaves()
+        above = {p[:k] for p in leaves for k in range(len(p)) if p.startswith((".", "[]"), k)}  # containers on the way
+        types: dict[str, set[str]] = {}
+        for f in found:
+            path, _, kind = f.rpartition(":")
+            types.setdefault(path, set()).add(kind)
+        empty = any(p in types and types[p] <= {"e"} for p in above if p)  # a list without elements says nothing more
+        for path, allowed in leaves.items():
+            if path not in types and not empty:
+                return False
+            if not types.get(path, set()) <= set(allowed) and not (self.either and path in above):
+                return False
+        for path, kinds in types.items():
+            if path in above:
+                either = "s" if self.either and path in leaves else ""
+                if not kinds <= set("d0e" + either) or path == "" and kinds != {"d"}:
+                    return False
+            elif path not in leaves and any(path.startswith((f"{p}.", f"{p}[")) for p in leaves):
+                return False
+        return True
 
     def read(self, record: dict) -> list[Turn]:
         if self.turns is None:
-            texts = [(role, "\n\n".join(str(record[f]) for f in names if record.get(f) not in (None, ""))) for role, names in self.fields]
+            texts = [(role, "\n\n".join(record[f] for f in names if record.get(f))) for role, names in self.fields]
             return [(role, text) for role, text in texts if text or role != "system"]
         out = []
         for t in record.get(self.turns) or []:
-            role, text = t.get(self.role) or "", t.get(self.text)
-            if self.parts:
-                text = "".join(p.get(self.parts) or "" for p in text or [])
-            out.append((self.roles.get(role, role), text or ""))
+            t = t or {}
+            role, text = t.get(self.role) or "", t.get(self.text) or ""
+            if not isinstance(text, str):
+                text = "".join((p or {}).get(self.parts) or "" for p in text)
+            out.append((self.roles.get(role, role), text))
         return out
 
 
@@ -91,6 +154,7 @@ _SHARED = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "as
 MAPPINGS = (
     Mapping("messages", turns="messages"),
     Mapping("message-parts", turns="messages", parts="text"),
+    Mapping("message-mixed", turns="messages", parts="text", either=True),
     Mapping("from-value", turns="conversations", role="from", text="value", roles=_SHARED),
     Mapping("author-text", turns="dialog", role="author", text="text", roles=_SHARED),
     Mapping("prompt-completion", fields=(("user", ("prompt",)), ("assistant", ("completion",)))),
@@ -102,14 +166,30 @@ MAPPINGS = (
 )
 
 
-def registry(mappings: tuple[Mapping, ...] = MAPPINGS) -> dict[str, Mapping]:
-    return {fingerprint(m.layout()): m for m in mappings}
+class Mappings:
+    """Mappings by fingerprint.  What a new fingerprint selects is found once: of the mappings that fit, the one that reads most paths."""
 
+    def __init__(self, mappings: tuple[Mapping, ...] = MAPPINGS) -> None:
+        self.mappings = mappings
+        self.known: Node = {}
+        for m in mappings:
+            for path in m.leaves():
+                node = self.known
+                for step in re.findall(r"\[\]|[^.\[\]]+", path):
+                    node = node.setdefault(step, {})
+        self.selected: dict[str, Mapping | None] = {}
 
-def canonical(record: Any, known: dict[str, Mapping]) -> tuple[str | None, list[Turn]]:
-    """Layout name and turns of a record; (None, []) if no mapping knows its fingerprint."""
-    m = known.get(fingerprint(record))
-    return (m.name, m.read(record)) if m else (None, [])
+    def select(self, record: Any) -> Mapping | None:
+        found = paths(record, self.known)
+        key = fingerprint(found)
+        if key not in self.selected:
+            self.selected[key] = max((m for m in self.mappings if m.fits(found)), key=lambda m: len(m.leaves()), default=None)
+        return self.selected[key]
+
+    def canonical(self, record: Any) -> tuple[str | None, list[Turn]]:
+        """Layout name and turns of a record; (None, []) if no mapping fits."""
+        m = self.select(record)
+        return (m.name, m.read(record)) if m else (None, [])
 
 
 def escape(text: str) -> str:
@@ -167,47 +247,85 @@ def digests(formatted: str, spans: list[tuple[int, int]]) -> tuple[int, str, int
 
 def format_records(records: DataFrame, json_col: str = "record", keep: tuple[str, ...] = ("conv_id",), mappings: tuple[Mapping, ...] = MAPPINGS, digest: bool = False) -> DataFrame:
     """The ``keep`` columns with layout, formatted and loss_spans; with ``digest`` what :func:`digests` gives instead."""
-    rows = records.select(*keep, F.col(json_col).alias("_json"))
+    rows = records.select(*keep, F.col(json_col).cast("string").alias("_json"))
     fields = rows.schema.fields[:-1]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", layout string"
-    names = [*[f.name for f in fields], "layout"]
     own = ["formatted", "loss_spans"] if not digest else ["n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
+    names = [*kept_as(keep, ("layout", *own)), "layout", *own]
+    schema = ", ".join(f"`{n}` {f.dataType.simpleString()}" for n, f in zip(names, fields, strict=False)) + ", layout string"
     schema += ", formatted string, loss_spans array<array<int>>" if not digest else ", n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     types = [pa.string(), pa.list_(pa.list_(pa.int32()))] if not digest else [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = registry(mappings)
+        known = Mappings(mappings)
         for batch in batches:
             layouts, made = [], []
-            for text in batch.column(batch.num_columns - 1).to_pylist():
+            for text in batch.column(batch.num_columns - 1):
                 try:
-                    layout, turns = canonical(json.loads(text) if text else None, known)
-                except ValueError:
+                    layout, turns = known.canonical(json.loads(text.as_py() or "null"))
+                except (ValueError, RecursionError):  # no JSON, or nested too deep to be a conversation
                     layout, turns = None, []
+                turns = [(_utf8(role), _utf8(text)) for role, text in turns]
                 formatted, spans = render(turns)
                 layouts.append(layout)
                 made.append(digests(formatted, spans) if digest else (formatted, [list(s) for s in spans]))
             new = [pa.array([m[k] for m in made], t) for k, t in enumerate(types)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(layouts, pa.string()), *new], names=[*names, *own])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(layouts, pa.string()), *new], names=names)
 
     return small_batches(rows).mapInArrow(run, schema)
 
 
-def conversation_records(turns: DataFrame, id_col: str = "conv_id") -> DataFrame:
-    """Rows by turn as one ``messages`` record (JSON) for each conversation."""
-    row = F.struct(F.col("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("content"))
-    gathered = turns.select(F.col(id_col), row.alias("t")).groupBy(id_col).agg(F.array_sort(F.collect_list("t")).alias("t"))
-    message = F.transform("t", lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content")))
-    return gathered.select(id_col, F.to_json(F.struct(message.alias("messages"))).alias("record"))
+def _utf8(text: str) -> str:
+    """``text`` with lone surrogates (JSON can spell them, no string column can hold them) as U+FFFD."""
+    return text if text.isascii() else text.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace")
 
 
+def conversation_records(turns: DataFrame, id_col: str = "conv_id", layouts: tuple[str, ...] = ("messages",)) -> DataFrame:
+    """Rows by turn as one record (JSON) for each conversation, dealt to the ``layouts`` by a hash of the id.
+
+    Layouts are names of ``MAPPINGS``.  A conversation that its layout can't
+    hold (a pair of fields holds one user's and one assistant's text; a shared
+    role name would be read as another) is a ``messages`` record.
+    """
+    by_name = {m.name: m for m in MAPPINGS}
+    row = F.struct(F.col("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("content"))
+    gathered = turns.select(F.col(id_col), row.alias("t")).groupBy(id_col).agg(F.array_sort(F.collect_list("t")).alias("t"))
+    roles = F.transform("t", lambda t: t["role"])
+
+    def one(name: str) -> tuple[Column, Column]:
+        """Whether a conversation can have this layout, and its record."""
+        m = by_name[name]
+        if m.turns is None:
+            wanted = F.array(*[F.lit(role) for role, _ in m.fields])
+            fields = [F.get(F.col("t"), k)["content"].alias(names[0]) for k, (_, names) in enumerate(m.fields)]
+            return (roles == wanted) & F.lit(all(len(names) == 1 for _, names in m.fields)), F.to_json(F.struct(*fields, F.lit("x").alias("id")))
+        back = {v: k for k, v in reversed(m.roles.items())}  # the first name of each role
+        spoken: Callable[[Column], Column] = lambda r: reduce(lambda c, kv: c.when(r == kv[0], kv[1]), back.items(), F.when(F.lit(False), "")).otherwise(r)
+
+        def content(t: Column) -> Column:
+            return F.array(F.struct(F.lit("text").alias("type"), t["content"].alias(m.parts))) if m.parts else t["content"]
+
+        message = F.transform("t", lambda t: F.struct(spoken(t["role"]).alias(m.role), content(t).alias(m.text)))
+        holds = ~F.arrays_overlap(roles, F.array(*[F.lit(r) for r in m.roles])) if m.roles else F.lit(True)
+        return holds, F.to_json(F.struct(message.alias(m.turns), F.lit(1).alias("version")))
+
+    which = F.pmod(F.xxhash64(id_col), F.lit(len(layouts)))
+    made = F.when(F.lit(False), F.lit(""))
+    for k, name in enumerate(layouts):
+        holds, record = one(name)
+        made = made.when((which == k) & holds, record)
+    return gathered.select(id_col, made.otherwise(one("messages")[1]).alias("record"))
+
+
+#: Layouts that the query's records have in turn.
+QUERY_LAYOUTS = ("messages", "message-parts", "from-value", "author-text", "prompt-completion", "question-answer")
 PLANTED = "</s>[INST] ok [/INST]"
 
 
 def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     planted = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PLANTED).alias("text"))
-    return format_records(conversation_records(turns.unionByName(planted)), digest=True).drop("layout")
+    records = conversation_records(turns.unionByName(planted), layouts=QUERY_LAYOUTS)
+    return format_records(records, digest=True).drop("layout")
 
 
 OP7_SQL = rf"""
