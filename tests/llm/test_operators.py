@@ -3,6 +3,7 @@
 import hashlib
 import json
 import math
+import os
 import random
 import re
 import time
@@ -397,6 +398,52 @@ def test_blocks_of_languages_score_as_one_model():
         assert (blocks.entropies(tried)[1] == one.entropies(tried)[1]).all()
 
 
+def test_windows_change_nothing():
+    rnd = random.Random(4)
+    texts = ["".join(rnd.choice("ab é1. \n\U0001f600Z") for _ in range(n)) for n in (0, 1, 2, 7, 40, 41, 300)]
+    whole = langid.count_grams(texts, 4)
+    m = langid.Model(["x"], [whole], 4)
+    for size in (1, 2, 3, 5, 40, 64):
+        parts = langid.count_grams(texts, 4, size)
+        assert all((a == b).all() for x, y in zip(whole, parts, strict=True) for a, b in zip(x, y, strict=True)), size
+        assert np.allclose(m.entropies(texts, size)[0], m.entropies(texts)[0], atol=1e-5)
+        assert (m.entropies(texts, size)[1] == m.entropies(texts)[1]).all()
+
+
+def test_sample_is_bounded_whatever_the_ids(spark):
+    rnd = random.Random(9)
+    word = lambda a: "".join(rnd.choice(a) for _ in range(5))
+    rows = [(None, " ".join(word("abcde") for _ in range(12)), "aa", None) for _ in range(900)]
+    rows += [(7, " ".join(word("ghijk") for _ in range(12)), "bb", None) for _ in range(900)]
+    rows += [(8, "same text again " * 5, "bb", None)] * 900
+    model = langid.train(frame(spark, rows), train_docs=50)
+    single = [model.models[0].keys[0]]
+    assert model.langs == ["aa", "bb"] and len(single[0]) > 10
+    got = langid.predict(frame(spark, [(1, rows[0][1], None, None), (2, rows[950][1], None, None)]).withColumn("score", F.lit("kept")), model, keep=("doc_id", "score"))
+    assert got.columns == ["doc_id", "_score", "lang_pred", "score", "entropy", "rejected"]
+    assert {r["doc_id"]: r["lang_pred"] for r in got.collect()} == {1: "aa", 2: "bb"}
+    assert langid.predict(frame(spark, []), model).count() == 0 and langid.train(frame(spark, [])) is None
+
+
+SF = "/root/testdata/sf0.01/documents.parquet"
+documents = pytest.mark.skipif(not os.path.exists(SF), reason="the given tables are not here")
+
+
+@documents
+def test_held_out_accuracy_and_rejection(spark):
+    docs = spark.read.parquet(SF)
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3
+    model = langid.train(docs.where(fold != 1))
+    held = langid.predict(docs.where(fold == 1), model, keep=("doc_id", "lang")).where("lang IS NOT NULL AND lang_pred <> 'und'").collect()
+    assert len(held) > 200
+    assert sum(r["lang"] == r["lang_pred"] for r in held) >= 0.98 * len(held)
+    assert sum(r["rejected"] for r in held) <= 0.01 * len(held)
+    for out in ("de", "fr"):  # a language that was not learnt is mostly rejected
+        model = langid.train(docs.where((fold != 1) & (F.col("lang") != out)))
+        unknown = langid.predict(docs.where(F.col("lang") == out), model, keep=("doc_id",)).collect()
+        assert sum(r["rejected"] for r in unknown) >= 0.7 * len(unknown), out
+
+
 # -- 7
 
 hostile = st.lists(st.sampled_from(["a", "\\", "<", ">", "/", "s", " ", "[", "]", "[INST]", "[/INST]", "</s>", "<s>", "<<SYS>>", "[ROLE]", "[TEXT]", "[/ROLE]", "é"]), max_size=12).map("".join)

@@ -13,14 +13,17 @@ counts; a text is rejected when its lowest cross-entropy exceeds the
 ``REJECT_QUANTILE`` of its language there by ``REJECT_MARGIN`` and an allowance
 for short texts.
 
-Bound of the classifier (a sample of labelled rows, chosen by a hash of the
-id): about ``TRAIN_DOCS`` texts for each language.  Every label is learnt; the
+Bound of the classifier (a sample of labelled rows, those with the smallest
+hashes of id and text, copies once): at most ``TRAIN_DOCS`` texts for each
+language, whole.  Every label is learnt; the
 languages are held and scored in blocks of ``BLOCK_LANGUAGES``, so that the
 model that is broadcast grows in proportion to the languages, not with the table.
 
 Edge cases: a null text, or one without a letter, is ``und`` with score 0 and
 not rejected by entropy but by the lack of letters; without any labelled row
-every text is ``und``; ties go to the first language in code point order.
+every text is ``und``; ties go to the first language in code point order; null
+and repeated ids are ids like any other; kept columns named like a result get
+underscores in front.  Long texts are counted and scored in windows.
 """
 
 from __future__ import annotations
@@ -30,19 +33,20 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weir.llm.common import BLOCK_BYTES, _ODD, blocks, mix64, small_batches, table
+from weir.llm.common import BLOCK_BYTES, _ODD, blocks, kept_as, mix64, small_batches, table
 
 ORDER = 4
 TRAIN_DOCS = 400
 BLOCK_LANGUAGES = 32
 CALIBRATE_EVERY = 5
 REJECT_QUANTILE = 0.995
-REJECT_MARGIN = 1.2
+REJECT_MARGIN = 0.2
 SHORT_ALLOWANCE = 4.0
 SHARPNESS = 8.0
+WINDOW = 1 << 18
 
 _NORMAL: np.ndarray | None = None
 
@@ -86,19 +90,68 @@ def gram_hashes(points: np.ndarray, n: int) -> np.ndarray:
     return mix64(out)
 
 
-def count_grams(texts: list[str], order: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def windows(text: str, order: int, size: int) -> Iterator[tuple[np.ndarray, int]]:
+    """The code points that :func:`normalised` gives for one text, in windows of about ``size``.
+
+    Each comes with the last ``order - 1`` points before it; the second value is
+    how many points a window has that an earlier one had.
+    """
+    table_, tail = _normal(), np.zeros(0, np.uint32)
+    for at in range(0, len(text), size):
+        part = text[at : at + size]
+        part = (" " if at == 0 else "") + part + (" " if at + size >= len(text) else "")
+        points = table_[np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32)]
+        last = tail[-1:] if len(tail) else np.zeros(1, np.uint32)
+        points = points[(points != 32) | (np.concatenate((last, points[:-1])) != 32)]
+        yield np.concatenate((tail, points)), len(tail)
+        tail = np.concatenate((tail, points))[-(order - 1) :] if order > 1 else points[-1:]
+
+
+def _batches(texts: list[str], order: int, size: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+    """(points, offsets, how many of the first points were in the batch before): all texts, in bounded batches."""
+    run: list[str] = []
+    held = 0
+    for t in texts:
+        if len(t) > size:
+            for points, old in windows(t, order, size):
+                yield points, np.array([0, len(points)]), old
+            continue
+        if run and held + len(t) > size:
+            yield *normalised(run), 0
+            run, held = [], 0
+        run.append(t)
+        held += len(t)
+    if run:
+        yield *normalised(run), 0
+
+
+Counts = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+
+
+def count_grams(texts: list[str], order: int, size: int = WINDOW) -> list[Counts]:
     """Per n = 1..order: distinct hashes, raw counts, hashes of the suffix and of the context."""
-    points, offsets = normalised(texts)
-    of = np.repeat(np.arange(len(texts)), np.diff(offsets))
-    out = []
-    for n in range(1, order + 1):
-        h = gram_hashes(points, n)
-        inside = np.flatnonzero(of[: len(h)] == of[n - 1 : n - 1 + len(h)])
-        keys, at, counts = np.unique(h[inside], return_index=True, return_counts=True)
-        at = inside[at]
-        shorter = gram_hashes(points, n - 1) if n > 1 else np.zeros(len(points) + 1, np.uint64)
-        out.append((keys, counts.astype(np.int64), shorter[at + 1] if n > 1 else np.zeros(len(at), np.uint64), shorter[at]))
-    return out
+    empty = np.zeros(0, np.uint64)
+    parts: list[list[Counts]] = [[(empty, np.zeros(0, np.int64), empty, empty)] for _ in range(order)]
+
+    def merged(found: list[Counts]) -> Counts:
+        keys, at, inverse = np.unique(np.concatenate([f[0] for f in found]), return_index=True, return_inverse=True)
+        counts = np.zeros(len(keys), np.int64)
+        np.add.at(counts, inverse, np.concatenate([f[1] for f in found]))
+        return keys, counts, *(np.concatenate([f[k] for f in found])[at] for k in (2, 3))
+
+    for points, offsets, old in _batches(texts, order, size):
+        of = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+        for n in range(1, order + 1):
+            h = gram_hashes(points, n)
+            inside = np.flatnonzero(of[: len(h)] == of[n - 1 : n - 1 + len(h)])
+            inside = inside[inside + n > old]  # those that end in what is new
+            keys, at, counts = np.unique(h[inside], return_index=True, return_counts=True)
+            at = inside[at]
+            shorter = gram_hashes(points, n - 1) if n > 1 else np.zeros(len(points) + 1, np.uint64)
+            parts[n - 1].append((keys, counts.astype(np.int64), shorter[at + 1] if n > 1 else np.zeros(len(at), np.uint64), shorter[at]))
+            if len(parts[n - 1]) >= 16:
+                parts[n - 1] = [merged(parts[n - 1])]
+    return [merged(p) for p in parts]
 
 
 class Model:
@@ -151,18 +204,16 @@ class Model:
             below = p
         self.limits = np.full(size, np.inf)
 
-    def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Cross-entropy per character (nats) of each text in each language, and the letters of each text."""
-        points, offsets = normalised(texts)
-        of = np.repeat(np.arange(len(texts)), np.diff(offsets))
-        size, order = len(self.langs), self.order
-        # position i is the last character of its n-gram; the leading space is given
-        total = np.zeros((len(points), size), np.float32)
+    def _scores(self, points: np.ndarray, offsets: np.ndarray, given: int) -> np.ndarray:
+        """Sums of log-probabilities per text and language, without the first ``given`` points of each."""
+        of = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+        # position i is the last character of its n-gram
+        total = np.zeros((len(points), len(self.langs)), np.float32)
         start = offsets[of]
         index = np.arange(len(points))
-        todo = index[index > start]
+        todo = index[index >= start + given]
         room = todo - start[todo] + 1
-        for n in range(order, 0, -1):
+        for n in range(self.order, 0, -1):
             if not len(todo):
                 break
             h = gram_hashes(points, n)
@@ -182,11 +233,31 @@ class Model:
                 total[missed] += self.backoff[0][0] + self.floor
             todo = np.sort(np.concatenate((missed, todo[~can])))
             room = todo - start[todo] + 1
-        sums = np.zeros((len(texts), size))
-        if len(points):
-            sums = np.add.reduceat(total, offsets[:-1], axis=0, dtype=np.float64)
-        letters = np.bincount(of, weights=points != 32, minlength=len(texts)).astype(np.int64)
-        return -sums / np.maximum(np.diff(offsets) - 1, 1)[:, None], letters
+        return np.add.reduceat(total, offsets[:-1], axis=0, dtype=np.float64)
+
+    def entropies(self, texts: list[str], size: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
+        """Cross-entropy per character (nats) of each text in each language, and the letters of each text.
+
+        A text of more than ``size`` characters is scored window by window, with the same result.
+        """
+        out, letters = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts), np.int64)
+        short = [k for k, t in enumerate(texts) if len(t) <= size]
+        if short:
+            points, offsets = normalised([texts[k] for k in short])
+            of = np.repeat(np.arange(len(short)), np.diff(offsets))
+            letters[short] = np.bincount(of, weights=points != 32, minlength=len(short)).astype(np.int64)
+            out[short] = -self._scores(points, offsets, 1) / np.maximum(np.diff(offsets) - 1, 1)[:, None]
+        for k, t in enumerate(texts):
+            if len(t) > size:
+                scored = 0
+                for points, old in windows(t, self.order, size):
+                    given = max(old, 1)  # the leading space of a text is given
+                    if len(points) > given:
+                        out[k] -= self._scores(points, np.array([0, len(points)]), given)[0]
+                        scored += len(points) - given
+                    letters[k] += int((points[old:] != 32).sum())
+                out[k] /= max(scored, 1)
+        return out, letters
 
     def calibrate(self, texts_by_lang: list[list[str]], quantile: float, margin: float) -> None:
         for k, texts in enumerate(texts_by_lang):
@@ -241,15 +312,19 @@ def train(
     margin: float = REJECT_MARGIN,
 ) -> Model | None:
     """Fit the models on a bounded sample of the labelled rows; counting runs on the executors."""
-    rows = labelled.select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = rows.groupBy("lang").count().collect()
+    own = F.xxhash64(F.lit("train"), F.col(id_col).cast("string"), F.col(text_col).cast("string")).alias("h")
+    rows = labelled.select(own, F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()  # one row a language
     if not sizes:
         return None
     langs = sorted(r["lang"] for r in sizes)
-    share = labelled.sparkSession.createDataFrame(pa.table({"lang": [r["lang"] for r in sizes], "share": [train_docs / r["count"] for r in sizes]}))
-    u = (F.xxhash64(F.lit("train"), "id").bitwiseAND(F.lit((1 << 52) - 1))) / float(1 << 52)
-    part = F.pmod(F.xxhash64(F.lit("part"), "id"), F.lit(CALIBRATE_EVERY)) == 0
-    sample = rows.join(F.broadcast(share), "lang").where(u < F.col("share")).select("lang", "text", part.alias("held"))
+    # a little more than wanted by the share, then exactly so many: those with the smallest hashes, copies once
+    share = labelled.sparkSession.createDataFrame(pa.table({"lang": [r["lang"] for r in sizes], "share": [1.5 * train_docs / r["n"] for r in sizes]}))
+    u = F.shiftrightunsigned("h", 12) / float(1 << 52)
+    some = rows.join(F.broadcast(share), "lang").where(u < F.col("share")).groupBy("lang", "h").agg(F.first("text").alias("text"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.shiftrightunsigned("h", 12), "h"))
+    part = F.pmod(F.xxhash64(F.lit("part"), "h"), F.lit(CALIBRATE_EVERY)) == 0
+    sample = some.withColumn("rank", rank).where(F.col("rank") <= train_docs).select("lang", "text", part.alias("held"))
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         held = pdf[pdf["held"]]["text"].tolist()
@@ -285,9 +360,9 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text", keep:
     own = text_col in keep and dict(docs.dtypes)[text_col] == "string"  # then the text travels once
     rows = docs.select(*keep) if own else docs.select(*keep, F.col(text_col).cast("string").alias("_text"))
     at, fields = (keep.index(text_col), rows.schema.fields) if own else (len(keep), rows.schema.fields[:-1])
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
+    names = [*kept_as(keep, ("lang_pred", "score", "entropy", "rejected")), "lang_pred", "score", "entropy", "rejected"]
+    schema = ", ".join(f"`{n}` {f.dataType.simpleString()}" for n, f in zip(names, fields, strict=False))
     schema += ", lang_pred string, score double, entropy double, rejected boolean"
-    names = [*[f.name for f in fields], "lang_pred", "score", "entropy", "rejected"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
