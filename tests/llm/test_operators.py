@@ -1,5 +1,6 @@
 """Edge cases and brute-force comparisons of the ten operators and the pipeline."""
 
+import bisect
 import hashlib
 import json
 import math
@@ -329,6 +330,48 @@ def test_long_secrets_are_covered_whole(spark):
     assert out[100] == ("token = [CARD] end", []) and out[101] == ("password: [EMAIL] end", [])
 
 
+def test_many_matches_in_one_text(spark):
+    """100,000 matches of base and added kinds, with overlaps, within seconds and equal to plain code."""
+    rnd = random.Random(3)
+    some = ["me@example.com", "10.1.2.3", "4111111111111111", "+1 (578) 555-6437", "token=abcdefgh1", "my ssn is 123-45-6789", "x", "iban DE89 3704 0044 0532 0130 00", "password: a.b@example.com"]
+    many = " ".join(rnd.choice(some) for _ in range(125_000)) + " é\U0001f600 me@x.yz"
+    texts = [many, "a@b.cd " * 100_000, "secret=aaaaaaaaaa " * 50_000, " ".join(rnd.choice(some) for _ in range(700))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    began = time.perf_counter()
+    found = pii.find_pii(df).select("doc_id", pii.joined(F.col("pii_base")).alias("b"), pii.joined(F.col("pii_spans")).alias("s"), pii.redact(F.col("text"), F.col("pii_spans")).alias("t"))
+    out = {r["doc_id"]: r for r in found.collect()}
+    assert time.perf_counter() - began < 90
+    secret, ssn = re.compile(r"(?<![a-zA-Z])(?:password|token|secret)\s{0,3}[=:]\s{0,3}[A-Za-z0-9_+/.~-]{8,}"), re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
+    for k, t in enumerate(texts):
+        want = base_spans(t)
+        assert out[k]["b"] == want
+        spans = [(int(a), int(b), kind) for kind, a, b in (x.split(":") for x in out[k]["s"].split(","))]
+        base = sorted((int(a), int(b)) for _, a, b in (x.split(":") for x in want.split(",") if x))
+        starts = [a for a, _ in base]
+        got = [(a, b) for a, b, kind in spans if kind in ("secret", "ssn")]
+        free = []
+        for m in [*secret.finditer(t), *ssn.finditer(t)]:
+            end = min(m.end(), m.start() + pii.SECRET_HEAD) if m.re is secret else m.end()
+            i = bisect.bisect_left(starts, end)
+            if not any(b > m.start() for _, b in base[max(0, i - 3) : i]):
+                free.append((m.start(), m.end()))
+        assert sorted(got) == sorted(free)
+        done, at = [], 0
+        for a, b, kind in spans:
+            if a >= at:
+                done += [t[at:a], f"[{kind.upper()}]"]
+            at = max(at, b)
+        assert out[k]["t"] == "".join(done) + t[at:]
+
+
+def test_personal_data_of_odd_rows(spark):
+    assert pii.find_pii(odd(spark)).count() == len(ODD) + 3 and pii.find_pii(frame(spark, [])).count() == 0
+    with pytest.raises(ValueError, match="exist"):
+        pii.find_pii(odd(spark).withColumn("PII_base", F.lit(1)))
+    renamed = pii.find_pii(odd(spark).withColumn("pii_base", F.lit("own")), base_col="b", spans_col="s")
+    assert {r["pii_base"] for r in renamed.collect()} == {"own"}
+
+
 # -- 6
 
 
@@ -712,6 +755,61 @@ def test_samples_follow_the_lattice(vocabulary):
             assert abs(seen[p] / n - math.exp(s) / z) < 0.02
 
 
+def brute_encode(vocabulary, text, key, seed=pieces.SEED, alpha=pieces.ALPHA):
+    """Forward filtering and backward sampling of one text, unit by unit, in plain code."""
+    mix = lambda x: int(pieces.mix64(np.array([x & (2**64 - 1)], np.uint64))[0])
+    out = []
+    units = re.findall(r" *[^ \n]+| +|\n", " " + text) if text else []
+    for place, u in enumerate(units):
+        forward, edges = [1.0] + [0.0] * len(u), [[] for _ in range(len(u) + 1)]
+        for j in range(1, len(u) + 1):
+            for i in range(j - 1, max(-1, j - 1 - vocabulary.longest), -1):  # shortest piece first
+                k = vocabulary.ids.get(u[i:j])
+                if k is not None:
+                    edges[j].append((forward[i] * math.exp(alpha * vocabulary.scores[k]), i, [k]))
+                elif i == j - 1:
+                    edges[j].append((forward[i] * math.exp(-alpha * pieces.SPELLED_COST), i, [vocabulary.byte_ids[b] for b in u[i].encode()]))
+            forward[j] = sum(w for w, _, _ in edges[j])
+        state = mix(mix(key ^ mix(seed)) + place * 0x9E3779B97F4A7C15)
+        at, got = len(u), []
+        while at:
+            state = mix(state + 0xD1B54A32D192ED03)
+            draw, total = state >> 32, 0.0
+            for n, (w, i, ids) in enumerate(edges[at]):
+                total += w / forward[at]
+                if draw < round(total * 2**32) or n + 1 == len(edges[at]):
+                    got[:0], at = ids, i
+                    break
+        out += got
+    return out
+
+
+def test_segmentations_against_plain_code(vocabulary):
+    rnd = random.Random(2)
+    texts = [" ".join("".join(rnd.choice("etaoinshrdlu日é") for _ in range(rnd.randrange(1, 8))) for _ in range(30)) for _ in range(12)] + ["", " ", "a\n\nb  c"]
+    keys = np.arange(len(texts), dtype=np.uint64)
+    assert [x.tolist() for x in pieces.Sampler(vocabulary).encode(texts, keys)] == [brute_encode(vocabulary, t, int(k)) for t, k in zip(texts, keys, strict=True)]
+
+
+def test_draws_do_not_depend_on_what_a_worker_saw(vocabulary):
+    """A fresh sampler, one with other lattices before, one at large node numbers, other blocks and parts: the same ids."""
+    rnd = random.Random(6)
+    word = lambda: "".join(rnd.choice("etaoinshrdlucmfw") for _ in range(rnd.randrange(1, 14)))
+    texts = [" ".join(word() for _ in range(400)) + "\n\n" + "x" * 60 for _ in range(20)]
+    keys = np.arange(20, dtype=np.uint64)
+    want = [x.tolist() for x in pieces.Sampler(vocabulary).encode(texts, keys)]
+    warm = pieces.Sampler(vocabulary)
+    warm.encode([" ".join(word() for _ in range(5_000))], keys[:1])
+    far = pieces.Sampler(vocabulary)
+    far.nodes = 1 << 29
+    for s in (warm, far):
+        assert [x.tolist() for x in s.encode(texts, keys)] == want
+    one = pieces.Sampler(vocabulary)
+    assert [one.encode([t], keys[k : k + 1])[0].tolist() for k, t in enumerate(texts)] == want
+    for size in (1, 100, 999):
+        assert [x.tolist() for x in pieces.Sampler(vocabulary).encode(texts, keys, size)] == want
+
+
 def test_encoding_rows(spark, vocabulary):
     df = odd(spark)
     out = pieces.encode(df, vocabulary, keep=("doc_id", "text"))
@@ -720,6 +818,9 @@ def test_encoding_rows(spark, vocabulary):
     d = pieces.encode(df, vocabulary, digests=True).collect()
     assert all(r["lossless"] for r in d) and len(d) == len(ODD) + 3
     assert len({(r["doc_id"], r["ids_sha256"]) for r in d}) == len(ODD) + 1
+    clash = pieces.encode(df.withColumn("n_pieces", F.lit("own")), vocabulary, keep=("doc_id", "n_pieces"), digests=True)
+    assert clash.columns[:3] == ["doc_id", "_n_pieces", "n_pieces"] and {r["_n_pieces"] for r in clash.collect()} == {"own"}
+    assert pieces.encode(frame(spark, []), vocabulary).count() == 0 and pieces.decoded(pieces.encode(frame(spark, []), vocabulary), vocabulary).count() == 0
 
 
 # -- the pipeline

@@ -23,7 +23,8 @@ and characters outside the vocabulary are spelled in byte pieces; decoding
 concatenates bytes and drops the one leading space that encoding adds.
 
 Edge cases: a null or empty text has no pieces and decodes to the empty text;
-a null key is a key like any other; repeated rows are segmented alike.
+a null key is a key like any other; repeated rows are segmented alike; kept
+columns named like a result get underscores in front.
 """
 
 from __future__ import annotations
@@ -38,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weir.llm.common import _ODD, lists, mix64, small_batches, table
+from weir.llm.common import _ODD, kept_as, lists, mix64, small_batches, table
 from weir.llm.langid import text_blocks
 
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
@@ -49,6 +50,9 @@ MAX_CACHED_UNITS = 40_000
 LONG_UNIT = 48
 WIDTH = 8
 SPELLED_COST = 12.0
+BITS = 32
+#: Characters of one text that are segmented at once.
+PART_CHARS = 1 << 19
 
 
 class Vocabulary:
@@ -97,8 +101,11 @@ class Vocabulary:
 class Sampler:
     """Forward-filtered lattices of units, and backward sampling of many units at once.
 
-    Node ``k`` owns the values in ``(k, k + 1]`` of the cumulative array; node 0
-    is the start of every unit.
+    Node 0 is the start of every unit.  Node ``k`` owns the integers in
+    ``(k << BITS, (k + 1) << BITS]`` of the cumulative array: its shares in units of
+    ``2**-BITS``, rounded on their own, so that neither the number of a node nor
+    what a worker has seen before changes a draw.  Sums go over edges in fixed
+    order, whatever else is in the block.
     """
 
     def __init__(self, vocabulary: Vocabulary, alpha: float = ALPHA, seed: int = SEED) -> None:
@@ -108,7 +115,8 @@ class Sampler:
         cost = alpha * max(SPELLED_COST, -min(vocabulary.scores.values(), default=0.0))
         self.short = max(1, min(LONG_UNIT, int(600 / max(cost, 1e-9))))
         self.spelled_weight = math.exp(-alpha * SPELLED_COST)
-        self.endings = [(keys, ids, spelled[:, 0].copy(), np.exp(alpha * values)) for keys, ids, spelled, values in vocabulary.by_length]
+        weigh = lambda values: np.array([math.exp(alpha * x) for x in values.tolist()])
+        self.endings = [(keys, ids, spelled[:, 0].copy(), weigh(values)) for keys, ids, spelled, values in vocabulary.by_length]
         self.unit = re.compile(r" *[^ \n]+| +|\n" if vocabulary.split else r"(?s:.+)")
         self.clear()
 
@@ -116,7 +124,7 @@ class Sampler:
         self.known: dict[str, int] = {}
         self.nodes = 1
         self.size = 0
-        self.cum, self.come, self.piece = np.zeros(1 << 16), np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
+        self.cum, self.come, self.piece = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
         self.spelled: list[bytes] = []
         self.spelled_of: dict[str, int] = {}
 
@@ -159,12 +167,12 @@ class Sampler:
             at, node = 0.0, base + j
             for w, (_, i, k) in zip(weights, edges, strict=True):
                 at += w / total
-                cum.append(node + min(at, 1.0))
+                cum.append((node << BITS) + round(min(at, 1.0) * (1 << BITS)))
                 come.append(base + i if i else 0)
                 piece.append(k)
-            cum[-1] = node + 1.0
+            cum[-1] = (node + 1) << BITS
         self.nodes += n
-        self._append(np.array(cum), np.array(come, np.int32), np.array(piece, np.int32))
+        self._append(np.array(cum, np.int64), np.array(come, np.int32), np.array(piece, np.int32))
         return base + n
 
     def _filter_all(self, units: list[str]) -> tuple[np.ndarray, list[int]]:
@@ -215,13 +223,16 @@ class Sampler:
             n = min(width, j + 1)
             x = weight[rows, :n]
             x *= forward[slot[rows][:, None] - steps[:n]]
-            total = x.sum(1)
+            total = x[:, 0].copy()
+            for c in range(1, n):
+                total += x[:, c]
             forward[slot[rows]] = total
             weight[rows, :n] = x / total[:, None]
         row, col = np.nonzero(weight)
         node = self.nodes + np.arange(len(chars))
-        cum = np.minimum(np.cumsum(weight, 1)[row, col], 1.0) + node[row]
-        cum[np.concatenate((row[1:] != row[:-1], [True]))] = node + 1.0
+        share = np.minimum(np.cumsum(weight, 1)[row, col], 1.0)
+        cum = (node[row] << BITS) + np.rint(share * (1 << BITS)).astype(np.int64)
+        cum[np.concatenate((row[1:] != row[:-1], [True]))] = (node + 1) << BITS
         come = np.where(at[row] - col > 0, node[row] - col - 1, 0)
         self._append(cum, come.astype(np.int32), piece[row, col])
         self.nodes += len(chars)
@@ -246,13 +257,27 @@ class Sampler:
         flat = np.concatenate((np.arange(size, dtype=np.int32), np.array([b for x in spell for b in x], np.int32)))
         return width, np.cumsum(width) - width, flat
 
-    def encode(self, texts: list[str], keys: np.ndarray) -> list[np.ndarray]:
-        """Piece ids of every text; ``keys`` (uint64) seed the draws."""
-        units, counts = [], []
-        for t in texts:
-            found = self.unit.findall(" " + t) if t else []
-            units += found
-            counts.append(len(found))
+    def encode(self, texts: list[str], keys: np.ndarray, part_chars: int = PART_CHARS) -> list[np.ndarray]:
+        """Piece ids of every text; ``keys`` (uint64) seed the draws.  Long texts go in parts, with the same result."""
+        if not self.v.split or all(len(t) <= part_chars for t in texts):
+            return self._encode([self.unit.findall(" " + t) if t else [] for t in texts], np.zeros(len(texts), np.int64), keys)
+        out = []
+        for k, t in enumerate(texts):
+            made, place, run, held = [], 0, [], 0
+            for m in self.unit.finditer(" " + t if t else ""):
+                if run and held + len(m[0]) > part_chars:
+                    made += self._encode([run], np.array([place]), keys[k : k + 1])
+                    place, run, held = place + len(run), [], 0
+                run.append(m[0])
+                held += len(m[0])
+            made += self._encode([run], np.array([place]), keys[k : k + 1])
+            out.append(np.concatenate(made))
+        return out
+
+    def _encode(self, found: list[list[str]], first: np.ndarray, keys: np.ndarray) -> list[np.ndarray]:
+        """Piece ids of some units of each text, of which the first is unit ``first`` of its text."""
+        units = [u for f in found for u in f]
+        counts = [len(f) for f in found]
         known = self.known
         new = sorted(u for u in set(units) if u not in known)
         keep, kept_size, kept_nodes = len(known) < MAX_CACHED_UNITS, self.size, self.nodes
@@ -261,8 +286,8 @@ class Sampler:
         cum, come, piece = self.cum[: self.size], self.come, self.piece
         width, begin, flat = self._spellings()
         counts = np.array(counts, np.int64)
-        of = np.repeat(np.arange(len(texts)), counts)
-        place = np.arange(len(units)) - np.repeat(np.cumsum(counts) - counts, counts)
+        of = np.repeat(np.arange(len(found)), counts)
+        place = np.arange(len(units)) - np.repeat(np.cumsum(counts) - counts - first, counts)
         state = mix64(mix64(keys ^ self.seed)[of] + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
         active = np.argsort(last)  # neighbours in the arrays are looked up together
         node, state = last[active], state[active]
@@ -270,11 +295,10 @@ class Sampler:
         steps = np.zeros(len(units), np.int64)
         while len(active):
             state = mix64(state + np.uint64(0xD1B54A32D192ED03))
-            u = np.maximum((state >> np.uint64(11)).astype(np.float64) * 2.0**-53, 1e-7)
-            edge = np.searchsorted(cum, node + u)
+            edge = np.searchsorted(cum, (node << BITS) + (state >> np.uint64(64 - BITS)).astype(np.int64), "right")
             drawn.append((active, piece[edge]))
             steps[active] += 1
-            node = come[edge]
+            node = come[edge].astype(np.int64)
             more = node > 0
             active, node, state = active[more], node[more], state[more]
         if not keep:
@@ -310,9 +334,11 @@ def decode(ids: list[int] | np.ndarray, table_: list[bytes]) -> str:
     return raw[1:].decode("utf-8", "surrogatepass")
 
 
-def _names(rows: DataFrame) -> tuple[str, list[str]]:
+def _names(rows: DataFrame, own: tuple[str, ...]) -> tuple[str, list[str]]:
+    """Schema and names of the kept columns of ``rows`` (all but the last two), free of the operator's ``own``."""
     fields = rows.schema.fields[:-2]
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), [f.name for f in fields]
+    names = kept_as(tuple(f.name for f in fields), own)
+    return "".join(f"`{n}` {f.dataType.simpleString()}, " for n, f in zip(names, fields, strict=True)), names
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary | None = None, text_col: str = "text", key_col: str | Column = "doc_id", keep: tuple[str, ...] = ("doc_id",), alpha: float = ALPHA, seed: int = SEED, digests: bool = False) -> DataFrame:
@@ -320,8 +346,9 @@ def encode(docs: DataFrame, vocabulary: Vocabulary | None = None, text_col: str
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary or Vocabulary.load())  # bounded by the vocabulary
     key = F.xxhash64(F.col(key_col) if isinstance(key_col, str) else key_col)
     rows = docs.select(*keep, key.alias("_key"), F.col(text_col).cast("string").alias("_text"))
-    schema, names = _names(rows)
-    schema += ", n_pieces long, ids_sha256 string, text_sha256 string, lossless boolean" if digests else ", piece_ids array<int>"
+    own = ("n_pieces", "ids_sha256", "text_sha256", "lossless") if digests else ("piece_ids",)
+    schema, names = _names(rows, own)
+    schema += "n_pieces long, ids_sha256 string, text_sha256 string, lossless boolean" if digests else "piece_ids array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = shared.value
@@ -340,9 +367,9 @@ def encode(docs: DataFrame, vocabulary: Vocabulary | None = None, text_col: str
                         pa.array([hashlib.sha256(x.encode("utf-8", "surrogatepass")).hexdigest() for x in back]),
                         pa.array([a == b for a, b in zip(back, texts, strict=True)]),
                     ]
-                    yield pa.RecordBatch.from_arrays([*kept, *new], names=[*names, "n_pieces", "ids_sha256", "text_sha256", "lossless"])
+                    yield pa.RecordBatch.from_arrays([*kept, *new], names=[*names, *own])
                 else:
-                    yield pa.RecordBatch.from_arrays([*kept, lists(pa.int32(), ids)], names=[*names, "piece_ids"])
+                    yield pa.RecordBatch.from_arrays([*kept, lists(pa.int32(), ids)], names=[*names, *own])
 
     return small_batches(rows).mapInArrow(run, schema)
 
@@ -351,14 +378,14 @@ def decoded(encoded: DataFrame, vocabulary: Vocabulary | None = None, ids_col: s
     """The ``keep`` columns with the text that ``ids_col`` spells."""
     shared = encoded.sparkSession.sparkContext.broadcast((vocabulary or Vocabulary.load()).bytes)
     rows = encoded.select(*keep, F.lit(0).alias("_key"), F.col(ids_col).alias("_ids"))
-    schema, names = _names(rows)
+    schema, names = _names(rows, ("text",))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [decode(x or [], shared.value) for x in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(texts, pa.string())], names=[*names, "text"])
 
-    return small_batches(rows).mapInArrow(run, f"{schema}, text string")
+    return small_batches(rows).mapInArrow(run, f"{schema}text string")
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
