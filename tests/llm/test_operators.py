@@ -91,6 +91,36 @@ def test_frequent_lines_are_removed_per_host(spark):
     assert text == "a\nc"
 
 
+def test_hashes_do_not_depend_on_the_steps(monkeypatch):
+    import pyarrow as pa
+
+    from weir.llm import common
+
+    rnd = random.Random(11)
+    texts = ["".join(rnd.choice("ab \n\té日#") for _ in range(n)) for n in (0, 1, 90, 300, 5)]
+    whole = [(quality.block_stats(b), [x.tolist() for x in common.shingle_sets(b, 3)]) for b in common.blocks(pa.array(texts))]
+    for step in (1, 2, 7, 64, 100):
+        monkeypatch.setattr(common, "STEP", step)
+        for b, (stats, sets) in zip(common.blocks(pa.array(texts)), whole, strict=True):
+            again = quality.block_stats(b)
+            assert all(str(again[k]) == str(stats[k]) for k in stats), step
+            assert [x.tolist() for x in common.shingle_sets(b, 3)] == sets, step
+
+
+def test_repeated_rows_are_one_document_of_a_host(spark):
+    body = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, f"{body} a\nshared line", "en", "h")] * 9 + [(None, f"{body} b\nshared line", "en", "h")] * 3 + [(None, f"{body} {k}\nother line", "en", "h") for k in range(4)] + [(2, f"{body} c\nother line", "en", None)]
+    docs = frame(spark, rows).withColumn("_kept", F.lit("x")).repartition(3)
+    got = quality.line_quality(docs, line_limit=3).collect()
+    assert len(got) == len(rows)
+    assert all(r["removed_words"] == (2 if r["doc_id"] is None and r["host"] == "h" and r["most_docs"] else 0) for r in got)
+    assert sum(r["removed_words"] > 0 for r in got) == 4
+    texts = Counter(r["text"] for r in quality.cleaned(docs, line_limit=3).collect())
+    assert texts == Counter(t.replace("\nother line", "") if i is None and "other" in t else t for i, t, _, _ in rows)
+    assert quality.line_quality(frame(spark, [])).count() == 0 and quality.cleaned(frame(spark, [])).count() == 0
+    assert quality.cleaned(docs, line_limit=0).columns == docs.columns
+
+
 # -- 2
 
 

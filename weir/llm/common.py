@@ -3,7 +3,8 @@
 Words are maximal runs of bytes other than space and ``\\x09``-``\\x0D``.  All
 vectorised code works on the UTF-8 buffer that Arrow hands over, in blocks of
 about ``BLOCK_BYTES`` so that the working set of a task stays bounded whatever
-the batch size is; only one text longer than a block makes a larger block.
+the batch size is.  Only a text longer than a block makes a larger one; what is
+kept for each of its bytes is then the byte itself, the rest is kept by word.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 BLOCK_BYTES = 1 << 18
 ARROW_ROWS = 2000
+#: Bytes over which running sums are taken at once; a long text takes several.
+STEP = 1 << 18
 WORD = r"[^\x20\x09-\x0D]+"
 
 _rng = np.random.default_rng(20240501)
@@ -58,12 +61,36 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def span_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of every ``values[start:end]`` (uint64), in one pass over the values."""
-    sums = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * POWERS.upto(len(values)), out=sums[1:])
-    inverse = POWERS_INV.upto(len(values) + 1)
-    return mix64((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * np.uint64(_BASE))
+def sums_at(data: np.ndarray, table_: np.ndarray | None, positions: np.ndarray, base: int | None = None) -> np.ndarray:
+    """Sums of ``table_[data[:p]]`` (of ``data[:p]`` without a table) for sorted positions p, step by step.
+
+    With a ``base`` the i-th value counts ``base**i`` times, modulo 2^64.
+    """
+    kind = np.int64 if base is None else np.uint64
+    out = np.zeros(len(positions), kind)
+    carry, scale = kind(0), np.uint64(1)
+    for a in range(0, len(data), STEP):
+        part = data[a : a + STEP]
+        part = part if table_ is None else table_[part]
+        if base is None:
+            local = np.cumsum(part, dtype=kind)
+        else:
+            local = np.cumsum(part * POWERS.upto(len(part)), dtype=kind) * scale
+            scale = scale * np.uint64(pow(base, STEP, 1 << 64))
+        lo, hi = np.searchsorted(positions, (a, a + len(part)), "right")
+        out[lo:hi] = carry + local[positions[lo:hi] - a - 1]
+        carry = carry + local[-1]
+    return out
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table_: np.ndarray | None = None) -> np.ndarray:
+    """A 64-bit hash of every ``data[start:end]`` (by its values in ``table_``); starts and ends are sorted."""
+    with np.errstate(over="ignore"):
+        sums = sums_at(data, table_, ends, _BASE) - sums_at(data, table_, starts, _BASE)
+    far = starts // STEP
+    steps = np.cumprod(np.full(int(far.max()) + 1 if len(far) else 1, pow(_BASE_INV, STEP, 1 << 64), np.uint64)) * np.uint64(pow(_BASE, STEP, 1 << 64))
+    inverse = POWERS_INV.upto(min(STEP, len(data) + 1))[starts - far * STEP] * steps[far]
+    return mix64(sums * inverse + (ends - starts).astype(np.uint64) * np.uint64(_BASE))
 
 
 class Block:
@@ -79,20 +106,25 @@ class Block:
 
     def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts and ends of all words, and per text the index of its first word (n + 1 entries)."""
-        solid = ~_SPACES[self.data]
-        edge = np.zeros(len(self.data) + 1, bool)
-        edge[self.offsets] = True
-        before = np.concatenate(([False], solid[:-1])) if len(solid) else solid
-        after = np.concatenate((solid[1:], [False])) if len(solid) else solid
-        starts = np.flatnonzero(solid & (~before | edge[:-1]))
-        ends = np.flatnonzero(solid & (~after | edge[1:])) + 1
-        return starts, ends, np.searchsorted(starts, self.offsets)
-
-    def per_text(self, flags: np.ndarray) -> np.ndarray:
-        """How many of the flagged bytes each text has."""
-        sums = np.zeros(len(flags) + 1, np.int64)
-        np.cumsum(flags, out=sums[1:])
-        return sums[self.offsets[1:]] - sums[self.offsets[:-1]]
+        starts, ends, last = [], [], False
+        for a in range(0, len(self.data), STEP):
+            solid = ~_SPACES[self.data[a : a + STEP + 1]]
+            after = np.append(solid[1:], False)[:STEP]
+            solid = solid[:STEP]
+            lo, hi = np.searchsorted(self.offsets, a), np.searchsorted(self.offsets, a + len(solid), "right")
+            edge = np.zeros(len(solid) + 1, bool)
+            edge[self.offsets[lo:hi] - a] = True
+            before = np.concatenate(([last], solid[:-1]))
+            starts.append(np.flatnonzero(solid & (~before | edge[:-1])) + a)
+            ends.append(np.flatnonzero(solid & (~after | edge[1:])) + a + 1)
+            last = bool(solid[-1])
+        joined = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
+        first = joined(starts)
+        return first, joined(ends), np.searchsorted(first, self.offsets)
+
+    def per_text(self, table_: np.ndarray) -> np.ndarray:
+        """The sum of ``table_`` over the bytes of each text."""
+        return np.diff(sums_at(self.data, table_, self.offsets))
 
 
 def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[Block]:
@@ -120,7 +152,7 @@ def shingle_sets(block: Block, width: int) -> list[np.ndarray]:
     without words has none.
     """
     starts, ends, firsts = block.words()
-    hashes = span_hashes(BYTE_VALUES_LOWER[block.data], starts, ends)
+    hashes = span_hashes(block.data, starts, ends, BYTE_VALUES_LOWER)
     count = np.diff(firsts)
     wins = np.zeros(0, np.uint64)
     if len(hashes) >= width:

@@ -12,8 +12,11 @@ back under ``SALTS`` copies so that the rows of one frequent line meet in many
 tasks.  The texts themselves are never shuffled.
 
 Edge cases: a null text counts as empty; an empty text has no words and fails
-the base rules; a null host is a host of its own; rows are documents, so a
-repeated row counts again; further columns are ignored.
+the base rules; a null host is a host of its own; rows that repeat id, host and
+text are one document, which counts once and is judged alike in every row; null
+ids with different texts are different documents; an empty table gives no rows;
+further columns are ignored (:func:`line_quality`) or passed along
+(:func:`cleaned`).
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weir.llm.common import (
@@ -33,10 +36,12 @@ from weir.llm.common import (
     _ODD,
     blocks,
     cut,
+    free_names,
     lists,
     mix64,
     small_batches,
     span_hashes,
+    sums_at,
     table,
 )
 
@@ -48,10 +53,11 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 SALTS = 16
 
+_FIRST_BYTES = (np.arange(256) & 0xC0) != 0x80  # of a code point
 _SYMBOLS = np.zeros(256, bool)
 _SYMBOLS[[ord(c) for c in "#*$%&|<>"]] = True
 
-STATS = "row_key long, doc_id long, host string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, line_no array<int>, line_hash array<long>, line_words array<int>"
+STATS = "row_key long, doc_id long, host string, h long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, line_no array<int>, line_hash array<long>, line_words array<int>"
 
 
 def _repeated(hashes: np.ndarray, text_of: np.ndarray, n: int) -> np.ndarray:
@@ -81,11 +87,9 @@ def block_stats(block: Block) -> dict[str, object]:
     starts, ends, firsts = block.words()
     counts = np.diff(firsts)
     text_of = np.repeat(np.arange(n), counts)
-    exact = span_hashes(BYTE_VALUES[data], starts, ends)
-    folded = span_hashes(BYTE_VALUES_LOWER[data], starts, ends)
-    chars = np.zeros(len(data) + 1, np.int64)
-    np.cumsum((data & 0xC0) != 0x80, out=chars[1:])
-    sizes = chars[ends] - chars[starts]
+    exact = span_hashes(data, starts, ends, BYTE_VALUES)
+    folded = span_hashes(data, starts, ends, BYTE_VALUES_LOWER)
+    sizes = sums_at(data, _FIRST_BYTES, ends) - sums_at(data, _FIRST_BYTES, starts)
     word_sums = np.concatenate(([0], np.cumsum(sizes)))
     # lines: cut at every line feed and at the ends of the texts
     feeds = np.flatnonzero(data == 10)
@@ -96,7 +100,7 @@ def block_stats(block: Block) -> dict[str, object]:
     line_last = np.searchsorted(starts, finish)
     line_no = np.arange(len(begin)) - np.searchsorted(line_text, line_text)
     full = np.flatnonzero(line_last > line_first)
-    raw = span_hashes(BYTE_VALUES[data], begin[full], finish[full]) ^ mix64(line_text[full].astype(np.uint64) + np.uint64(7))
+    raw = span_hashes(data, begin[full], finish[full], BYTE_VALUES) ^ mix64(line_text[full].astype(np.uint64) + np.uint64(7))
     norm = span_hashes(folded, line_first[full], line_last[full])
     of = line_text[full]
     distinct = np.zeros(n, np.int64)
@@ -107,7 +111,7 @@ def block_stats(block: Block) -> dict[str, object]:
     return {
         "n_words": counts,
         "word_chars": word_sums[firsts[1:]] - word_sums[firsts[:-1]],
-        "n_symbols": block.per_text(_SYMBOLS[data]),
+        "n_symbols": block.per_text(_SYMBOLS),
         "n_dup_lines": np.bincount(of, minlength=n) - distinct,
         "n_repeat_words": _repeated(exact, text_of, n),
         "line_no": split(line_no[full].astype(np.int32)),
@@ -119,10 +123,10 @@ def block_stats(block: Block) -> dict[str, object]:
 def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     key = TaskContext.get().partitionId() << 40
     for batch in batches:
-        ids, host, texts = batch.column(0), batch.column(1), batch.column(2)
+        texts = batch.column(3)
         for block in blocks(texts):
             s = block_stats(block)
-            columns = [pa.array(np.arange(key, key + block.n)), ids.slice(block.first, block.n), host.slice(block.first, block.n)]
+            columns = [pa.array(np.arange(key, key + block.n)), *[batch.column(c).slice(block.first, block.n) for c in range(3)]]
             columns += [pa.array(s[k].astype(np.int64)) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
             columns += [lists(pa.int32(), s["line_no"]), lists(pa.int64(), s["line_hash"]), lists(pa.int32(), s["line_words"])]
             key += block.n
@@ -139,11 +143,19 @@ def line_quality(
     min_left_words: int = MIN_LEFT_WORDS,
 ) -> DataFrame:
     """One row per row of ``docs``: statistics, base verdict, removed lines and final verdict."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(host_col).cast("string").alias("host"), F.col(text_col).cast("string").alias("text"))
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(host_col).cast("string").alias("host"), F.xxhash64(text).alias("h"), text.alias("text"))
     stats = cut(small_batches(rows).mapInArrow(_stats, STATS))
+    counted = stats
+    again = cut(stats.groupBy("host", "doc_id", "h").agg(F.min("row_key").alias("first"), F.count("*").alias("n")).where("n > 1"))
+    if not again.isEmpty():  # rows that repeat a document don't count
+        listed = again.select(*[F.col(c).alias(f"a_{c}") for c in ("host", "doc_id", "h")], "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("a_salt"))
+        same = [F.col(c).eqNullSafe(F.col(f"a_{c}")) for c in ("host", "doc_id", "h")]
+        on = same[0] & same[1] & same[2] & (F.pmod(F.xxhash64("row_key"), F.lit(SALTS)) == F.col("a_salt"))
+        counted = stats.join(listed, on, "left").where("first IS NULL OR first = row_key")
     key = F.xxhash64(F.coalesce(F.col("host"), F.lit("")), F.col("host").isNull(), F.col("hash")).alias("key")
     frequent = (
-        stats.select("host", F.explode(F.array_distinct("line_hash")).alias("hash"))
+        counted.select("host", F.explode(F.array_distinct("line_hash")).alias("hash"))
         .groupBy(key)
         .agg(F.count("*").alias("n_docs"))
         .where(F.col("n_docs") > line_limit)
@@ -172,13 +184,35 @@ def line_quality(
     )
 
 
-def remove_lines(text: str | F.Column, removed_lines: str | F.Column) -> F.Column:
+def remove_lines(text: str | Column, removed_lines: str | Column) -> Column:
     """The text without the numbered lines, as a column (feed it the decisions joined to the documents)."""
     text, removed = (F.col(c) if isinstance(c, str) else c for c in (text, removed_lines))
     kept = F.filter(F.split(text, "\n", -1), lambda _, i: ~F.array_contains(removed, i))
     return F.when(F.size(removed) == 0, text).otherwise(F.array_join(kept, "\n"))
 
 
+def cleaned(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text", **limits: float) -> DataFrame:
+    """``docs`` without rejected rows, and without the removed lines in the texts of the others.
+
+    Rows equal in id, host and text share their decisions, so these are joined
+    by hashes of the three; rows that stay as they are meet no decision.
+    """
+    judged = line_quality(docs, id_col, host_col, text_col, **limits).where("NOT kept OR size(removed_lines) > 0")
+    k0, k1, kept, lines = free_names(("_k0", "_k1", "_kept", "_lines"), docs.columns)
+
+    def keys(doc_id: Column, host: Column, h: Column) -> tuple[Column, Column]:
+        known = F.concat(doc_id.isNull().cast("string"), host.isNull().cast("string"))
+        return F.xxhash64(doc_id, host, h, known), F.xxhash64(F.lit("second"), doc_id, host, h, known)
+
+    of_row = keys(F.col("doc_id"), F.col("host"), F.col("h"))
+    judged = judged.groupBy(of_row[0].alias(k0), of_row[1].alias(k1)).agg(F.first("kept").alias(kept), F.first("removed_lines").alias(lines))
+    text = F.col(text_col).cast("string")
+    own = keys(F.col(id_col).cast("long"), F.col(host_col).cast("string"), F.xxhash64(text))
+    joined = docs.join(judged, (own[0] == F.col(k0)) & (own[1] == F.col(k1)), "left").where(F.coalesce(F.col(kept), F.lit(True)))
+    done = F.when(F.col(lines).isNull(), text).otherwise(remove_lines(text, F.col(lines)))
+    return joined.select(*[done.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
+
+
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "removed_words", "kept"
