@@ -310,6 +310,37 @@ def test_urls(spark):
     assert got[8][2:] == (None, "block") and got[9][2] == "com/" and got[10][2:] == (None, "allow") and got[11][:3] == ("", "", None)
 
 
+def test_a_million_rules(spark, tmp_path):
+    """Against a plain dictionary of rules, from a file, with hosts and paths of all depths."""
+    rnd = random.Random(12)
+    name = lambda n: "".join(rnd.choice("abcdefgh") for _ in range(n))
+    some = {".".join(name(rnd.randrange(1, 5)) for _ in range(rnd.randrange(1, 4))) + rnd.choice(["", "/", "/" + name(2), "/" + name(1) + "/" + name(2)]) for _ in range(1_000_000)}
+    (tmp_path / "list").write_text("# blocked\n\n" + "\n".join(some) + "\n")
+    urls = ["https://" + ".".join(name(rnd.randrange(1, 4)) for _ in range(rnd.randrange(1, 6))) + "/" + "/".join(name(rnd.randrange(1, 3)) for _ in range(rnd.randrange(0, 4))) for _ in range(3_000)]
+    urls += ["http://" + "a." * 200_000 + "b/", "http://x/" + "y/" * 200_000, "http://." + "." * 1000, "http://ab..cd./"]
+
+    def plain(url):
+        host, path = urlfilter.split_url(url)
+        labels = host.split(".")
+        for k in range(len(labels)):
+            suffix = ".".join(labels[k:])
+            for d in range(min(len(path), 6), -1, -1):
+                if suffix and suffix + path[:d] in some:
+                    return suffix + path[:d]
+
+    df = spark.createDataFrame([(k, u, "x") for k, u in enumerate(urls)], "page_id long, url string, verdict string")
+    out = urlfilter.judge_urls(df, rules=str(tmp_path / "list"), blocked=(), keep=("page_id", "verdict"))
+    assert out.columns == ["page_id", "_verdict", "host", "path", "rule", "verdict"]
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in out.collect()}
+    short = [k for k, u in enumerate(urls) if len(u) < 5_000]
+    want = {k: plain(urls[k]) for k in short}
+    assert sum(w is not None for w in want.values()) > 300
+    assert {k: got[k] for k in short} == {k: (w, "block" if w else "allow") for k, w in want.items()}
+    served = len(spark.sparkContext.listFiles)
+    again = urlfilter.judge_urls(df.limit(0), rules=str(tmp_path / "list"), blocked=())
+    assert again.count() == 0 and len(spark.sparkContext.listFiles) == served
+
+
 # -- 5
 
 BASE = [

@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from weir.ship import ship
+
 BLOCK_BYTES = 1 << 18
 ARROW_ROWS = 2000
 #: Bytes over which running sums are taken at once; a long text takes several.
@@ -206,11 +208,12 @@ def kept_as(keep: tuple[str, ...], own: tuple[str, ...]) -> list[str]:
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """``df``, with the session's Arrow batches held to ``ARROW_ROWS`` rows.
+    """``df``, with the session's Arrow batches held to ``ARROW_ROWS`` rows and the package at its workers.
 
     A batch of texts exists several times on its way to Python and back; at the
     default of 10,000 rows that is most of a small executor's memory.
     """
+    ship(df.sparkSession)
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(conf.get(key, "10000")) <= ARROW_ROWS:
         conf.set(key, str(ARROW_ROWS))
@@ -223,7 +226,7 @@ def cut(df: DataFrame) -> DataFrame:
     The folder is ``spark.checkpoint.dir``; only where that is unset, as in
     tests on one machine, a folder below the warehouse is used.
     """
-    context = df.sparkSession.sparkContext
+    context = ship(df.sparkSession).sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         shared = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(shared or df.sparkSession.conf.get("spark.sql.warehouse.dir") + "/_checkpoints")

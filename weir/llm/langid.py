@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weir.llm.common import BLOCK_BYTES, _ODD, blocks, kept_as, mix64, small_batches, table
+from weir.ship import ship
 
 ORDER = 4
 TRAIN_DOCS = 400
@@ -312,6 +313,7 @@ def train(
     margin: float = REJECT_MARGIN,
 ) -> Model | None:
     """Fit the models on a bounded sample of the labelled rows; counting runs on the executors."""
+    ship(labelled.sparkSession)
     own = F.xxhash64(F.lit("train"), F.col(id_col).cast("string"), F.col(text_col).cast("string")).alias("h")
     rows = labelled.select(own, F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang IS NOT NULL AND text IS NOT NULL")
     sizes = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()  # one row a language

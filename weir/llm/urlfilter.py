@@ -13,15 +13,18 @@ many rules there are.  The file travels by ``SparkContext.addFile``: a lost
 executor's successor fetches it again, and each maps its own copy.
 
 Edge cases: a null URL, or one without ``://``, has empty host and path and
-fits no rule; equal rules keep the last action; the longest rule wins, first by
-the length of its host, then of its path.
+fits no rule; a rule without ``/`` fits every path; equal rules keep the last
+action; the longest rule wins, first by the length of its host, then of its
+path; repeated rows and null ids are passed along, an empty table gives no rows;
+kept columns named like a result get underscores in front.
 """
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -31,7 +34,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weir.llm.common import small_batches, table
+from weir.llm.common import kept_as, small_batches, table
 
 #: Rules of the query, and the method's own block list (used where no rule fits).
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
@@ -44,16 +47,30 @@ def digest(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))
 
 
+def rules_of(source: str | Iterable[tuple[str, str]], action: str = "block") -> Iterable[tuple[str, str]]:
+    """(action, rule) pairs: as given, or one rule a line of a UTF-8 file (blank lines and those with ``#`` in front don't count)."""
+    if not isinstance(source, str):
+        return source
+    with open(source, encoding="utf-8") as lines:
+        return [(action, line) for line in map(str.strip, lines) if line and not line.startswith("#")]
+
+
+def _host_size(rule: str) -> int:
+    return rule.find("/") if "/" in rule else len(rule)
+
+
 def build_digest_file(rules: Iterable[tuple[str, str]], path: str) -> None:
     """Writes header, sorted digests, actions, string offsets, strings and path lengths."""
     unique = {rule: action for action, rule in rules}
-    rows = sorted((digest(rule), rule, action) for rule, action in unique.items())
-    raw = [rule.encode("utf-8", "surrogatepass") for _, rule, _ in rows]
-    depths = np.array(sorted({len(rule) - rule.index("/") for _, rule, _ in rows}), np.int64)
+    names = list(unique)
+    keys = np.fromiter(map(digest, names), np.uint64, len(names))
+    order = np.lexsort((np.array(names, object), keys)) if len(np.unique(keys)) < len(keys) else np.argsort(keys)
+    raw = [names[k].encode("utf-8", "surrogatepass") for k in order.tolist()]
+    depths = np.array(sorted({len(rule) - _host_size(rule) for rule in names}), np.int64)
     with open(path, "wb") as out:
-        out.write(np.array([len(rows), len(depths), sum(map(len, raw))], np.int64).tobytes())
-        out.write(np.array([k for k, _, _ in rows], np.uint64).tobytes())
-        out.write(np.array([a == "block" for _, _, a in rows], np.int64).tobytes())
+        out.write(np.array([len(names), len(depths), sum(map(len, raw)), max(map(_host_size, names), default=0)], np.int64).tobytes())
+        out.write(keys[order].tobytes())
+        out.write(np.array([unique[names[k]] == "block" for k in order.tolist()], np.int64).tobytes())
         out.write(np.cumsum([0, *map(len, raw)], dtype=np.int64).tobytes())
         out.write(depths.tobytes())
         out.write(b"".join(raw))
@@ -63,8 +80,8 @@ class DigestArray:
     """The mapped file; ``find`` answers many strings at once."""
 
     def __init__(self, path: str) -> None:
-        n, d, size = np.memmap(path, np.int64, "r", shape=(3,)).tolist()
-        at = 24
+        n, d, size, self.widest = np.memmap(path, np.int64, "r", shape=(4,)).tolist()
+        at = 32
 
         def part(kind: type, length: int) -> np.ndarray:
             nonlocal at
@@ -104,14 +121,17 @@ def split_url(url: str | None) -> tuple[str, str]:
     return host, tail[:stop]
 
 
-def candidates(host: str, path: str, depths: list[int]) -> list[str]:
-    """The rules that could fit, longest first."""
-    suffixes, at = [host], host.find(".")
-    while at >= 0:
-        suffixes.append(host[at + 1 :])
-        at = host.find(".", at + 1)
-    prefixes = [path[:d] for d in sorted(depths, reverse=True) if d <= len(path)]
-    return [s + p for s in suffixes if s for p in prefixes]
+def candidates(host: str, path: str, rules: DigestArray) -> list[str]:
+    """The rules that could fit, longest first: none has a longer host than the widest rule."""
+    at = max(0, len(host) - rules.widest)
+    if at and host[at - 1] != ".":
+        at = host.find(".", at) + 1 or len(host)
+    suffixes = []
+    while at < len(host):
+        suffixes.append(host[at:])
+        at = host.find(".", at) + 1 or len(host)
+    prefixes = [path[:d] for d in sorted(rules.depths, reverse=True) if d <= len(path)]
+    return [s + p for s in suffixes for p in prefixes]
 
 
 def longest_rule(rules: DigestArray, parts: list[tuple[str, str]]) -> np.ndarray:
@@ -123,7 +143,7 @@ def longest_rule(rules: DigestArray, parts: list[tuple[str, str]]) -> np.ndarray
     for key in keys:
         if key not in own:
             own[key] = len(own)
-            found = candidates(*key, rules.depths)
+            found = candidates(*key, rules)
             texts += found
             owner += [own[key]] * len(found)
     hits = rules.find(texts)
@@ -133,19 +153,33 @@ def longest_rule(rules: DigestArray, parts: list[tuple[str, str]]) -> np.ndarray
     return best[[own[k] for k in keys]] if keys else np.zeros(0, np.int64)
 
 
-def judge_urls(pages: DataFrame, rules: Iterable[tuple[str, str]] = RULES, blocked: Iterable[str] = BLOCKED, default: str = DEFAULT, url_col: str = "url", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
-    """The ``keep`` columns with host, path, rule and verdict."""
-    context = pages.sparkSession.sparkContext
-    folder = tempfile.mkdtemp()  # only the driver writes and serves it
-    names = {}
-    for kind, rows in (("rules", rules), ("blocked", [("block", b) for b in blocked])):
-        names[kind] = f"{kind}-{uuid.uuid4().hex}.digests"
-        build_digest_file(rows, os.path.join(folder, names[kind]))
-        context.addFile(os.path.join(folder, names[kind]))
+def _shared_file(spark: SparkSession, rules: list[tuple[str, str]]) -> str:
+    """Name of the digest file of these rules, built and served once a session; the driver's copy goes with the driver."""
+    content = xxhash.xxh3_128()
+    for action, rule in rules:
+        content.update(f"{action} {rule}\n".encode("utf-8", "surrogatepass"))
+    name = f"urls-{content.hexdigest()}.digests"
+    if not any(x.endswith(name) for x in spark.sparkContext.listFiles):
+        folder = tempfile.mkdtemp()  # only the driver writes and serves it
+        atexit.register(shutil.rmtree, folder, True)
+        build_digest_file(rules, os.path.join(folder, name))
+        spark.sparkContext.addFile(os.path.join(folder, name))
+    return name
+
+
+def judge_urls(pages: DataFrame, rules: str | Iterable[tuple[str, str]] = RULES, blocked: str | Iterable[str] = BLOCKED, default: str = DEFAULT, url_col: str = "url", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
+    """The ``keep`` columns with host, path, rule and verdict.
+
+    ``rules`` are (action, rule) pairs, or a file of rules to block; ``blocked``
+    is a list, or a file, of rules that block where none of ``rules`` fits.
+    """
+    lists = {"rules": rules_of(rules), "blocked": rules_of(blocked) if isinstance(blocked, str) else [("block", b) for b in blocked]}
+    names = {kind: _shared_file(pages.sparkSession, list(rows)) for kind, rows in lists.items()}
     rows = pages.select(*keep, F.col(url_col).cast("string").alias("_url"))
     fields = rows.schema.fields[:-1]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", host string, path string, rule string, verdict string"
-    columns = [*[f.name for f in fields], "host", "path", "rule", "verdict"]
+    own = ("host", "path", "rule", "verdict")
+    columns = [*kept_as(keep, own), *own]
+    schema = ", ".join(f"`{n}` {f.dataType.simpleString()}" for n, f in zip(columns, fields, strict=False)) + ", host string, path string, rule string, verdict string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, listed = (DigestArray(SparkFiles.get(names[k])) for k in ("rules", "blocked"))
