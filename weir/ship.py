@@ -8,7 +8,9 @@ joins later gets them as well.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 
@@ -23,12 +25,14 @@ def ship(spark: SparkSession) -> SparkSession:
     if getattr(context, _MARK, False):
         return spark
     root = os.path.dirname(os.path.abspath(__file__))
-    path = os.path.join(tempfile.mkdtemp(), "weir.zip")
+    folder = tempfile.mkdtemp()  # served by the driver as long as it lives
+    atexit.register(shutil.rmtree, folder, True)
+    path = os.path.join(folder, "weir.zip")
     with zipfile.ZipFile(path, "w") as out:
-        for folder, _, names in sorted(os.walk(root)):
+        for where, _, names in sorted(os.walk(root)):
             for name in sorted(names):
                 if name.endswith(".py"):
-                    full = os.path.join(folder, name)
+                    full = os.path.join(where, name)
                     out.write(full, os.path.join("weir", os.path.relpath(full, root)))
     context.addPyFile(path)
     setattr(context, _MARK, True)
