@@ -71,6 +71,65 @@ def test_templates_joins_and_single_filters_agree_with_the_evaluator(spark):
     assert got == want
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+INF = float("inf")
+
+
+def test_ranges_lists_and_equalities_are_found_without_nested_loops(spark):
+    """Every shape with an equality, a list or a bound, at values in, on, between and far outside the bounds, against the evaluator."""
+    rnd = random.Random(8)
+    num = lambda: rnd.choice([rnd.randrange(-5, 30), round(rnd.random() * 30, 2)])
+    shapes = [
+        lambda: f"temperature BETWEEN {rnd.randrange(20)} AND {rnd.randrange(25)}",
+        lambda: f"temperature >= {rnd.randrange(20)} AND temperature < {rnd.randrange(25)} AND humidity > {rnd.randrange(9)}",
+        lambda: f"{rnd.randrange(20)} < sensor_id",
+        lambda: f"sensor_id <= {rnd.random() * 20:.2f}",
+        lambda: f"sensor_id BETWEEN {rnd.randrange(10)} AND {rnd.randrange(20)} AND sensor_id > {rnd.randrange(15)}",
+        lambda: f"sensor_id IN ({rnd.randrange(9)}, {rnd.randrange(9)}, NULL)",
+        lambda: f"location IN ('l{rnd.randrange(5)}', 'l{rnd.randrange(5)}') AND temperature > {rnd.randrange(9)}",
+        lambda: f"location = 'l{rnd.randrange(5)}' AND humidity < {rnd.randrange(9)} OR temperature >= {rnd.randrange(40)} OR sensor_id = {rnd.randrange(20)}",
+        lambda: "temperature > 9223372036854775807" if rnd.random() < 0.5 else f"temperature > {rnd.randrange(3)}",
+        lambda: f"humidity > 1e308 AND humidity < {rnd.randrange(9)}" if rnd.random() < 0.3 else f"humidity > -{rnd.randrange(9)} AND humidity < {rnd.randrange(9)}",
+    ]
+    r = Registry(Catalog([READINGS]))
+    for c in range(400):
+        r.register(Request(c, f"SELECT * FROM readings WHERE {shapes[c % len(shapes)]()}"))
+    rows = [row(rnd.choice([None, rnd.randrange(-2, 22), (1 << 62) + 1]), rnd.choice([None, num() * 1.0, INF, -INF, float("nan"), 1e300]), rnd.choice([None, num() * 1.0]), rnd.choice([None, "l0", "l1", "l4", "L1", ""])) for _ in range(160)]
+    inserts = [EventBuilder(READINGS, n).insert().new(x).build() for n, x in enumerate(rows[:80])]
+    updates = [EventBuilder(READINGS, 100 + n).update().old(a).new(b).build() for n, (a, b) in enumerate(zip(rows[:80], rows[80:], strict=True))]
+    d = dispatch(frame(spark, inserts + updates), r, 1)
+    assert "NestedLoop" not in plan_of(d) and "Cartesian" not in plan_of(d)
+    want = set()
+    for p in r.by_id.values():
+        told = [b.consumer_id for b in r.bindings.values() if b.predicate_id == p.predicate_id]
+        hit = [truth(p.where, x) is True for x in rows]
+        for n in range(80):
+            want |= {(n, c, "inserted") for c in told if hit[n]}
+            was, now = hit[n], hit[80 + n]
+            want |= {(100 + n, c, "updated" if was and now else "inserted" if now else "deleted") for c in told if was or now}
+    assert {tuple(x) for x in d.collect()} == want
+
+
+def test_shapes_without_access_and_large_registries(spark, monkeypatch):
+    """Unindexable shapes, and predicates joined by shuffle, give the same."""
+    import weir.operators.dispatch as D
+
+    wheres = [f"sensor_id * 2 - {k} > 3" for k in range(8)] + [f"location LIKE '%{k}'" for k in range(8)] + [f"sensor_id > {k}" for k in range(8)]
+    r = Registry(Catalog([READINGS]))
+    for c, w in enumerate(wheres):
+        r.register(Request(c, f"SELECT * FROM readings WHERE {w}"))
+    events = frame(spark, [EventBuilder(READINGS, n).insert().new(row(n, 1.0, 1.0, f"l{n}")).build() for n in range(12)])
+    small = {tuple(x) for x in dispatch(events, r, 1).collect()}
+    monkeypatch.setattr(D, "BROADCAST_ROWS", 3)
+    monkeypatch.setattr(D, "JOIN_CONDITIONS", 1)
+    monkeypatch.setattr(D, "MAX_LEVELS", 2)
+    assert {tuple(x) for x in dispatch(events, r, 1).collect()} == small
+    assert small == {(n, c, "inserted") for n in range(12) for c in range(24) if (c < 8 and n * 2 - c > 3) or (8 <= c < 16 and f"l{n}".endswith(str(c - 8))) or (c >= 16 and n > c - 16)}
+
+
 def test_aggregate_deltas_replay_to_the_direct_aggregate(spark):
     r = Registry(Catalog([READINGS]))
     for c, a in enumerate(["COUNT(*)", "COUNT(location)", "SUM(temperature)", "AVG(humidity)"]):

@@ -8,7 +8,7 @@ from reference_eval import truth
 from weir.errors import RegisterError
 from weir.model import TableDef
 from weir.plans import sql as S
-from weir.plans.compile import canonical, check, predicate, template, text
+from weir.plans.compile import Access, canonical, check, predicate, template, text
 from weir.plans.sql import parse_predicate
 
 T = TableDef(1, ("t",), (("a", "L"), ("b", "L"), ("x", "D"), ("s", "S"), ("f", "B")))
@@ -64,7 +64,7 @@ def test_commuted_predicates_are_one_and_literals_make_templates():
     a, b = (canonical(parse_predicate(p)) for p in ("a = 1 AND (s = 'F' AND b > 2)", "(b > 2) AND 'F' = s AND 1 = a"))
     assert text(a) == text(b)
     one, two = template(a, T), template(canonical(parse_predicate("a = 9 AND s = 'x' AND b > 0")), T)
-    assert one[0].key == two[0].key and one[0].branches[0][1] == ("a", one[1].index(1))
+    assert one[0].key == two[0].key and one[0].branches[0][1] == (Access("a", points=(one[1].index(1),)), Access("s", points=(one[1].index("F"),)), Access("b", low=(one[1].index(2),)))
 
 
 def test_rejections():

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from weir.errors import AggregateUpdateRequiresOldRow, TruncateRequiresReset
 from weir.functions.tri import finite
 from weir.model import TableDef
-from weir.operators.dispatch import FILTERS, _image, _small, _strings, _table, _touched, check_events, grouped, local_frame
+from weir.operators.dispatch import FILTER_RUN, FILTERS, _image, _small, _strings, _table, _touched, check_events, grouped, joined, local_frame
 from weir.operators.registry import Predicate, Registry
 from weir.plans.compile import matches, predicate
 
@@ -70,20 +70,19 @@ def aggregate_deltas(events: DataFrame, registry: Registry, table_id: int, stric
     for p in predicates:
         by_use.setdefault((p.projection.kind, p.projection.column), []).append(p)
     for used in by_use.values():
-        for g in grouped(used):
-            if len(g.members) <= FILTERS:
-                singles += [p for p, _ in g.members]
-                continue
-            count, total = contribution(g.members[0][0], table)
-            parts.append(g.join(images, "row").select("seq", "predicate_id", (F.col("weight") * count).alias("c"), (F.col("weight") * total).alias("s")))
-    for k in range(0, len(singles), 32):
+        groups = grouped(used)
+        singles += [p for g in groups if len(g.members) <= FILTERS for p, _ in g.members]
+        count, total = contribution(used[0], table)
+        for found in joined(images, "row", [g for g in groups if len(g.members) > FILTERS]):
+            parts.append(found.select("seq", "predicate_id", (F.col("weight") * count).alias("c"), (F.col("weight") * total).alias("s")))
+    for k in range(0, len(singles), FILTER_RUN):
 
         def one(p: Predicate) -> Column:
             count, total = contribution(p, table)
             hit = _touched(_strings(p.deps)) & matches(p.where, table, _image("row"))
             return F.when(hit, F.struct(F.lit(p.predicate_id).cast("long").alias("predicate_id"), (F.col("weight") * count).alias("c"), (F.col("weight") * total).alias("s")))
 
-        found = F.filter(F.array(*[one(p) for p in singles[k : k + 32]]), lambda x: x.isNotNull())
+        found = F.filter(F.array(*[one(p) for p in singles[k : k + FILTER_RUN]]), lambda x: x.isNotNull())
         parts.append(images.select("seq", F.explode(found).alias("h")).select("seq", "h.predicate_id", "h.c", "h.s"))
     if not parts:
         return spark.createDataFrame([], DELTAS)

@@ -1,11 +1,13 @@
 """Dispatch: change events against standing queries.
 
-Predicates that differ in literals only share a template.  A template with one
-predicate is a filter; a template with many is one join of the events with its
-parameter table, hashed on a ``column = parameter`` conjunct where there is one
-and with the rest as join condition.  Predicates and bindings are driver-side
-lists of known length; they are broadcast while they are small
-(``BROADCAST_ROWS``) and joined by shuffle beyond.
+Predicates that differ in literals only share a template.  The predicates of
+templates with many members are filed under what one of their columns must
+equal, or under runs of bins that its bounds cover, and an event is looked up
+under its values and bins: one hash join for many templates, whatever their
+shapes, with the template's own condition as the rest.  Templates with few
+members are filters of one scan.  Predicates and bindings are driver-side lists
+of known length; they are broadcast while they are small (``BROADCAST_ROWS``)
+and joined by shuffle beyond.
 
 An UPDATE is judged on both images in the same pass: joining on the new image
 finds what entered or changed, joining on the old image finds what left.  No
@@ -14,6 +16,7 @@ shuffle is needed but the final one that makes each consumer appear once.
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Callable, Iterable
 from functools import reduce
@@ -27,11 +30,15 @@ from pyspark.sql.types import StructType
 from weir.errors import ArityMismatch, DispatchError, MissingImage, UnknownTableId
 from weir.model import TYPES, TableDef
 from weir.operators.registry import Predicate, Registry
-from weir.plans.compile import Template, matches, template
+from weir.plans.compile import Access, Leaf, Template, matches, template
 
 BROADCAST_ROWS = 200_000
 #: Up to so many predicates of one template are filters of one scan instead of a join.
 FILTERS = 4
+FILTER_RUN = 64
+#: Shapes (branches of templates) that share a join; the JVM compiles no method that tests many more.
+JOIN_CONDITIONS = 6
+MAX_LEVELS = 16
 
 OLD_COMPLETE = "old_row IS NOT NULL AND size(old_missing) = 0"
 
@@ -62,37 +69,42 @@ def _strings(values: Iterable[str]) -> Column:
 
 
 class _Group:
-    """The predicates of one template with their parameters as a small DataFrame."""
+    """The predicates of one template with their parameters."""
 
     def __init__(self, table: TableDef, shape: Template, members: list[tuple[Predicate, list]]) -> None:
         self.table, self.shape, self.members = table, shape, members
-
-    def frame(self, spark: SparkSession) -> DataFrame:
-        fields = [f"p{k} {TYPES[t].simpleString()}" for k, t in enumerate(self.shape.kinds)]
-        rows = [(p.predicate_id, list(p.deps), *values) for p, values in self.members]
-        return _small(local_frame(spark, rows, ", ".join(["predicate_id long", "deps array<string>", *fields])), len(rows))
+        seen: dict[str, int] = defaultdict(int)
+        self.columns = []  # of each parameter, by type and number within the type
+        for kind in shape.kinds:
+            self.columns.append(f"p{kind}{seen[kind]}")
+            seen[kind] += 1
 
     def condition(self, side: str) -> Column:
         """The template over an image, as a join condition."""
-        return matches(self.shape.where, self.table, _image(side), self.shape.leaf(lambda k: F.col(f"p{k}")))
-
-    def join(self, events: DataFrame, side: str) -> DataFrame:
-        """Events with the predicates they match, each pair once.
-
-        Every branch of an OR is a join of its own, on its own key, of what the
-        branches before it left.
-        """
-        image, leaf = _image(side), self.shape.leaf(lambda k: F.col(f"p{k}"))
-        parts, before = [], F.lit(True)
-        params = self.frame(events.sparkSession)
-        for branch, equi in self.shape.branches:
-            hit = matches(branch, self.table, image, leaf)
-            on = _touched(F.col("deps")) & hit & before
-            if equi:
-                on = (image(equi[0]) == F.col(f"p{equi[1]}")) & on
-            parts.append(events.join(params, on))
+        return matches(self.shape.where, self.table, _image(side), self.leaf())
+
+    def leaf(self) -> Leaf:
+        return self.shape.leaf(lambda k: F.col(self.columns[k]))
+
+    def branches(self, side: str) -> list[tuple[Access | None, Column]]:
+        """Per branch of an OR its access and its condition: what the branches before it left, so that each pair comes once."""
+        out, before = [], F.lit(True)
+        for branch, ways in self.shape.branches:
+            hit = matches(branch, self.table, _image(side), self.leaf())
+            out.append((min(ways, key=self.candidates, default=None), _touched(F.col("deps")) & hit & before))
             before = before & ~hit
-        return reduce(DataFrame.unionByName, parts)
+        return out
+
+    def candidates(self, access: Access) -> float:
+        """About how many members an event meets by this access: values and places between bounds are taken to be alike likely."""
+        if access.points:
+            sets = [{v[k] for k in access.points} for _, v in self.members]
+            return sum(map(len, sets)) / len(set().union(*sets))
+        ends = [([float(v[k]) for k in access.low], [float(v[k]) for k in access.high]) for _, v in self.members]
+        low, high = min(min(a + b) for a, b in ends), max(max(a + b) for a, b in ends)
+        if not 0 < high - low < math.inf:
+            return float(len(ends))
+        return sum(max(0.0, min(b, default=high) - max(a, default=low)) for a, b in ends) / (high - low)
 
 
 def grouped(predicates: Iterable[Predicate]) -> list[_Group]:
@@ -105,6 +117,119 @@ def grouped(predicates: Iterable[Predicate]) -> list[_Group]:
     return [_Group(table, shape, members) for shape, members in by_key.values()]
 
 
+class _Bins:
+    """Bins of equal width over the bounds on one column, and dyadic runs of them.
+
+    A value lies in one bin and so in one run of every level; an interval is a
+    disjoint union of at most two runs a level.  So a value and an interval
+    that may hold it meet in exactly one run.
+    """
+
+    def __init__(self, bounds: list[float]) -> None:
+        self.levels = min(MAX_LEVELS, max(2, (2 * len(bounds)).bit_length()))
+        self.low, width = min(bounds), max(bounds) - min(bounds)
+        self.scale = (1 << self.levels) / width if 0 < width < math.inf else 1.0
+        self.top = float((1 << self.levels) - 1)
+        self.used: set[int] = set()
+
+    def bin(self, x: float) -> int:
+        return int(min(max(math.floor((x - self.low) * self.scale), 0.0), self.top))
+
+    def bin_of(self, x: Column) -> Column:
+        return F.least(F.greatest(F.floor((x.cast("double") - self.low) * self.scale).cast("double"), F.lit(0.0)), F.lit(self.top)).cast("long")
+
+    def runs(self, low: float | None, high: float | None) -> list[int]:
+        """Keys of the runs that an interval consists of (none for an empty one)."""
+        a, b = 0 if low is None else self.bin(low), int(self.top) if high is None else self.bin(high)
+        out, level = [], 0
+        while a <= b:
+            if a & 1:
+                out.append((level, a))
+                a += 1
+            if a <= b and not b & 1:
+                out.append((level, b))
+                b -= 1
+            a, b, level = a >> 1, b >> 1, level + 1
+        self.used |= {k for k, _ in out}
+        return [k << 40 | n for k, n in out]
+
+
+class _Probes:
+    """The keys under which predicates are filed and events look them up."""
+
+    def __init__(self, table: TableDef, paths: list[tuple[_Group, Access]]) -> None:
+        self.types = table.types
+        self.points = sorted({a.column for _, a in paths if a.points})
+        bounds: dict[str, list[float]] = defaultdict(list)
+        for g, a in paths:
+            if not a.points:
+                bounds[a.column] += [float(v[k]) for _, v in g.members for k in (*a.low, *a.high)]
+        self.bins = {c: _Bins(v) for c, v in bounds.items()}
+        self.number = {("points", c): k for k, c in enumerate(self.points)} | {("bins", c): len(self.points) + k for k, c in enumerate(self.bins)}
+
+    def keys(self, access: Access, values: list) -> list[tuple[int, int | None, str | None]]:
+        """(probe, number, text) for each place where a predicate with these parameters is filed."""
+        if access.points:
+            probe, text_ = self.number["points", access.column], self.types[access.column] == "S"
+            return [(probe, None, v) if text_ else (probe, int(v), None) for v in {values[k] for k in access.points}]
+        low = max((float(values[k]) for k in access.low), default=None)
+        high = min((float(values[k]) for k in access.high), default=None)
+        return [(self.number["bins", access.column], key, None) for key in self.bins[access.column].runs(low, high)]
+
+    def asked(self, side: str) -> Column:
+        """All keys of an event (after the predicates were filed: levels that none uses are not asked)."""
+        image, out = _image(side), []
+
+        def key(kind: str, column: str, value: Column) -> None:
+            out.append(F.struct(F.lit(self.number[kind, column]).alias("probe"), value.alias("key")))
+
+        for c in self.points:
+            key("points", c, F.when(image(c).isNotNull(), F.xxhash64(image(c))) if self.types[c] == "S" else image(c).cast("long"))
+        for c, bins in self.bins.items():
+            for level in sorted(bins.used):
+                key("bins", c, F.shiftright(bins.bin_of(image(c)), level) + (level << 40))
+        return F.array(*out)
+
+
+def joined(events: DataFrame, side: str, groups: list[_Group], other: str | None = None) -> list[DataFrame]:
+    """Events with the predicates of the groups that they match, each pair once: (events..., predicate_id, other).
+
+    One join for ``JOIN_CONDITIONS`` shapes: predicates are filed under the
+    values or intervals of one of their columns, events are looked up there,
+    and the shape's own condition decides.  A branch without such a column
+    meets every event.
+    """
+    out = []
+    paths = [(g, k, access, on) for g in groups for k, (access, on) in enumerate(g.branches(side))]
+    filed = [x for x in paths if x[2] is not None]
+    runs = [filed[k : k + JOIN_CONDITIONS] for k in range(0, len(filed), JOIN_CONDITIONS)] + [[x] for x in paths if x[2] is None]
+    for run in runs:
+        used = sorted({c for g, *_ in run for c in g.columns})
+        shapes = list(dict.fromkeys(g for g, *_ in run))
+        probes = _Probes(run[0][0].table, [(g, access) for g, _, access, _ in run if access is not None])
+        rows = []
+        for n, (g, _, access, _) in enumerate(run):
+            at = [g.columns.index(c) if c in g.columns else None for c in used]
+            for p, values in g.members:
+                own = (n, shapes.index(g), p.predicate_id, list(p.deps), *[None if k is None else values[k] for k in at])
+                rows += [(*key, *own) for key in (probes.keys(access, values) if access is not None else [(0, None, None)])]
+        fields = ["probe int", "number long", "text string", "way int", "shape int", "predicate_id long", "deps array<string>", *[f"{c} {TYPES[c[1]].simpleString()}" for c in used]]
+        params = local_frame(events.sparkSession, rows, ", ".join(fields))
+        condition = reduce(lambda c, x: c.when(F.col("way") == x[0], x[1][3]), enumerate(run), F.when(F.lit(False), F.lit(False)))
+        seen = F.lit(False)
+        if other:
+            seen = reduce(lambda c, x: c.when(F.col("shape") == x[0], x[1].condition(other)), enumerate(shapes), F.when(F.lit(False), F.lit(False)))
+        if run[0][2] is None:
+            found = events.join(_small(params.drop("probe", "number", "text"), len(rows)), condition)
+        else:
+            key = F.coalesce("number", F.xxhash64("text")).alias("_key")
+            asked = events.select("*", F.explode(probes.asked(side)).alias("_asked"))
+            on = (F.col("_asked.probe") == F.col("probe")) & (F.col("_asked.key") == F.col("_key")) & condition
+            found = asked.join(_small(params.select(key, *params.drop("number", "text").columns), len(rows)), on)
+        out.append(found.select(*[F.col(f"`{c}`") for c in events.columns], "predicate_id", seen.alias("other")))
+    return out
+
+
 def _filters(events: DataFrame, side: str, predicates: list[Predicate], other: bool) -> DataFrame:
     """One scan for a few predicates: the ids that match, exploded."""
 
@@ -119,15 +244,12 @@ def _filters(events: DataFrame, side: str, predicates: list[Predicate], other: b
 
 def match_side(events: DataFrame, side: str, predicates: list[Predicate], keep: list[str], other: bool = False) -> DataFrame | None:
     """(keep..., predicate_id, other): events whose ``side`` image is TRUE; ``other`` says whether the other image is too."""
-    parts, singles = [], []
-    for g in grouped(predicates):
-        if len(g.members) <= FILTERS:
-            singles += [p for p, _ in g.members]
-            continue
-        seen = g.condition("old_row" if side == "new_row" else "new_row") if other else F.lit(False)
-        parts.append(g.join(events, side).select(*keep, "predicate_id", seen.alias("other")))
-    for k in range(0, len(singles), 32):
-        parts.append(_filters(events, side, singles[k : k + 32], other).select(*keep, "predicate_id", "other"))
+    groups = grouped(predicates)
+    singles = [p for g in groups if len(g.members) <= FILTERS for p, _ in g.members]
+    many = [g for g in groups if len(g.members) > FILTERS]
+    parts = [x.select(*keep, "predicate_id", "other") for x in joined(events, side, many, ("old_row" if side == "new_row" else "new_row") if other else None)]
+    for k in range(0, len(singles), FILTER_RUN):
+        parts.append(_filters(events, side, singles[k : k + FILTER_RUN], other).select(*keep, "predicate_id", "other"))
     return reduce(DataFrame.unionByName, parts) if parts else None
 
 

@@ -173,6 +173,16 @@ def predicate_hash(table: TableDef, where: object | None, projection: S.Projecti
 # -- templates
 
 
+@dataclass(frozen=True)
+class Access:
+    """What a branch needs of one column to be TRUE, by places of parameters: to equal one of ``points``, or to lie between ``low`` and ``high``."""
+
+    column: str
+    points: tuple[int, ...] = ()
+    low: tuple[int, ...] = ()
+    high: tuple[int, ...] = ()
+
+
 @dataclass(frozen=True)
 class Template:
     """A canonical predicate with its literals as parameters ``p0 ...`` (in order of appearance)."""
@@ -180,7 +190,7 @@ class Template:
     where: object | None
     key: str
     kinds: tuple[str, ...]
-    branches: tuple[tuple[object, tuple[str, int] | None], ...]  # what OR joins, each with the column and parameter of a conjunct ``column = parameter`` of one type
+    branches: tuple[tuple[object, tuple[Access, ...]], ...]  # what OR joins, each with the ways to find its candidates
 
     def leaf(self, params: Callable[[int], Column]) -> Leaf:
         """Literals by position, whichever order the compiler asks for them in."""
@@ -218,15 +228,48 @@ def template(where: object | None, table: TableDef) -> tuple[Template, list]:
     key = text(where, lambda lit: "NULL" if lit.kind == "N" else f"?{lit.kind}")
     place = {id(lit): k for k, lit in enumerate(lits)}
 
-    def key_of(branch: object) -> tuple[str, int] | None:
+    def conjuncts(branch: object) -> tuple:
+        return branch.args if isinstance(branch, S.Logic) and branch.op == "AND" else (branch,)
+
+    def sides(c: S.Compare) -> tuple[S.Col, S.Lit, str] | None:
+        """Column, literal and operator of a comparison of one with the other."""
+        turned = {"<": ">", "<=": ">=", ">": "<", ">=": "<="}
+        if isinstance(c.left, S.Col) and isinstance(c.right, S.Lit):
+            return c.left, c.right, c.op
+        if isinstance(c.right, S.Col) and isinstance(c.left, S.Lit):
+            return c.right, c.left, turned.get(c.op, c.op)
+        return None
+
+    def points(branch: object) -> list[Access]:
+        """The equalities and IN lists."""
         found = []
-        for c in branch.args if isinstance(branch, S.Logic) and branch.op == "AND" else (branch,):
-            if isinstance(c, S.Compare) and c.op == "=":
-                pair = [c.left, c.right] if isinstance(c.left, S.Col) else [c.right, c.left]
-                if isinstance(pair[0], S.Col) and isinstance(pair[1], S.Lit) and table.types[pair[0].name] == pair[1].kind != "D":
-                    found.append((table.types[pair[0].name] == "B", table.types[pair[0].name] == "S", pair[0].name, place[id(pair[1])]))
-        return min(found)[2:] if found else None  # numbers tell rows apart best, booleans least
+        for c in conjuncts(branch):
+            column, items = None, ()
+            if isinstance(c, S.Compare) and c.op == "=" and (pair := sides(c)):
+                column, items = pair[0], (pair[1],)
+            elif isinstance(c, S.InList) and not c.negated and isinstance(c.arg, S.Col):
+                column, items = c.arg, tuple(i for i in c.items if i.kind != "N")
+            if column is not None and items and all(i.kind == table.types[column.name] != "D" for i in items):
+                found.append(Access(column.name, points=tuple(place[id(i)] for i in items)))
+        return found
+
+    def bounds(branch: object) -> list[Access]:
+        """The numeric columns with bounds."""
+        low: dict[str, list[int]] = {}
+        high: dict[str, list[int]] = {}
+
+        def bound(column: object, lit: object, side: dict[str, list[int]]) -> None:
+            if isinstance(column, S.Col) and isinstance(lit, S.Lit) and table.types[column.name] in tri.NUMERIC and lit.kind in tri.NUMERIC:
+                side.setdefault(column.name, []).append(place[id(lit)])
+
+        for c in conjuncts(branch):
+            if isinstance(c, S.Compare) and c.op in ("<", "<=", ">", ">=") and (pair := sides(c)):
+                bound(pair[0], pair[1], low if pair[2][0] == ">" else high)
+            elif isinstance(c, S.Between) and not c.negated:
+                bound(c.arg, c.low, low)
+                bound(c.arg, c.high, high)
+        return [Access(n, low=tuple(low.get(n, ())), high=tuple(high.get(n, ()))) for n in sorted({*low, *high})]
 
     parts = where.args if isinstance(where, S.Logic) and where.op == "OR" else (where,)
-    branches = tuple((b, key_of(b)) for b in parts)
+    branches = tuple((b, (*points(b), *bounds(b))) for b in parts)
     return Template(where, key, tuple(lit.kind for lit in lits), branches), [lit.value for lit in lits]
