@@ -286,9 +286,8 @@ def subscription_matches(events: DataFrame, registry: Registry, table_id: int, s
     table = _table(registry, table_id)
     events = check_events(events, table, strict)
     predicates = registry.of_table(table_id, aggregate=False)
-    empty = events.sparkSession.createDataFrame([], "seq long, predicate_id long, change string")
     if not predicates:
-        return empty
+        return events.sparkSession.createDataFrame([], f"seq {events.schema['seq'].dataType.simpleString()}, predicate_id long, change string")
     full = F.coalesce(F.expr(OLD_COMPLETE), F.lit(False))
     parts = []
 
@@ -334,10 +333,3 @@ def dispatch_all(events_by_table: dict[int, DataFrame], registry: Registry, stri
     """Dispatch of several tables' event logs: (table_id, seq, consumer_id, change)."""
     parts = [dispatch(e, registry, t, strict).withColumn("table_id", F.lit(t)) for t, e in events_by_table.items()]
     return reduce(DataFrame.unionByName, parts)
-
-
-def bindings_by_predicate(registry: Registry) -> dict[int, list]:
-    out = defaultdict(list)
-    for b in registry.bindings.values():
-        out[b.predicate_id].append(b)
-    return out

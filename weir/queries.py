@@ -21,6 +21,7 @@ from weir.operators.registry import Registered, Registry, Request
 from weir.plans.compile import canonical, predicate, text
 from weir.plans.sql import parse_predicate
 from weir.ship import ship
+from weir.sources.common import message_of, typed_events
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -134,37 +135,37 @@ for _key, (_where, _sql) in PREDICATES.items():
 
 # -- statements that are accepted or rejected (2.2, rejections of 2.3 and 2.4)
 
-#: key: statements with the error code each must give (ok: accepted)
+#: key: statements with the error code each must give (ok: accepted); {n} and {s} are a customer's key and segment
 STATEMENTS = {
-    "p_escape": (("SELECT * FROM items WHERE status LIKE 'a' ESCAPE 'x'", "unsupported_sql"), ("SELECT * FROM items WHERE status ILIKE 'a' ESCAPE 'x'", "unsupported_sql")),
-    "p_reject": tuple((f"SELECT * FROM items WHERE {w}", "unsupported_sql") for w in ("lower(status) = 'f'", "CASE WHEN flag THEN TRUE END", "CAST(id AS INT) = 1", "flag IS TRUE", "id IN (SELECT 1)", "EXISTS (SELECT 1)", "status || 'x' = 'Fx'", "id & 1 = 1", "id IN (-1)")),
-    "p_typeerr": (("SELECT * FROM items WHERE (id = 1) = TRUE", "unsupported_sql"), ("SELECT * FROM items WHERE (id > 1) IS NULL", "unsupported_sql"), ("SELECT * FROM items WHERE id AND flag", "type_error")),
-    "j_rows": (("SELECT * FROM items", "ok"), ("SELECT * FROM items WHERE id = 1", "ok")),
-    "j_agg": (("SELECT COUNT(*) FROM items", "ok"), ("SELECT SUM(amount) AS total FROM items", "ok"), ("SELECT AVG(price) FROM items WHERE flag", "ok"), ("SELECT COUNT(status) FROM items", "ok")),
-    "j_qwild": (("SELECT items.* FROM items", "unsupported_sql"),),
-    "j_other": (("SELECT id FROM items", "unsupported_sql"), ("SELECT *, id FROM items", "unsupported_sql"), ("SELECT COUNT(*), SUM(id) FROM items", "unsupported_sql"), ("SELECT 1 FROM items", "unsupported_sql")),
+    "p_escape": (("SELECT * FROM items WHERE status LIKE '{s}' ESCAPE 'x'", "unsupported_sql"), ("SELECT * FROM items WHERE status ILIKE '{s}' ESCAPE 'x'", "unsupported_sql")),
+    "p_reject": tuple((f"SELECT * FROM items WHERE {w}", "unsupported_sql") for w in ("lower(status) = '{s}'", "CASE WHEN flag THEN TRUE END", "CAST(id AS INT) = {n}", "flag IS TRUE", "id IN (SELECT {n})", "EXISTS (SELECT {n})", "status || 'x' = '{s}'", "id & 1 = {n}", "id IN (-{n})")),
+    "p_typeerr": (("SELECT * FROM items WHERE (id = {n}) = TRUE", "unsupported_sql"), ("SELECT * FROM items WHERE (id > {n}) IS NULL", "unsupported_sql"), ("SELECT * FROM items WHERE id AND amount = {n}", "type_error")),
+    "j_rows": (("SELECT * FROM items", "ok"), ("SELECT * FROM items WHERE id = {n} OR status = '{s}'", "ok")),
+    "j_agg": (("SELECT COUNT(*) FROM items", "ok"), ("SELECT SUM(amount) AS total FROM items", "ok"), ("SELECT AVG(price) FROM items WHERE flag AND id < {n}", "ok"), ("SELECT COUNT(status) FROM items", "ok")),
+    "j_qwild": (("SELECT items.* FROM items WHERE id = {n}", "unsupported_sql"),),
+    "j_other": (("SELECT id FROM items WHERE id = {n}", "unsupported_sql"), ("SELECT *, id FROM items", "unsupported_sql"), ("SELECT COUNT(*), SUM(id) FROM items", "unsupported_sql"), ("SELECT {n} FROM items", "unsupported_sql")),
     "j_shape": (
-        ("SELECT * FROM items JOIN other ON 1 = 1", "unsupported_sql"),
+        ("SELECT * FROM items JOIN other ON id = {n}", "unsupported_sql"),
         ("SELECT * FROM items, other", "unsupported_sql"),
         ("SELECT * FROM (SELECT * FROM items) x", "unsupported_sql"),
         ("SELECT * FROM items UNION SELECT * FROM items", "unsupported_sql"),
-        ("DELETE FROM items", "unsupported_sql"),
+        ("DELETE FROM items WHERE id = {n}", "unsupported_sql"),
         ("CREATE TABLE x (id INT)", "unsupported_sql"),
-        ("SELECT * FROM items; SELECT * FROM items", "parse_error"),
+        ("SELECT * FROM items WHERE id = {n}; SELECT * FROM items", "parse_error"),
         ("SELECT * FROM nowhere", "unknown_table"),
-        ("SELECT * FROM items WHERE nothing = 1", "unknown_column"),
+        ("SELECT * FROM items WHERE nothing = {n}", "unknown_column"),
         ("SELEC * FROM items", "parse_error"),
     ),
-    "j_limits": (("SELECT * FROM items WHERE id = 1 AND status = '" + "x" * 8200 + "'", "parse_error"), ("SELECT * FROM items WHERE " + "(" * 140 + "id = 1" + ")" * 140, "unsupported_sql"), ("SELECT * FROM items WHERE " + "(" * 90 + "id = 1" + ")" * 90, "ok")),
-    "j_ignored": tuple((f"SELECT {d}* FROM items {t}", "unsupported_sql") for d, t in (("DISTINCT ", ""), ("", "GROUP BY id"), ("", "WHERE id = 1 ORDER BY id"), ("", "LIMIT 3"), ("", "HAVING id > 1"), ("", "t"))) + (("WITH x AS (SELECT 1) SELECT * FROM items", "unsupported_sql"),),
-    "j_dialect": (('SELECT * FROM "items" WHERE "id" = 1', "ok"), ("SELECT * FROM `items`", "parse_error")),
-    "a_typechk": (("SELECT SUM(status) FROM items", "type_error"), ("SELECT AVG(flag) FROM items", "type_error"), ("SELECT SUM(price) FROM items", "ok")),
-    "a_rej": tuple((f"SELECT {a} FROM items", "unsupported_sql") for a in ("COUNT(DISTINCT id)", "SUM(id) FILTER (WHERE id > 1)", "SUM(id) OVER ()", "SUM(id + 1)", "SUM(*)", "AVG(*)", "SUM(id, amount)")),
-    "a_minmax": (("SELECT MIN(id) FROM items", "unsupported_sql"), ("SELECT MAX(id) FROM items", "unsupported_sql")),
+    "j_limits": (("SELECT * FROM items WHERE id = {n} AND status = '" + "x" * 8200 + "'", "parse_error"), ("SELECT * FROM items WHERE " + "(" * 140 + "id = {n}" + ")" * 140, "unsupported_sql"), ("SELECT * FROM items WHERE " + "(" * 90 + "id = {n}" + ")" * 90, "ok")),
+    "j_ignored": tuple((f"SELECT {d}* FROM items {t}", "unsupported_sql") for d, t in (("DISTINCT ", ""), ("", "GROUP BY id"), ("", "WHERE id = {n} ORDER BY id"), ("", "LIMIT {n}"), ("", "HAVING id > {n}"), ("", "t"))) + (("WITH x AS (SELECT {n}) SELECT * FROM items", "unsupported_sql"),),
+    "j_dialect": (('SELECT * FROM "items" WHERE "id" = {n}', "ok"), ("SELECT * FROM `items`", "parse_error")),
+    "a_typechk": (("SELECT SUM(status) FROM items", "type_error"), ("SELECT AVG(flag) FROM items", "type_error"), ("SELECT SUM(price) FROM items WHERE status = '{s}'", "ok")),
+    "a_rej": tuple((f"SELECT {a} FROM items", "unsupported_sql") for a in ("COUNT(DISTINCT id)", "SUM(id) FILTER (WHERE id > {n})", "SUM(id) OVER ()", "SUM(id + {n})", "SUM(*)", "AVG(*)", "SUM(id, amount)")),
+    "a_minmax": (("SELECT MIN(id) FROM items WHERE id < {n}", "unsupported_sql"), ("SELECT MAX(id) FROM items WHERE id < {n}", "unsupported_sql")),
     "r_errs": (
         ("SELECT * FROM items WHERE", "parse_error"),
         ("SELECT MIN(id) FROM items", "unsupported_sql"),
-        ("SELECT * FROM gone", "unknown_table"),
+        ("SELECT * FROM gone WHERE id = {n}", "unknown_table"),
         ("SELECT * FROM b.dual", "ambiguous_table"),
         ("SELECT SUM(gone) FROM items", "unknown_column"),
         ("SELECT SUM(status) FROM items", "type_error"),
@@ -173,19 +174,32 @@ STATEMENTS = {
 OTHERS = [TableDef(8, ("dual",), (("id", "L"),)), TableDef(9, ("b.dual",), (("id", "L"),))]
 
 
+def customers(spark: SparkSession, sf_dir: str) -> list:
+    """(c_custkey, c_nationkey, c_mktsegment) in order of key: what registrations are made from, on the driver like every registry."""
+    return _table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment").orderBy("c_custkey").collect()
+
+
+def _by_turns(values: list[str], key: str) -> str:
+    """SQL: the values in turn, by a key."""
+    return f"([{', '.join(values)}])[CAST({key} % {len(values)} AS INTEGER) + 1]"
+
+
 def _codes(key: str) -> Query:
+    """Each customer's statement, and the code that its registration gives."""
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        registry = Registry(Catalog([ITEMS, *OTHERS]))
-        results = registry.register_batch(Request(1, s) for s, _ in STATEMENTS[key])
-        rows = [(k, r.code if isinstance(r, RegisterError) else "ok") for k, r in enumerate(results)]
-        return spark.createDataFrame(rows, "statement int, code string")
+        registry, made = Registry(Catalog([ITEMS, *OTHERS])), STATEMENTS[key]
+        rows = customers(spark, sf_dir)
+        results = registry.register_batch(Request(c, made[c % len(made)][0].replace("{n}", str(c)).replace("{s}", s)) for c, _, s in rows)
+        codes = [(r["c_custkey"], x.code if isinstance(x, RegisterError) else "ok") for r, x in zip(rows, results, strict=True)]
+        return spark.createDataFrame(codes, "statement long, code string")
 
     return run
 
 
 for _key, _rows in STATEMENTS.items():
     QUERIES[_key] = _codes(_key)
-    SQL[_key] = "SELECT * FROM (VALUES " + ", ".join(f"({k}, '{c}')" for k, (_, c) in enumerate(_rows)) + ") AS t(statement, code)"
+    SQL[_key] = "SELECT c_custkey AS statement, " + _by_turns([f"'{c}'" for _, c in _rows], "c_custkey") + " AS code FROM customer"
 
 # -- dispatch (2.5)
 
@@ -271,7 +285,14 @@ def d_upd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.dispatch(updates(spark, sf_dir), registry(), ORDERS.table_id)
 
 
-QUERIES["d_deps"], SQL["d_deps"] = d_upd, SQL["d_upd"]
+#: Predicates on columns that no update changes, that some change, and on both.
+_DEPS = [(1, "custkey > 100"), (2, "priority LIKE '1-%'"), (3, "status = 'O'"), (4, "price > 100000 AND custkey > 5"), (5, "orderkey > 0")]
+
+
+@add("d_deps", _changes("updates", _DEPS))
+def d_deps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Updates that change none of a predicate's columns don't reach it."""
+    return D.dispatch(updates(spark, sf_dir), registry(_DEPS), ORDERS.table_id)
 
 
 @add("d_upd_all", _changes("updates, whatever changed"))
@@ -436,10 +457,10 @@ _RUN = "event_id AS seq, CASE WHEN event_type = 'error' THEN NULL ELSE value END
 EVENTS = TableDef(3, ("clicks",), (("event_id", "L"), ("user_id", "L"), ("event_type", "S"), ("value", "D")), ("event_id",))
 
 
-@add("a_running", "SELECT event_id AS seq, CAST(count(*) OVER w AS BIGINT) AS count_total, round(sum(value) OVER w, 4) AS sum_total FROM events WHERE user_id < 50 WINDOW w AS (ORDER BY event_id)")
+@add("a_running", "SELECT event_id AS seq, CAST(count(*) OVER w AS BIGINT) AS count_total, round(sum(value) OVER w, 4) AS sum_total FROM events WINDOW w AS (ORDER BY event_id)")
 def a_running(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = Registry(Catalog([EVENTS]))
-    r.register(Request(1, "SELECT AVG(value) FROM clicks WHERE user_id < 50"))
+    r.register(Request(1, "SELECT AVG(value) FROM clicks"))
     d = A.aggregate_deltas(events_from_snapshot(_table(spark, sf_dir, "events"), EVENTS, "insert", "event_id"), r, EVENTS.table_id)
     return A.running_totals(d).select("seq", "count_total", F.round("sum_total", 4).alias("sum_total"))
 
@@ -466,25 +487,28 @@ def s_chg_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return updates(spark, sf_dir, partial=("orderkey", "status")).select("seq", F.size("changed").alias("n_changed"))
 
 
-@add("s_bld", "SELECT * FROM (VALUES (0, 'ok'), (1, 'event_build'), (2, 'event_build'), (3, 'event_build'), (4, 'unknown_column'), (5, 'ok')) AS t(n, code)")
+_BUILDS = ("ok", "event_build", "event_build", "event_build", "unknown_column", "ok")
+
+
+@add("s_bld", "SELECT c_custkey AS n, " + _by_turns([f"'{c}'" for c in _BUILDS], "c_custkey") + " AS code FROM customer")
 def s_bld(spark: SparkSession, sf_dir: str) -> DataFrame:
-    row = {"orderkey": 1, "custkey": 2}
+    """Events built by hand from customers' keys."""
     tries = [
-        lambda b: b.insert().new(row).pk(["orderkey"], [1]).build(),
-        lambda b: b.insert().build(),
-        lambda b: b.delete().old(row).pk(["orderkey", "orderkey"], [1, 1]).build(),
-        lambda b: b.delete().old(row).pk(["orderkey"], []).build(),
-        lambda b: b.update().new({"nothing": 1}).build(),
-        lambda b: b.truncate().build(),
+        lambda b, row, k: b.insert().new(row).pk(["orderkey"], [k]).build(),
+        lambda b, row, k: b.insert().build(),
+        lambda b, row, k: b.delete().old(row).pk(["orderkey", "orderkey"], [k, k]).build(),
+        lambda b, row, k: b.delete().old(row).pk(["orderkey"], []).build(),
+        lambda b, row, k: b.update().new({"nothing": k}).build(),
+        lambda b, row, k: b.truncate().build(),
     ]
     out = []
-    for n, f in enumerate(tries):
+    for n, nation, _ in customers(spark, sf_dir):
         try:
-            f(EventBuilder(ORDERS, n))
+            tries[n % len(tries)](EventBuilder(ORDERS, n), {"orderkey": n, "custkey": nation}, n)
             out.append((n, "ok"))
         except WeirError as e:
             out.append((n, e.code))
-    return spark.createDataFrame(out, "n int, code string")
+    return spark.createDataFrame(out, "n long, code string")
 
 
 @add("s_nan", "SELECT o_orderkey AS seq, o_orderkey % 2 = 0 AS differs FROM orders")
@@ -498,35 +522,53 @@ def s_nan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- the registry (2.6)
 
-_REGISTER = [(1, "SELECT * FROM orders WHERE status = 'F' AND price > 5", None), (2, "SELECT * FROM public.orders WHERE (price > 5) AND 'F' = status", None), (2, "SELECT * FROM orders WHERE price > 5 AND status = 'F'", None), (2, "SELECT * FROM orders WHERE price > 5 AND status = 'F'", 9), (3, "SELECT COUNT(*) FROM orders WHERE price > 5 AND status = 'F'", 9), (4, "SELECT * FROM nowhere", None)]
+#: Each customer registers a query of its nation: in one of two wordings, some in a session, some a count, some on no table.
+_REG_SQL = """WITH s AS (SELECT c_custkey AS n, c_custkey % 7 AS consumer, c_nationkey AS p, CASE WHEN c_custkey % 5 = 0 THEN c_custkey % 3 END AS session, c_custkey % 11 = 0 AS counted, c_custkey % 13 <> 0 AS ok FROM customer),
+i AS (SELECT consumer, p, session, counted, min(n) AS first, row_number() OVER (ORDER BY min(n)) AS subscription_id FROM s WHERE ok GROUP BY consumer, p, session, counted),
+q AS (SELECT p, counted, min(n) AS first, row_number() OVER (ORDER BY min(n)) AS predicate_id FROM s WHERE ok GROUP BY p, counted) """
 
 
-def _registered() -> tuple[Registry, list]:
-    r = Registry(Catalog([ITEMS, ORDERS, *OTHERS]))
-    return r, r.register_batch(Request(c, s, session, 7) for c, s, session in _REGISTER)
+def _requests(spark: SparkSession, sf_dir: str) -> list[tuple[int, Request]]:
+    out = []
+    for n, p, _ in customers(spark, sf_dir):
+        what, where = "COUNT(*)" if n % 11 == 0 else "*", (f"status = 'F' AND custkey = {p}", f"(custkey = {p}) AND 'F' = status")[n % 2]
+        table = "orders" if n % 2 else "public.orders"
+        out.append((n, Request(n % 7, f"SELECT {what} FROM {table if n % 13 else 'nowhere'} WHERE {where}", n % 3 if n % 5 == 0 else None, 7)))
+    return out
+
+
+def _registered(spark: SparkSession, sf_dir: str) -> tuple[Registry, list[tuple]]:
+    """The customers' registry, and (n, result) of every registration."""
+    r, requests = Registry(Catalog([ITEMS, ORDERS, *OTHERS])), _requests(spark, sf_dir)
+    return r, list(zip([n for n, _ in requests], r.register_batch(x for _, x in requests), strict=True))
 
 
-def _result_rows(results: list) -> list[tuple]:
-    return [(k, r.subscription_id, r.created_new_predicate, "ok") if isinstance(r, Registered) else (k, 0, False, r.code) for k, r in enumerate(results)]
+_REGISTERED = "n long, subscription_id long, created_new_predicate boolean, code string"
 
 
-_BATCH = "SELECT * FROM (VALUES (0, CAST(1 AS BIGINT), TRUE, 'ok'), (1, 2, FALSE, 'ok'), (2, 2, FALSE, 'ok'), (3, 3, FALSE, 'ok'), (4, 4, TRUE, 'ok'), (5, 0, FALSE, 'unknown_table')) AS t(n, subscription_id, created_new_predicate, code)"
+def _result_rows(results: list[tuple]) -> list[tuple]:
+    return [(n, r.subscription_id, r.created_new_predicate, "ok") if isinstance(r, Registered) else (n, 0, False, r.code) for n, r in results]
+
+
+_BATCH = _REG_SQL + """SELECT s.n, CASE WHEN ok THEN subscription_id ELSE 0 END AS subscription_id, ok AND s.n = q.first AS created_new_predicate, CASE WHEN ok THEN 'ok' ELSE 'unknown_table' END AS code
+FROM s LEFT JOIN i ON s.consumer = i.consumer AND s.p = i.p AND s.session IS NOT DISTINCT FROM i.session AND s.counted = i.counted LEFT JOIN q ON s.p = q.p AND s.counted = q.counted"""
 
 
 @add("r_batch", _BATCH)
 def r_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(_result_rows(_registered()[1]), "n int, subscription_id long, created_new_predicate boolean, code string")
+    return spark.createDataFrame(_result_rows(_registered(spark, sf_dir)[1]), _REGISTERED)
 
 
 @add("r_reg", _BATCH)
 def r_reg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, one at a time."""
     r, out = Registry(Catalog([ITEMS, ORDERS, *OTHERS])), []
-    for c, s, session in _REGISTER:
+    for n, request in _requests(spark, sf_dir):
         try:
-            out.append(r.register(Request(c, s, session, 7)))
+            out.append((n, r.register(request)))
         except RegisterError as e:
-            out.append(e)
-    return spark.createDataFrame(_result_rows(out), "n int, subscription_id long, created_new_predicate boolean, code string")
+            out.append((n, e))
+    return spark.createDataFrame(_result_rows(out), _REGISTERED)
 
 
 _REMOVED = "bindings long, predicates long, consumers long, left_subscriptions long, left_predicates long"
@@ -536,66 +578,69 @@ def _removed(spark: SparkSession, r: Registry, x) -> DataFrame:  # noqa: ANN001
     return spark.createDataFrame([(x.bindings, x.predicates, x.consumers, r.subscription_count(), r.predicate_count(ORDERS.table_id))], _REMOVED)
 
 
-def _removed_sql(*v: int) -> str:
-    return "SELECT " + ", ".join(f"CAST({x} AS BIGINT) AS {c.split()[0]}" for x, c in zip(v, _REMOVED.split(", "), strict=True))
+def _removed_sql(gone: str) -> str:
+    """What goes with the bindings for which ``gone`` holds: also the predicates and consumers that have no other."""
+    alone = lambda key: f"(SELECT count(*) FROM (SELECT 1 FROM i GROUP BY {key} HAVING bool_and({gone})))"
+    return _REG_SQL + f"SELECT count(*) FILTER ({gone}) AS bindings, {alone('p, counted')} AS predicates, {alone('consumer')} AS consumers, count(*) FILTER (NOT {gone}) AS left_subscriptions, (SELECT count(*) FROM (SELECT DISTINCT p, counted FROM i WHERE NOT {gone})) AS left_predicates FROM i"
 
 
-@add("r_unsess", _removed_sql(2, 1, 1, 2, 1))
+@add("r_unsess", _removed_sql("(session IS NOT DISTINCT FROM 1)"))
 def r_unsess(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r, _ = _registered()
-    return _removed(spark, r, r.unregister_session(9))
+    r, _ = _registered(spark, sf_dir)
+    return _removed(spark, r, r.unregister_session(1))
 
 
-@add("r_unquery", _removed_sql(2, 0, 1, 2, 2))
+@add("r_unquery", _removed_sql("(consumer = 2 AND p = 3 AND NOT counted)"))
 def r_unquery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r, _ = _registered()
-    return _removed(spark, r, r.unregister_query(2, "SELECT * FROM orders WHERE status = 'F' AND price > 5"))
+    r, _ = _registered(spark, sf_dir)
+    return _removed(spark, r, r.unregister_query(2, "SELECT * FROM orders WHERE status = 'F' AND custkey = 3"))
 
 
-@add("r_unreg", "SELECT * FROM (VALUES (TRUE, FALSE, CAST(3 AS BIGINT), CAST(2 AS BIGINT))) AS t(first, again, left_subscriptions, left_predicates)")
+@add("r_unreg", _REG_SQL + "SELECT subscription_id, subscription_id % 2 = 0 AS first, FALSE AS again, (SELECT count(*) FROM i WHERE subscription_id % 2 <> 0) AS left_subscriptions, (SELECT count(*) FROM (SELECT DISTINCT p, counted FROM i WHERE subscription_id % 2 <> 0)) AS left_predicates FROM i")
 def r_unreg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r, _ = _registered()
-    got = (r.unregister(1), r.unregister(1), r.subscription_count(), r.predicate_count(ORDERS.table_id))
-    return spark.createDataFrame([got], "first boolean, again boolean, left_subscriptions long, left_predicates long")
+    """Every second subscription is removed, twice."""
+    r, _ = _registered(spark, sf_dir)
+    ids = sorted(r.bindings)
+    got = [(k, k % 2 == 0 and r.unregister(k), k % 2 == 0 and r.unregister(k)) for k in ids]
+    left = (r.subscription_count(), r.predicate_count(ORDERS.table_id))
+    return spark.createDataFrame([(*g, *left) for g in got], "subscription_id long, first boolean, again boolean, left_subscriptions long, left_predicates long")
 
 
-@add("r_counts", "SELECT CAST(4 AS BIGINT) AS subscriptions, CAST(2 AS BIGINT) AS predicates")
+@add("r_counts", _REG_SQL + "SELECT (SELECT count(*) FROM i) AS subscriptions, (SELECT count(*) FROM q) AS predicates")
 def r_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r, _ = _registered()
+    r, _ = _registered(spark, sf_dir)
     return spark.createDataFrame([(r.subscription_count(), r.predicate_count(ORDERS.table_id))], "subscriptions long, predicates long")
 
 
-_NORM = [("b = 1 AND (a = 2 AND c = 3)", '("a" = 2 AND "b" = 1 AND "c" = 3)'), ("1 = a", '"a" = 1'), ("a IN (3, 1, 2)", '"a" IN (1, 2, 3)'), ("((a)) > 1", '"a" > 1'), ("1 <> a", '1 <> "a"'), ("b + a = 1", '("b" + "a") = 1'), ("t.a > 1 OR b < 2", '("a" > 1 OR "b" < 2)')]
+#: Wordings and their canonical texts; {n} is a customer's key.
+_NORM = [("b = {n} AND (a = 2 AND c = 3)", '("a" = 2 AND "b" = {n} AND "c" = 3)'), ("{n} = a", '"a" = {n}'), ("b > {n} AND a IN (3, 1, 2)", '("a" IN (1, 2, 3) AND "b" > {n})'), ("((a)) > {n}", '"a" > {n}'), ("{n} <> a", '{n} <> "a"'), ("b + a = {n}", '("b" + "a") = {n}'), ("t.b < {n} OR a > 1", '("a" > 1 OR "b" < {n})')]
 
 
-@add("r_norm", "SELECT * FROM (VALUES " + ", ".join(f"({k}, '{n}')" for k, (_, n) in enumerate(_NORM)) + ") AS t(n, normalized)")
+@add("r_norm", "SELECT c_custkey AS n, replace(" + _by_turns([f"'{n}'" for _, n in _NORM], "c_custkey") + ", '{n}', CAST(c_custkey AS VARCHAR)) AS normalized FROM customer")
 def r_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame([(k, _canonical(w)) for k, (w, _) in enumerate(_NORM)], "n int, normalized string")
+    return spark.createDataFrame([(n, _canonical(_NORM[n % len(_NORM)][0].replace("{n}", str(n)))) for n, _, _ in customers(spark, sf_dir)], "n long, normalized string")
 
 
 def _canonical(where: str) -> str:
     return text(canonical(parse_predicate(where)))
 
 
-_HASHED = ["SELECT * FROM orders", "SELECT COUNT(*) FROM orders", "SELECT COUNT(price) FROM orders", "SELECT SUM(price) FROM orders", "SELECT AVG(price) FROM orders", "SELECT * FROM dual", "SELECT * FROM public.orders"]
-
-
-@add("r_hash", "SELECT CAST(7 AS BIGINT) AS statements, CAST(6 AS BIGINT) AS hashes")
+@add("r_hash", _REG_SQL + "SELECT count(*) AS statements, (SELECT count(*) FROM q) AS hashes FROM s WHERE ok")
 def r_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = Registry(Catalog([ITEMS, ORDERS, *OTHERS]))
-    hashes = {r.register(Request(k, s)).predicate_hash for k, s in enumerate(_HASHED)}
-    return spark.createDataFrame([(len(_HASHED), len(hashes))], "statements long, hashes long")
+    """Statements have one hash exactly if they are one predicate."""
+    hashes = [x.predicate_hash for _, x in _registered(spark, sf_dir)[1] if isinstance(x, Registered)]
+    return spark.createDataFrame([(len(hashes), len(set(hashes)))], "statements long, hashes long")
 
 
-@add("r_result", """SELECT CAST(1 AS BIGINT) AS subscription_id, 2 AS table_id, '("price" > 5 AND "status" = ''F'')' AS normalized, TRUE AS created_new_predicate, 'rows' AS projection""")
+@add("r_result", _REG_SQL + f"""SELECT n, {ORDERS.table_id} AS table_id, '("custkey" = ' || p || ' AND "status" = ''F'')' AS normalized, CASE WHEN counted THEN 'count' ELSE 'rows' END AS projection FROM s WHERE ok""")
 def r_result(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = _registered()[1][0]
-    return spark.createDataFrame([(x.subscription_id, x.table_id, x.normalized, x.created_new_predicate, x.projection.kind)], "subscription_id long, table_id int, normalized string, created_new_predicate boolean, projection string")
+    rows = [(n, x.table_id, x.normalized, x.projection.kind) for n, x in _registered(spark, sf_dir)[1] if isinstance(x, Registered)]
+    return spark.createDataFrame(rows, "n long, table_id int, normalized string, projection string")
 
 
-@add("r_store", "SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'price,status', 'rows', CAST(3 AS BIGINT)), (2, 'price,status', 'count', 1)) AS t(predicate_id, deps, projection, refcount)")
+@add("r_store", _REG_SQL + "SELECT predicate_id, 'custkey,status' AS deps, CASE WHEN q.counted THEN 'count' ELSE 'rows' END AS projection, count(*) AS refcount FROM q JOIN i ON q.p = i.p AND q.counted = i.counted GROUP BY ALL")
 def r_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _registered()[0].predicates(spark).select("predicate_id", F.array_join("deps", ",").alias("deps"), "projection", "refcount")
+    return _registered(spark, sf_dir)[0].predicates(spark).select("predicate_id", F.array_join("deps", ",").alias("deps"), "projection", "refcount")
 
 
 def shipped(query: Query) -> Query:
@@ -655,13 +700,11 @@ def _catalog() -> Catalog:
 
 
 def _events(parsed: DataFrame) -> DataFrame:
-    from weir.sources.common import typed_events
-
     return typed_events(parsed, ORDERS)
 
 
 def _flat(events: DataFrame, side: str) -> DataFrame:
-    return events.select((F.col("seq") / 1_000_000).cast("long").alias("seq"), *[F.col(f"{side}.{c}").alias(c) for c in COLUMNS], "kind")
+    return events.select(message_of().alias("seq"), *[F.col(f"{side}.{c}").alias(c) for c in COLUMNS], "kind")
 
 
 @add("s_w2j1", _PARSED_SQL.format(kind="'insert'"))
@@ -716,19 +759,19 @@ def s_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 @add("s_mxw_changed", _CHANGED_SQL)
 def s_mxw_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Maxwell's old image holds the changed columns only, so changes are derived from it."""
-    return _mxw(spark, sf_dir).select((F.col("seq") / 1_000_000).cast("long").alias("seq"), F.array_join("changed", ",").alias("changed"))
+    return _mxw(spark, sf_dir).select(message_of().alias("seq"), F.array_join("changed", ",").alias("changed"))
 
 
 @add("s_dbz_changed", _CHANGED_SQL)
 def s_dbz_changed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _dbz(spark, sf_dir).select((F.col("seq") / 1_000_000).cast("long").alias("seq"), F.array_join("changed", ",").alias("changed"))
+    return _dbz(spark, sf_dir).select(message_of().alias("seq"), F.array_join("changed", ",").alias("changed"))
 
 
 _PK_SQL = f"SELECT orderkey AS seq, CAST(orderkey AS VARCHAR) AS orderkey FROM ({ROWS_SQL})"
 
 
 def _pk(events: DataFrame) -> DataFrame:
-    return events.select((F.col("seq") / 1_000_000).cast("long").alias("seq"), F.try_element_at("pk", F.lit("orderkey")).alias("orderkey"))
+    return events.select(message_of().alias("seq"), F.try_element_at("pk", F.lit("orderkey")).alias("orderkey"))
 
 
 @add("s_pk", _PK_SQL)
@@ -745,30 +788,36 @@ def s_pk_old(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pk(_events(debezium(moved, _catalog())))
 
 
-#: (message, the kind or error it must give; None: nothing) by format
+#: By key: messages with the kind or error each must give (None: nothing); an order's key stands for {n}.
 CASES: dict[str, tuple[tuple[str, str | None], ...]] = {
-    "s_tomb": (("null", None), (" null ", None)),
-    "s_skip": (('{"op":"m","source":{"db":"x","table":"orders"}}', None), ('{"op":"z","source":{"db":"x","table":"orders"}}', None)),
-    "s_kind": tuple((f'{{"op":"{o}","source":{{"schema":"public","table":"orders"}},"before":{{"orderkey":1}},"after":{{"orderkey":1}}}}', k) for o, k in (("c", "insert"), ("r", "insert"), ("u", "update"), ("d", "delete"), ("t", "truncate"))),
+    "s_tomb": (("null", None), (" null ", None), ('{"op":"d","source":{"table":"orders"},"before":{"orderkey":{n}}}', "delete")),
+    "s_skip": (('{"op":"m","source":{"db":"x","table":"orders"}}', None), ('{"op":"z","source":{"db":"x","table":"orders"}}', None), ('{"op":"c","source":{"table":"orders"},"after":{"orderkey":{n}}}', "insert")),
+    "s_kind": tuple((f'{{"op":"{o}","source":{{"schema":"public","table":"orders"}},"before":{{"orderkey":{{n}}}},"after":{{"orderkey":{{n}}}}}}', k) for o, k in (("c", "insert"), ("r", "insert"), ("u", "update"), ("d", "delete"), ("t", "truncate"))),
     "s_err": (
         ("{", "json"),
         ("[1]", "json"),
         ('{"source":{"table":"orders"}}', "missing_field"),
         ('{"op":"c","source":{"table":"orders"}}', "missing_field"),
-        ('{"op":"c","source":{"schema":"s","table":"gone"},"after":{"orderkey":1}}', "unknown_table"),
-        ('{"op":"c","source":{"schema":"b","table":"dual"},"after":{"id":1}}', "ambiguous_table"),
-        ('{"op":"c","source":{"table":"orders"},"after":{"orderkey":1,"nothing":2}}', "unknown_column"),
-        ('{"op":"c","source":{"table":"orders"},"after":{"custkey":1}}', "missing_primary_key"),
+        ('{"op":"c","source":{"schema":"s","table":"gone"},"after":{"orderkey":{n}}}', "unknown_table"),
+        ('{"op":"c","source":{"schema":"b","table":"dual"},"after":{"id":{n}}}', "ambiguous_table"),
+        ('{"op":"c","source":{"table":"orders"},"after":{"orderkey":{n},"nothing":2}}', "unknown_column"),
+        ('{"op":"c","source":{"table":"orders"},"after":{"custkey":{n}}}', "missing_primary_key"),
     ),
 }
 
 
+
+
 def _cases(key: str) -> Query:
+    """One message of every order, the cases in turn."""
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         from weir.sources.json_formats import debezium
 
-        rows = [(k, m) for k, (m, _) in enumerate(CASES[key])]
-        parsed = debezium(spark.createDataFrame(rows, "msg_id long, value string"), _catalog())
+        made = F.array(*[F.lit(m) for m, _ in CASES[key]])
+        k = F.col("orderkey")
+        value = F.replace(F.element_at(made, (k % len(CASES[key]) + 1).cast("int")), F.lit("{n}"), k.cast("string"))
+        parsed = debezium(order_rows(spark, sf_dir).select(k.alias("msg_id"), value.alias("value")), _catalog())
         return parsed.select("msg_id", F.coalesce("error", "kind").alias("result"))
 
     return run
@@ -776,24 +825,72 @@ def _cases(key: str) -> Query:
 
 for _key, _rows in CASES.items():
     QUERIES[_key] = _cases(_key)
-    _kept = [f"(CAST({k} AS BIGINT), '{r}')" for k, (_, r) in enumerate(_rows) if r]
-    SQL[_key] = f"SELECT * FROM (VALUES {', '.join(_kept)}) AS t(msg_id, result)" if _kept else "SELECT CAST(1 AS BIGINT) AS msg_id, 'x' AS result WHERE FALSE"
+    _kept = _by_turns([f"'{r}'" if r else "NULL" for _, r in _rows], "orderkey")
+    SQL[_key] = f"SELECT orderkey AS msg_id, {_kept} AS result FROM ({ROWS_SQL}) WHERE {_kept} IS NOT NULL"
+
+
+def _cast_result(parsed: DataFrame) -> DataFrame:
+    """(seq, error, custkey, price, status) of every message, whether the parser or the table's types object."""
+    cells = _events(parsed).select(message_of().alias("seq"), "error", *[F.when(F.col("error").isNull(), F.col(f"new_row.{c}")).alias(c) for c in ("custkey", "price", "status")])
+    bad = parsed.where("error IS NOT NULL").select(F.col("msg_id").alias("seq"), "error", *[F.lit(None).cast(t).alias(c) for c, t in (("custkey", "long"), ("price", "double"), ("status", "string"))])
+    return cells.unionByName(bad)
+
+
+def _cast_sql(cases: list[tuple[str, str, str, str]]) -> str:
+    parts = [" ".join(f"WHEN {k} THEN {case[n]}" for k, case in enumerate(cases)) for n in range(4)]
+    names = zip(("VARCHAR", "BIGINT", "DOUBLE", "VARCHAR"), ("error", "custkey", "price", "status"), strict=True)
+    return "SELECT orderkey AS seq, " + ", ".join(f"CAST(CASE orderkey % {len(cases)} {p} END AS {t}) AS {n}" for p, (t, n) in zip(parts, names, strict=True)) + f" FROM ({ROWS_SQL})"
+
+
+#: Columns by the type names in their messages: (column, type name, value as JSON; what error, custkey, price and status must be).
+_PG_CASTS = [
+    ("custkey", "bigint", "CAST(custkey AS STRING)", ("NULL", "custkey", "NULL", "NULL")),
+    ("custkey", "INTEGER", "concat('\"', custkey, '\"')", ("NULL", "custkey", "NULL", "NULL")),
+    ("custkey", "int4", "concat(custkey, '.5')", ("'type_conversion'", "NULL", "NULL", "NULL")),
+    ("custkey", "smallint", "'18446744073709551615'", ("'type_conversion'", "NULL", "NULL", "NULL")),
+    ("price", "numeric", "concat('\"', price, '\"')", ("NULL", "NULL", "price", "NULL")),
+    ("price", "float8", "'\"x\"'", ("'type_conversion'", "NULL", "NULL", "NULL")),
+    ("status", "_text", "concat('\"', status, '\"')", ("'malformed_payload'", "NULL", "NULL", "NULL")),
+    ("status", "character varying", "CAST(custkey AS STRING)", ("NULL", "NULL", "NULL", "CAST(custkey AS VARCHAR)")),
+    ("status", "bool", "concat('\"', status, status, '\"')", ("'type_conversion'", "NULL", "NULL", "NULL")),
+    ("status", "numeric(10,2)", "'null'", ("NULL", "NULL", "NULL", "NULL")),
+]
+#: The same for cells without a type name.
+_BARE_CASTS = [
+    ("custkey", "CAST(custkey AS STRING)", ("NULL", "custkey", "NULL", "NULL")),
+    ("custkey", "'18446744073709551615'", ("'type_conversion'", "NULL", "NULL", "NULL")),
+    ("custkey", "concat(custkey, '.5')", ("'type_conversion'", "NULL", "NULL", "NULL")),
+    ("custkey", "'null'", ("NULL", "NULL", "NULL", "NULL")),
+    ("price", "CAST(custkey AS STRING)", ("NULL", "NULL", "custkey", "NULL")),
+    ("price", "CAST(price AS STRING)", ("NULL", "NULL", "price", "NULL")),
+    ("status", "'true'", ("NULL", "NULL", "NULL", "'true'")),
+    ("status", """concat('{"a":', custkey, '}')""", ("NULL", "NULL", "NULL", """'{"a":' || custkey || '}'""")),
+    ("status", "concat('[', custkey, ',2]')", ("NULL", "NULL", "NULL", "'[' || custkey || ',2]'")),
+    ("status", "concat('\"', custkey, '\"')", ("NULL", "NULL", "NULL", "CAST(custkey AS VARCHAR)")),
+]
 
-_CASTS = [("custkey", '"12"', "12"), ("custkey", "12.5", "type_conversion"), ("custkey", "18446744073709551615", "type_conversion"), ("custkey", "null", "null"), ("price", "3", "3.0"), ("price", '"x"', "type_conversion"), ("status", '{"a":1}', '{"a":1}'), ("status", "true", "true")]
 
+def _cast_messages(spark: SparkSession, sf_dir: str, bodies: list[str]) -> DataFrame:
+    body = F.element_at(F.array(*[F.expr(b) for b in bodies]), (F.col("orderkey") % len(bodies) + 1).cast("int"))
+    return order_rows(spark, sf_dir).select(F.col("orderkey").alias("msg_id"), body.alias("value"))
 
-def _cast_query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from weir.sources.json_formats import debezium
 
-    rows = [(k, f'{{"op":"c","source":{{"table":"orders"}},"after":{{"orderkey":1,"{c}":{v}}}}}') for k, (c, v, _) in enumerate(_CASTS)]
-    e = _events(debezium(spark.createDataFrame(rows, "msg_id long, value string"), _catalog()))
-    cell = F.coalesce(F.col("new_row.custkey").cast("string"), F.col("new_row.price").cast("string"), F.col("new_row.status"), F.lit("null"))
-    return e.select((F.col("seq") / 1_000_000).cast("long").alias("msg_id"), F.coalesce("error", cell).alias("cell"))
+@add("s_cast_pg", _cast_sql([c[-1] for c in _PG_CASTS]))
+def s_cast_pg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells by the type names that come with them."""
+    from weir.sources.json_formats import wal2json_v2
 
+    column = lambda c, t, v: f"""concat('{{"action":"I","schema":"public","table":"orders","columns":[{{"name":"orderkey","type":"bigint","value":', orderkey, '}},{{"name":"{c}","type":"{t}","value":', {v}, '}}]}}')"""
+    return _cast_result(wal2json_v2(_cast_messages(spark, sf_dir, [column(c, t, v) for c, t, v, _ in _PG_CASTS]), _catalog()))
 
-for _key in ("s_cast_pg", "s_cast_infer"):
-    QUERIES[_key] = _cast_query
-    SQL[_key] = "SELECT * FROM (VALUES " + ", ".join(f"(CAST({k} AS BIGINT), '{r}')" for k, (_, _, r) in enumerate(_CASTS)) + ") AS t(msg_id, cell)"
+
+@add("s_cast_infer", _cast_sql([c[-1] for c in _BARE_CASTS]))
+def s_cast_infer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bare JSON cells, by the catalog's types."""
+    from weir.sources.json_formats import debezium
+
+    bare = lambda c, v: f"""concat('{{"op":"c","source":{{"table":"orders"}},"after":{{"orderkey":', orderkey, ',"{c}":', {v}, '}}}}')"""
+    return _cast_result(debezium(_cast_messages(spark, sf_dir, [bare(c, v) for c, v, _ in _BARE_CASTS]), _catalog()))
 
 
 @add("s_row", f"SELECT orderkey AS seq, 'custkey,price,priority' AS missing FROM ({ROWS_SQL})")
@@ -803,7 +900,7 @@ def s_row(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     body = F.struct(_struct(only=("orderkey", "status")).alias("after"), F.struct(F.lit("orders").alias("table")).alias("source"), F.lit("c").alias("op"))
     messages = order_rows(spark, sf_dir).select(F.col("orderkey").alias("msg_id"), F.to_json(body).alias("value"))
-    return _events(debezium(messages, _catalog())).select((F.col("seq") / 1_000_000).cast("long").alias("seq"), F.array_join("new_missing", ",").alias("missing"))
+    return _events(debezium(messages, _catalog())).select(message_of().alias("seq"), F.array_join("new_missing", ",").alias("missing"))
 
 
 # -- pgoutput (2.1)
@@ -813,23 +910,25 @@ _OIDS = {"L": 20, "D": 701, "S": 25, "B": 16}
 
 def pgo_messages(spark: SparkSession, sf_dir: str, kind: str = "insert") -> DataFrame:
     """orders as messages of four slots, each with its own Relation message first."""
-    from weir.sources.pgoutput import encode_change, encode_relation
+    from weir.sources.pgoutput import encode_relation
 
     relation = encode_relation(7, "public", "orders", [(c, _OIDS[t], c in ORDERS.primary_key) for c, t in ORDERS.columns])
+    raw = lambda b: F.lit(bytearray(b))
 
-    def run(frames):  # noqa: ANN001, ANN202
-        import pandas as pd
+    def cells(columns: list[str]) -> Column:
+        """A tuple: the number of cells, then each as null or as its size and text."""
+        out = [raw(len(columns).to_bytes(2, "big"))]
+        for c in columns:
+            value = F.col(c).cast("string")
+            size = F.unhex(F.lpad(F.hex(F.octet_length(value)), 8, "0"))
+            out.append(F.when(value.isNull(), raw(b"n")).otherwise(F.concat(raw(b"t"), size, F.encode(value, "utf-8"))))
+        return F.concat(*out)
 
-        for f in frames:
-            rows = []
-            for r in f.itertuples(index=False):
-                cells = [None if r[k] is None else str(r[k]) for k in range(1, 6)]
-                value = encode_change(kind, 7, cells) if kind == "insert" else encode_change(kind, 7, cells if kind == "update" else None, [cells[0]], key=True)
-                rows.append((int(r[0]) % 4, int(r[0]) + 1, value))
-            yield pd.DataFrame(rows, columns=["slot", "msg_id", "value"])
-
-    body = order_rows(spark, sf_dir).select("orderkey", *[F.col(c).cast("string").alias(f"c{k}") for k, c in enumerate(COLUMNS)]).mapInPandas(run, "slot long, msg_id long, value binary")
-    return spark.createDataFrame([(s, -1, bytearray(relation)) for s in range(4)], "slot long, msg_id long, value binary").unionByName(body)
+    oid = (7).to_bytes(4, "big")
+    body = {"insert": (b"I" + oid + b"N", COLUMNS), "update": (b"U" + oid + b"N", COLUMNS), "delete": (b"D" + oid + b"K", COLUMNS[:1])}[kind]
+    rows = order_rows(spark, sf_dir).select((F.col("orderkey") % 4).alias("slot"), (F.col("orderkey") + 1).alias("msg_id"), F.concat(raw(body[0]), cells(body[1])).alias("value"))
+    first = spark.createDataFrame([(s, -1, bytearray(relation)) for s in range(4)], "slot long, msg_id long, value binary")
+    return first.unionByName(rows)
 
 
 def _pgo(kind: str) -> Query:
@@ -838,7 +937,7 @@ def _pgo(kind: str) -> Query:
 
         e = _events(pgoutput(pgo_messages(spark, sf_dir, kind), _catalog()))
         side = "old_row" if kind == "delete" else "new_row"
-        return e.select(((F.col("seq") / 1_000_000) - 1).cast("long").alias("seq"), *[F.col(f"{side}.{c}").alias(c) for c in COLUMNS], "kind")
+        return e.select((message_of() - 1).alias("seq"), *[F.col(f"{side}.{c}").alias(c) for c in COLUMNS], "kind")
 
     return run
 
@@ -875,12 +974,14 @@ def _pgo_cases() -> dict[str, list[tuple[bytes, list[str]]]]:
 
 
 def _pgo_case(key: str) -> Query:
+    """The case's messages in the slot of every order, and how many slots give each result."""
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         from weir.sources.pgoutput import pgoutput
 
-        rows = [(0, k, bytearray(m)) for k, (m, _) in enumerate(_pgo_cases()[key])]
-        parsed = pgoutput(spark.createDataFrame(rows, "slot long, msg_id long, value binary"), _catalog())
-        return parsed.select("msg_id", F.coalesce("error", "kind").alias("result"))
+        made = F.array(*[F.struct(F.lit(k).cast("long").alias("msg_id"), F.lit(bytearray(m)).alias("value")) for k, (m, _) in enumerate(_pgo_cases()[key])])
+        messages = order_rows(spark, sf_dir).select(F.col("orderkey").alias("slot"), F.explode(made).alias("m")).select("slot", "m.msg_id", "m.value")
+        return pgoutput(messages, _catalog()).groupBy("msg_id", F.coalesce("error", "kind").alias("result")).agg(F.count("*").alias("n"))
 
     return run
 
@@ -888,18 +989,18 @@ def _pgo_case(key: str) -> Query:
 for _key, _rows in _pgo_cases().items():
     QUERIES[_key] = _pgo_case(_key)
     _kept = [f"(CAST({k} AS BIGINT), '{x}')" for k, (_, r) in enumerate(_rows) for x in r]
-    SQL[_key] = f"SELECT * FROM (VALUES {', '.join(_kept)}) AS t(msg_id, result)"
+    SQL[_key] = f"SELECT msg_id, result, count(*) AS n FROM ({ROWS_SQL}), (VALUES {', '.join(_kept)}) AS t(msg_id, result) GROUP BY msg_id, result"
 
 
-@add("s_pgo_cache", "SELECT CAST(3 AS BIGINT) AS kept, FALSE AS has_first, TRUE AS has_refreshed")
+@add("s_pgo_cache", "SELECT c_nationkey AS oid FROM customer GROUP BY c_nationkey ORDER BY max(c_custkey) DESC LIMIT 7")
 def s_pgo_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Beyond its limit the cache drops the relation inserted longest ago; inserting anew refreshes."""
     from weir.sources.pgoutput import Relation, RelationCache
 
-    cache, r = RelationCache(3), Relation(ORDERS, (), (), ())
-    for oid in (1, 2, 3, 2, 4):
-        cache.put(oid, r)
-    return spark.createDataFrame([(len(cache.rows), cache.get(1) is not None, cache.get(2) is not None)], "kept long, has_first boolean, has_refreshed boolean")
+    cache, r = RelationCache(7), Relation(ORDERS, (), (), ())
+    for _, nation, _ in customers(spark, sf_dir):
+        cache.put(int(nation), r)
+    return spark.createDataFrame([(k,) for k in cache.rows], "oid long")
 
 
 @add("s_wal", f"SELECT 'insert' AS kind, CAST(count(*) AS BIGINT) AS n FROM ({ROWS_SQL}) UNION ALL SELECT 'update', 3 * CAST(count(*) AS BIGINT) FROM ({ROWS_SQL})")
@@ -977,24 +1078,21 @@ def x_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(r["input_shards"], r["output_predicates"], r["output_bindings"])], "input_shards long, output_predicates long, output_bindings long")
 
 
-_SAVED_SQL = "SELECT * FROM (VALUES " + ", ".join(f"(CAST({k + 1} AS BIGINT), CAST({c} AS BIGINT))" for k, (c, _) in enumerate(SUBSCRIPTIONS)) + ") AS t(subscription_id, consumer_id)"
-
-
-def _saved(spark: SparkSession):  # noqa: ANN202
-    store, r = _store(spark), registry()
+def _saved(spark: SparkSession, r: Registry | None = None):  # noqa: ANN202
+    store, r = _store(spark), r or registry()
     return store, r, store.save(r, ORDERS.table_id)
 
 
-@add("x_snap", f"SELECT CAST({len({w for _, w in SUBSCRIPTIONS})} AS BIGINT) AS predicates, CAST({len(SUBSCRIPTIONS)} AS BIGINT) AS bindings, {ORDERS.table_id} AS table_id")
+@add("x_snap", _REG_SQL + f"SELECT (SELECT count(*) FROM q) AS predicates, (SELECT count(*) FROM i) AS bindings, {ORDERS.table_id} AS table_id")
 def x_snap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = _saved(spark)[2]
+    m = _saved(spark, _registered(spark, sf_dir)[0])[2]
     return spark.createDataFrame([(m["predicates"], m["bindings"], m["table_id"])], "predicates long, bindings long, table_id int")
 
 
-@add("x_load", _SAVED_SQL)
+@add("x_load", _REG_SQL + "SELECT subscription_id, consumer AS consumer_id, session AS session_id FROM i")
 def x_load(spark: SparkSession, sf_dir: str) -> DataFrame:
-    store, r, _ = _saved(spark)
-    return store.load(r.catalog).subscriptions(spark).select("subscription_id", "consumer_id")
+    store, r, _ = _saved(spark, _registered(spark, sf_dir)[0])
+    return store.load(r.catalog).subscriptions(spark).select("subscription_id", "consumer_id", "session_id")
 
 
 @add("x_codec", _changes("inserted"))
@@ -1027,12 +1125,13 @@ def x_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "damaged string, code string")
 
 
-@add("x_rot", "SELECT FALSE AS at_default, TRUE AS at_small")
+@add("x_rot", _REG_SQL + ", z AS (SELECT 1024 * (SELECT count(*) FROM q) + 128 * (SELECT count(*) FROM i) AS size) SELECT size > 10485760 AS at_default, size > 60000 AS at_small FROM z")
 def x_rot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the estimated size of the registry asks for a snapshot."""
     from weir.store import Config, Store
 
-    store, r, _ = _saved(spark)
-    small = Store(spark, str(store.path), Config(str(store.path), rotation_threshold=1))
+    r, store = _registered(spark, sf_dir)[0], _store(spark)
+    small = Store(spark, str(store.path), Config(str(store.path), rotation_threshold=60_000))
     return spark.createDataFrame([(store.should_rotate(r, ORDERS.table_id), small.should_rotate(r, ORDERS.table_id))], "at_default boolean, at_small boolean")
 
 
@@ -1061,22 +1160,47 @@ def x_dur(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "durability string, code string, subscriptions long")
 
 
-@add("x_poll", f"SELECT CAST(2 AS BIGINT) AS input_shards, CAST({len(SUBSCRIPTIONS) - 1} AS BIGINT) AS live_bindings")
+_LIVE = "SELECT CAST(2 AS BIGINT) AS input_shards, count(*) AS live_bindings FROM i WHERE subscription_id % 3 <> 0"
+
+
+@add("x_poll", _REG_SQL + _LIVE)
 def x_poll(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A finished merge keeps what is live and is written back."""
-    import time
-
-    store, r, _ = _saved(spark)
+    store, r, _ = _saved(spark, _registered(spark, sf_dir)[0])
     t = r.catalog.by_id(ORDERS.table_id)
     shard = store.read(t)
     job = store.merge_in_background(r, t.table_id, [shard, shard])
-    r.unregister(1)
+    for k in [k for k in r.bindings if k % 3 == 0]:
+        r.unregister(k)
+    report = _completed(store, r, job)
+    return spark.createDataFrame([(report["input_shards"], store.manifest(t)["bindings"])], "input_shards long, live_bindings long")
+
+
+def _completed(store, r: Registry, job: str) -> dict:  # noqa: ANN001
+    import time
+
     while (report := store.try_complete(r, job)) is None:
         time.sleep(0.05)
-    return spark.createDataFrame([(report["input_shards"], store.manifest(t)["bindings"])], "input_shards long, live_bindings long")
+    return report
 
 
-QUERIES["x_pool"], SQL["x_pool"] = x_poll, SQL["x_poll"]
+@add("x_pool", _REG_SQL + "SELECT 'good' AS job, 'ok' AS code, count(*) AS live_bindings FROM i UNION ALL SELECT 'bad', 'merge', count(*) FROM i")
+def x_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A merge whose worker fails gives its error and harms neither the other job nor the stored snapshot."""
+    store, r, _ = _saved(spark, _registered(spark, sf_dir)[0])
+    t = r.catalog.by_id(ORDERS.table_id)
+    shard = store.read(t)
+    broken = (shard[0].drop("hash"), shard[1])
+    jobs = {"bad": store.merge_in_background(r, t.table_id, [broken, shard]), "good": store.merge_in_background(r, t.table_id, [shard, shard])}
+    rows = []
+    for what, job in jobs.items():
+        try:
+            _completed(store, r, job)
+            code = "ok"
+        except WeirError as e:
+            code = e.code
+        rows.append((what, code, store.manifest(t)["bindings"]))
+    return spark.createDataFrame(rows, "job string, code string, live_bindings long")
 
 
 @add("x_cfg", "SELECT * FROM (VALUES ('round trip', 'ok'), ('no path', 'config'), ('bad durability', 'config'), ('bad threshold', 'config')) AS t(what, code)")
@@ -1130,16 +1254,16 @@ def t_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     stream = spark.readStream.schema("msg_id long, value string").parquet(str(base / "in"))
     q = message_stream(stream, debezium, registry(), ORDERS, lambda df, n: df.write.mode("append").parquet(str(base / "out")), str(base / "ckpt"))
     q.awaitTermination()
-    return spark.read.parquet(str(base / "out")).select((F.col("seq") / 1_000_000).cast("long").alias("seq"), "consumer_id", "change")
+    return spark.read.parquet(str(base / "out")).select(message_of().alias("seq"), "consumer_id", "change")
 
 
-@add("t_totals", "SELECT CAST(count(*) AS BIGINT) AS count_total, round(sum(value), 4) AS sum_total FROM events WHERE user_id < 50")
+@add("t_totals", "SELECT CAST(count(*) AS BIGINT) AS count_total, round(sum(value), 4) AS sum_total FROM events")
 def t_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Running totals kept in a stream's state."""
     from weir.streaming.runner import running_totals_stream
 
     r = Registry(Catalog([EVENTS]))
-    r.register(Request(1, "SELECT AVG(value) FROM clicks WHERE user_id < 50"))
+    r.register(Request(1, "SELECT AVG(value) FROM clicks"))
     base = _store(spark).path
     d = A.aggregate_deltas(events_from_snapshot(_table(spark, sf_dir, "events"), EVENTS, "insert", "event_id"), r, EVENTS.table_id)
     d.write.parquet(str(base / "in"))

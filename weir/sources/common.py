@@ -12,14 +12,14 @@ listed in ``old_missing`` / ``new_missing``.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weir.errors import WalParseError
-from weir.model import TYPES, Catalog, TableDef, changed_columns
+from weir.model import Catalog, TableDef, changed_columns
 
+#: A change's place: its message's position times this, plus its number in the message (an int).
+SEQ_STEP = 10_000_000_000
 GENERIC = "msg_id long, idx int, kind string, table_id int, pk map<string,string>, old map<string,string>, new map<string,string>, changed_only boolean, error string"
 CELLS = "map<string,string>"
 #: Change kinds by format, and the kinds that carry no row change.
@@ -70,7 +70,32 @@ def keys_of(catalog: Catalog, table_id: Column) -> Column:
 
 def cells(names: Column, values: Column) -> Column:
     """A map from two arrays; NULL where either is."""
-    return F.when(names.isNotNull() & values.isNotNull() & (F.size(names) == F.size(values)) & (F.size(F.array_distinct(names)) == F.size(names)), F.map_from_arrays(names, values))
+    fit = (F.size(names) == F.size(values)) & (F.size(F.array_distinct(names)) == F.size(names)) & ~unnamed(names)
+    return F.when(names.isNotNull() & values.isNotNull() & fit, F.map_from_arrays(names, values))
+
+
+def unnamed(names: Column) -> Column:
+    return F.coalesce(F.exists(names, lambda n: n.isNull()), F.lit(False))
+
+
+#: Names of PostgreSQL types whose cells are integers, floats and booleans; all others are text.
+PG_INTS = ("integer", "int", "int2", "int4", "int8", "smallint", "bigint", "serial", "bigserial", "smallserial", "oid")
+PG_FLOATS = ("real", "float4", "double precision", "float8", "numeric", "decimal", "money")
+PG_BOOLS = ("boolean", "bool")
+
+
+def pg_type_error(types: Column, values: Column) -> Column:
+    """The error of cells that their messages' own type names can't take: arrays are not read, numbers and booleans must be such."""
+    lower = lambda t: F.lower(t)
+
+    def bad(t: Column, v: Column) -> Column:
+        named = F.when(lower(t).isin(*PG_INTS), to_cell(v, "L").isNull()).when(lower(t).isin(*PG_FLOATS), to_cell(v, "D").isNull()).when(lower(t).isin(*PG_BOOLS), to_cell(v, "B").isNull())
+        return v.isNotNull() & F.coalesce(named, F.lit(False))
+
+    # a NULL has no cell to convert
+    array = F.exists(F.zip_with(types, values, lambda t, v: F.coalesce(F.startswith(t, F.lit("_")) & v.isNotNull(), F.lit(False))), lambda x: x)
+    odd = F.exists(F.zip_with(types, values, bad), lambda x: x)
+    return F.when(array, "malformed_payload").when(odd, "type_conversion")
 
 
 def unknown_columns(catalog: Catalog, table_id: Column, *images: Column) -> Column:
@@ -126,11 +151,6 @@ def malformed(text: Column) -> Column:
     return F.coalesce(~F.startswith(F.ltrim(text), F.lit("{")) | F.try_parse_json(text).isNull(), F.lit(True))
 
 
-def skipped(messages: DataFrame, kind: Column, known: dict[str, str]) -> DataFrame:
-    """Messages whose kind is not a row change (control records and unknown kinds)."""
-    return messages.where(~F.coalesce(kind.isin(*known), F.lit(False)))
-
-
 def bad_cell(value: Column, kind: str) -> Column:
     """A cell that its column's type can't take: fractions in integers, overflow, other text."""
     if kind == "S":
@@ -154,7 +174,8 @@ def to_cell(value: Column, kind: str) -> Column:
 def typed_events(parsed: DataFrame, table: TableDef, strict: bool = False) -> DataFrame:
     """The events of one table with typed images; ``error`` is ``type_conversion`` where a cell doesn't fit.
 
-    ``seq`` orders changes by message and place in it.  ``changed`` is derived
+    ``seq`` orders changes by message and place in it (a decimal, so that neither
+    a far position nor a long transaction overflows it).  ``changed`` is derived
     where the old image is complete, or where the format says that the old
     image holds the changed cells only.
     """
@@ -173,7 +194,7 @@ def typed_events(parsed: DataFrame, table: TableDef, strict: bool = False) -> Da
         for n, k in table.columns:
             bad = bad | F.coalesce(bad_cell(F.try_element_at(F.col(m), F.lit(n)), k), F.lit(False))
     rows = own.select(
-        (F.col("msg_id") * 1_000_000 + F.col("idx")).alias("seq"),
+        (F.col("msg_id").cast("decimal(20,0)") * F.lit(SEQ_STEP).cast("decimal(11,0)") + F.col("idx")).cast("decimal(38,0)").alias("seq"),
         "table_id",
         "kind",
         "pk",
@@ -194,10 +215,6 @@ def typed_events(parsed: DataFrame, table: TableDef, strict: bool = False) -> Da
     return rows.withColumn("changed", changed).drop("changed_only")
 
 
-def parser(read: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
-    """Marks a function (messages, catalog, strict) -> generic rows; messages have msg_id and value."""
-    read.is_parser = True
-    return read
-
-
-TYPE_NAMES = {k: v.simpleString() for k, v in TYPES.items()}
+def message_of(seq: str = "seq") -> Column:
+    """The position of the message that a change came in."""
+    return F.expr(f"`{seq}` div {SEQ_STEP}BD")

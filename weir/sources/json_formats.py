@@ -35,39 +35,43 @@ def _checked(rows: DataFrame, catalog: Catalog) -> DataFrame:
     return rows.withColumn("error", F.coalesce("error", F.when(found, "unknown_column")))
 
 
-@C.parser
 def wal2json_v1(messages: DataFrame, catalog: Catalog, strict: bool = False) -> DataFrame:
-    """One message is one transaction of many changes; an unknown kind drops its change, an error its message."""
+    """One message is one transaction of many changes; an unknown kind drops its change, an error its message.
+
+    A message's changes are judged as an array, before they become rows, so
+    that batches and streams see the same and no message is read twice.
+    """
+
+    def read(c: Column, idx: Column) -> Column:
+        kind = C.lookup(C.KINDS["wal2json_v1"], c["kind"], "string")
+        table_id, table_error = C.table_ids(catalog, c["schema"], c["table"])
+        names, values, types, keys = c["columnnames"], c["columnvalues"], c["columntypes"], c["oldkeys"]
+        new = F.when(kind.isin("insert", "update"), C.cells(names, values))
+        old = F.when(kind.isin("update", "delete") & keys.isNotNull(), C.cells(keys["keynames"], keys["keyvalues"]))
+        lacking = kind.isin("insert", "update") & (names.isNull() | C.unnamed(names)) | (kind == "delete") & keys.isNull() | C.unnamed(keys["keynames"])
+        lengths = (F.size(names) != F.size(values)) | (names.isNotNull() & types.isNotNull() & (F.size(names) != F.size(types))) | (keys.isNotNull() & (F.size(keys["keynames"]) != F.size(keys["keyvalues"])))
+        twice = (F.size(F.array_distinct(names)) < F.size(names)) | (F.size(F.array_distinct(keys["keynames"])) < F.size(keys["keynames"]))
+        typed = F.coalesce(C.pg_type_error(types, values), C.pg_type_error(keys["keytypes"], keys["keyvalues"]))
+        error = F.coalesce(table_error, F.when(lacking, "missing_field"), F.when(lengths, "array_length_mismatch"), F.when(twice, "duplicate_column"), typed)
+        return F.struct(idx.alias("idx"), kind.alias("kind"), table_id.alias("table_id"), old.alias("old"), new.alias("new"), error.alias("error"))
+
+    def judged(c: Column) -> Column:
+        unknown = C.unknown_columns(catalog, c["table_id"], c["old"], c["new"])
+        own, own_error = C.primary_key(catalog, c["table_id"], c["new"])
+        truncate = c["kind"] == "truncate"
+        pk = F.when(c["old"].isNotNull(), c["old"]).when(truncate, F.create_map().cast(C.CELLS)).otherwise(own)
+        error = F.coalesce(c["error"], F.when(unknown, "unknown_column"), F.when(c["old"].isNull() & ~truncate, own_error))
+        return F.struct(*[c[x].alias(x) for x in ("idx", "kind", "table_id")], pk.alias("pk"), c["old"].alias("old"), c["new"].alias("new"), error.alias("error"))
+
     rows = _messages(messages, V1)
-    each = rows.select("msg_id", "_bad", F.when(F.col("_bad").isNull() & F.col("m.change").isNull(), "missing_field").alias("_lack"), F.posexplode_outer("m.change").alias("idx", "c"))
-    kind = C.lookup(C.KINDS["wal2json_v1"], F.col("c.kind"), "string")
-    each = each.withColumn("kind", kind).where(F.col("_bad").isNotNull() | F.col("_lack").isNotNull() | F.col("kind").isNotNull())
-    table_id, table_error = C.table_ids(catalog, F.col("c.schema"), F.col("c.table"))
-    each = each.withColumn("table_id", table_id).withColumn("_table", table_error)
-    names, values, keys = F.col("c.columnnames"), F.col("c.columnvalues"), F.col("c.oldkeys")
-    new = F.when(F.col("kind").isin("insert", "update"), C.cells(names, values))
-    old = F.when(F.col("kind").isin("update", "delete") & keys.isNotNull(), C.cells(keys["keynames"], keys["keyvalues"]))
-    lengths = F.when(
-        (F.size(names) != F.size(values)) | (names.isNotNull() & F.col("c.columntypes").isNotNull() & (F.size(names) != F.size(F.col("c.columntypes")))) | (keys.isNotNull() & (F.size(keys["keynames"]) != F.size(keys["keyvalues"]))),
-        "array_length_mismatch",
-    )
-    twice = F.when((F.size(F.array_distinct(names)) < F.size(names)) | (F.size(F.array_distinct(keys["keynames"])) < F.size(keys["keynames"])), "duplicate_column")
-    lacking = F.when(F.col("kind").isin("insert", "update") & names.isNull() | (F.col("kind") == "delete") & keys.isNull(), "missing_field")
-    each = each.withColumn("new", new).withColumn("old", old).withColumn("error", F.when(F.col("kind").isNotNull() | F.col("_bad").isNotNull() | F.col("_lack").isNotNull(), F.coalesce("_bad", "_lack", "_table", lacking, lengths, twice)))
-    each = _checked(each, catalog)
-    own, own_error = C.primary_key(catalog, F.col("table_id"), F.col("new"))
-    pk = F.when(F.col("old").isNotNull(), F.col("old")).when(F.col("kind") == "truncate", F.create_map().cast(C.CELLS)).otherwise(own)
-    each = each.withColumn("pk", pk).withColumn("error", F.coalesce("error", F.when(F.col("old").isNull() & (F.col("kind") != "truncate"), own_error)))
-    rows = each.select("msg_id", F.coalesce("idx", F.lit(0)).alias("idx"), "kind", "table_id", "pk", "old", "new", F.lit(False).alias("changed_only"), "error")
-    # one bad change fails its whole message
-    if messages.isStreaming:
-        return C.finish(rows, False)
-    errors = rows.where("error IS NOT NULL").groupBy("msg_id").agg(F.min(F.struct("idx", "error")).alias("e")).select("msg_id", F.col("e.error").alias("_e"))
-    rows = rows.join(errors, "msg_id", "left").withColumn("error", F.col("_e")).drop("_e")
-    return C.finish(rows, strict)
-
-
-@C.parser
+    changes = F.filter(F.transform("m.change", read), lambda c: c["kind"].isNotNull())
+    rows = C.held(rows.select("msg_id", F.coalesce("_bad", F.when(F.col("m.change").isNull(), "missing_field")).alias("_whole"), changes.alias("c")))
+    rows = C.held(rows.select("msg_id", "_whole", F.transform("c", judged).alias("c")))
+    first = F.get(F.filter("c", lambda c: c["error"].isNotNull()), 0)["error"]
+    each = rows.select("msg_id", F.coalesce("_whole", first).alias("error"), F.explode(F.when(F.col("_whole").isNull(), F.col("c")).otherwise(F.array(F.lit(None)))).alias("c"))
+    return C.finish(each.select("msg_id", F.coalesce("c.idx", F.lit(0)).alias("idx"), "c.kind", "c.table_id", "c.pk", "c.old", "c.new", F.lit(False).alias("changed_only"), "error"), strict)
+
+
 def wal2json_v2(messages: DataFrame, catalog: Catalog, strict: bool = False) -> DataFrame:
     """One message is one change; transaction marks and unknown actions are skipped."""
     rows = _messages(messages, V2)
@@ -81,8 +85,11 @@ def wal2json_v2(messages: DataFrame, catalog: Catalog, strict: bool = False) ->
     new = F.when(F.col("kind").isin("insert", "update"), C.cells(name(columns), value(columns)))
     old = F.when(F.col("kind").isin("update", "delete") & identity.isNotNull(), C.cells(name(identity), value(identity)))
     twice = lambda a: F.size(F.array_distinct(name(a))) < F.size(a)
-    lacking = F.when(F.col("kind").isin("insert", "update") & columns.isNull() | (F.col("kind") == "delete") & identity.isNull(), "missing_field")
-    error = F.coalesce("_bad", "_lack", table_error, lacking, F.when(twice(columns) | twice(identity), "duplicate_column"))
+    none = C.unnamed(name(columns)) | C.unnamed(name(identity))
+    lacking = F.when(F.col("kind").isin("insert", "update") & columns.isNull() | (F.col("kind") == "delete") & identity.isNull() | none, "missing_field")
+    type_ = lambda a: F.transform(a, lambda x: x["type"])
+    typed = F.coalesce(C.pg_type_error(type_(columns), value(columns)), C.pg_type_error(type_(identity), value(identity)))
+    error = F.coalesce("_bad", "_lack", table_error, lacking, F.when(twice(columns) | twice(identity), "duplicate_column"), typed)
     rows = _checked(rows.withColumn("table_id", table_id).withColumn("new", new).withColumn("old", old).withColumn("error", error), catalog)
     source = F.when(F.col("kind") == "insert", F.col("new")).when(F.col("kind") != "truncate", F.coalesce("old", "new"))
     pk, pk_error = C.primary_key(catalog, F.col("table_id"), source, name(F.col("m.pk")))
@@ -102,7 +109,6 @@ def _map_rows(rows: DataFrame, catalog: Catalog, table_id: Column, table_error:
     return C.finish(rows.select("msg_id", F.lit(0).alias("idx"), "kind", "table_id", "pk", "old", "new", F.lit(changed_only).alias("changed_only"), "error"), strict)
 
 
-@C.parser
 def debezium(messages: DataFrame, catalog: Catalog, strict: bool = False) -> DataFrame:
     """Unwrapped envelopes; ``schema.table`` is tried before ``db.table``; message records are skipped."""
     rows = _messages(messages, DEBEZIUM)
@@ -115,7 +121,6 @@ def debezium(messages: DataFrame, catalog: Catalog, strict: bool = False) -> Dat
     return _map_rows(rows, catalog, table_id, table_error, new, old, None, False, strict)
 
 
-@C.parser
 def maxwell(messages: DataFrame, catalog: Catalog, strict: bool = False) -> DataFrame:
     """Maxwell rows: the old image of an update holds the changed cells only, that of a delete is its data."""
     rows = _messages(messages, MAXWELL)

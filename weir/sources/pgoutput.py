@@ -1,27 +1,33 @@
 """The pgoutput binary protocol.
 
 It is stateful: a Relation message describes the table that later messages
-refer to by number.  A slot's messages therefore stay together and in log
-order: rows are hashed by slot, sorted by position within the partition, and
-decoded as a stream, so memory holds one slot's relations, never its messages.
+refer to by number.  Relation messages are few; those that change something are
+found first and sent to every task, and each change looks up the last one
+before its position, so the messages of one slot are decoded in parallel.  Only
+where they are too many for that (``MAX_VERSIONS``, or more tables in a slot
+than its cache holds), or in a stream, a slot's messages are sorted by position
+and decoded as a stream, with one slot's relations in memory.
 """
 
 from __future__ import annotations
 
 import struct
-from collections import OrderedDict
+from bisect import bisect_left
+from collections import Counter, OrderedDict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from weir.errors import AmbiguousTable, UnknownColumn, UnknownTable, WalParseError
 from weir.model import Catalog, TableDef
 from weir.ship import ship
-from weir.sources.common import GENERIC, finish, parser
+from weir.sources.common import GENERIC, finish
 
 MAX_RELATIONS = 65_536
+MAX_VERSIONS = 100_000
 #: Type numbers with cells other than text, and messages that carry no row change.
 BOOL_OIDS, INT_OIDS, FLOAT_OIDS = frozenset({16}), frozenset({20, 21, 23, 26}), frozenset({700, 701, 1700})
 CONTROL = frozenset(b"BCOYMSEcAPKrbp")
@@ -231,28 +237,84 @@ def _typed(cell: str | None, oid: int) -> str | None:
     return cell
 
 
-@parser
+class Versions:
+    """The relations of all slots by position: what a message at a position refers to is the last one before it."""
+
+    def __init__(self, catalog: Catalog, rows: list[tuple[str | None, int, int, bytes]]) -> None:
+        self.at: dict[tuple, tuple[list[int], list[Relation]]] = {}
+        decoder = Decoder(catalog)
+        for slot, oid, msg_id, value in sorted(rows, key=lambda r: (r[0] or "", r[1], r[2])):
+            decoder.decode(value)
+            where, made = self.at.setdefault((slot, oid), ([], []))
+            where.append(msg_id)
+            made.append(decoder.cache.get(oid))
+        self.slot, self.msg_id = None, 0
+
+    def get(self, oid: int) -> Relation | None:
+        where, made = self.at.get((self.slot, oid), ((), ()))
+        k = bisect_left(where, self.msg_id)
+        return made[k - 1] if k else None
+
+    def put(self, oid: int, relation: Relation) -> None:
+        """Known already."""
+
+
+def _relation_versions(messages: DataFrame, catalog: Catalog) -> list[tuple] | None:
+    """(slot, oid, position, message) of the Relation messages that change something; None where a stream must be decoded in order.
+
+    That is where they are many, or where a slot has so many that the cache would drop some.
+    """
+
+    def valid(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for slot, msg_id, value in zip(frame["slot"], frame["msg_id"], frame["value"], strict=True):
+                try:
+                    Decoder(catalog).decode(bytes(value))
+                    rows.append((slot, struct.unpack(">I", bytes(value)[1:5])[0], msg_id, value))
+                except WalParseError:  # reported where messages are decoded
+                    continue
+            yield pd.DataFrame(rows, columns=["slot", "oid", "msg_id", "value"])
+
+    found = messages.where(F.substring("value", 1, 1) == F.lit(bytearray(b"R"))).mapInPandas(valid, "slot string, oid long, msg_id long, value binary")
+    before = F.lag("value").over(Window.partitionBy("slot", "oid").orderBy("msg_id"))
+    rows = found.withColumn("before", before).where("before IS NULL OR before <> value").drop("before").limit(MAX_VERSIONS + 1).collect()
+    per_slot = Counter(slot for slot, _ in {(r["slot"], r["oid"]) for r in rows})
+    if len(rows) > MAX_VERSIONS or max(per_slot.values(), default=0) > MAX_RELATIONS:
+        return None
+    return [(r["slot"], r["oid"], r["msg_id"], bytes(r["value"])) for r in rows]
+
+
 def pgoutput(messages: DataFrame, catalog: Catalog, strict: bool = False, unchanged_is_missing: bool = False) -> DataFrame:
-    """Messages (slot, msg_id, value BINARY) to generic rows; msg_id is the position in the slot's log."""
-    ship(messages.sparkSession)
+    """Messages (slot, msg_id, value BINARY) to generic rows; msg_id is the position in the slot's log, each once in a slot."""
+    spark = ship(messages.sparkSession)
     columns = [c.split()[0] for c in GENERIC.replace("map<string,string>", "m").split(", ")]
+    rows = messages.select(F.col("slot").cast("string").alias("slot"), "msg_id", "value")
+    known = None if messages.isStreaming else _relation_versions(rows, catalog)
+    shared = None if known is None else spark.sparkContext.broadcast(known)  # at most MAX_VERSIONS messages
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         slot, decoder = None, Decoder(catalog, unchanged_is_missing)
+        versions = None if shared is None else Versions(catalog, shared.value)
+        if versions is not None:
+            decoder.cache = versions
         for frame in frames:
-            rows = []
+            out = []
             for s, msg_id, value in zip(frame["slot"], frame["msg_id"], frame["value"], strict=True):
-                if s != slot:
+                if versions is not None:
+                    versions.slot, versions.msg_id = s, msg_id
+                elif s != slot:
                     slot, decoder = s, Decoder(catalog, unchanged_is_missing)
                 try:
                     made = decoder.decode(bytes(value or b""))
-                    rows += [(msg_id, k, kind, table, pk, old, new, False, None) for k, (kind, table, pk, old, new) in enumerate(made)]
+                    out += [(msg_id, k, kind, table, pk, old, new, False, None) for k, (kind, table, pk, old, new) in enumerate(made)]
                 except WalParseError as e:
-                    rows.append((msg_id, 0, None, None, None, None, None, None, e.code))
-            yield pd.DataFrame(rows, columns=columns).astype({"table_id": "Int32", "changed_only": "boolean"})
+                    out.append((msg_id, 0, None, None, None, None, None, None, e.code))
+            yield pd.DataFrame(out, columns=columns).astype({"table_id": "Int32", "changed_only": "boolean"})
 
-    ordered = messages.select("slot", "msg_id", "value").repartition("slot").sortWithinPartitions("slot", "msg_id")
-    return finish(ordered.mapInPandas(run, GENERIC), strict)
+    if shared is None:
+        rows = rows.repartition("slot").sortWithinPartitions("slot", "msg_id")
+    return finish(rows.mapInPandas(run, GENERIC), strict)
 
 
 # -- encoder, for fixtures and replays

@@ -211,7 +211,12 @@ class Store:
         if not future.done():
             return None
         del self.jobs[job]
-        predicates, bindings, report = future.result()
+        try:
+            predicates, bindings, report = future.result()
+        except MergeError:
+            raise
+        except Exception as e:  # a worker that fails concerns its own job only
+            raise MergeError(f"the merge failed: {e}") from e
         live_rows = [(b.subscription_id,) for b in registry.bindings.values() if registry.by_id[b.predicate_id].table.table_id == table_id]
         live = self.spark.createDataFrame(live_rows, "subscription_id long")
         lost = live.join(bindings, "subscription_id", "left_anti").first()
