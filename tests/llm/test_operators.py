@@ -163,18 +163,22 @@ def test_near_duplicates_against_all_pairs(spark, width, percent):
     assert got == brute_components(rows, width, percent)
 
 
-@pytest.mark.parametrize("run", [7, neardup.RUN])
-def test_links_of_dense_groups_are_exact(spark, monkeypatch, run):
+@pytest.mark.parametrize(("run", "tokens", "slice_"), [(7, 1 << 19, 4096), (neardup.RUN, 300, 16), (neardup.RUN, neardup.RUN_TOKENS, neardup.SLICE)])
+def test_links_of_dense_groups_are_exact(spark, monkeypatch, run, tokens, slice_):
+    """Sizes over several bins, repeated rows, components of two, three and many, chains; against all pairs."""
     monkeypatch.setattr(neardup, "RUN", run)
-    base = [f"w{k}" for k in range(40)]
-    rows = [(k, " ".join([*base[: 39 - k % 3], *[f"e{k} {j}" for j in range(k % 3 + 1)]])) for k in range(60)]
-    rows += [(100 + k, rows[k][1]) for k in range(5)]  # copies are of the same class
-    sets = {i: set(zip(t.split(), t.split()[1:], t.split()[2:], strict=False)) for i, t in rows[:60]}
-    sets |= {100 + k: sets[k] for k in range(5)}
-    want = {a: sum(100 * len(x & y) >= 90 * len(x | y) for b, y in sets.items() if a != b) for a, x in sets.items()}
-    found = neardup.near_duplicates(frame(spark, [(i, t, "en", "s") for i, t in rows]), 3, 90).collect()
-    assert {r["doc_id"]: r["n_links"] for r in found} == want
-    assert {r["class_id"] for r in found if r["doc_id"] >= 100} == set(range(5))
+    monkeypatch.setattr(neardup, "RUN_TOKENS", tokens)
+    monkeypatch.setattr(neardup, "SLICE", slice_)
+    base = [f"w{k}" for k in range(60)]
+    texts = [" ".join([*base[: 59 - k % 5], *[f"e{k} {j}" for j in range(k % 3 + 1)]]) for k in range(40)]
+    texts += [" ".join(base[: 30 + k]) for k in range(30)]  # a chain of growing sets
+    texts += [" ".join([f"p{g} q{k}" for k in range(40)][: 38 + j]) for g in range(4) for j in range(1 + g % 3)]
+    rows = [*enumerate(texts), *[(100 + k, texts[k]) for k in range(5)], (100, texts[0]), (200, "z"), (201, "z"), (202, None)]
+    sets = [set(zip(t.split(), t.split()[1:], t.split()[2:], strict=False)) or {tuple(t.split())} if t else set() for _, t in rows]
+    want = sorted((i, sum(bool(x) and bool(y) and 100 * len(x & y) >= 90 * len(x | y) for m, y in enumerate(sets) if m != k)) for k, ((i, _), x) in enumerate(zip(rows, sets, strict=True)))
+    found = neardup.near_duplicates(frame(spark, [(i, t, "en", "s") for i, t in rows]).repartition(3), 3, 90).collect()
+    assert sorted((r["doc_id"], r["n_links"]) for r in found) == want
+    assert {r["doc_id"]: r["class_id"] for r in found} == {i: min(j for j, u in rows if u == t) for i, t in rows}
 
 
 def test_one_row_of_each_component(spark):

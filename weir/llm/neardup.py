@@ -19,10 +19,11 @@ prefix n-gram not all pairs are made:
    filters are part of the join condition.
 
 A pair inside a component can't change the components, so they are exact after
-two steps.  With ``all_links`` (op2_jaccard) a third makes the links exact too:
+two steps.  With ``all_links`` (op2_jaccard) a third counts the links inside:
 
-3. within a component, all members that share a prefix n-gram meet, groups cut
-   into runs of about ``RUN`` members; each pair not seen before is verified once.
+3. every link is within a component, so the sets of a component's classes are
+   compared run against run, those of sizes that may link; see
+   :func:`linked_rows`.  No pairs are made, only sums by class.
 
 Components come from alternating large-star and small-star steps.
 
@@ -43,8 +44,9 @@ further columns are ignored.
 
 from __future__ import annotations
 
+import math
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -60,7 +62,9 @@ CHUNK = 1 << 14
 LEVELS = 4096
 WORDS = 8
 PIVOTS = 3
-RUN = 256
+RUN = 512
+RUN_TOKENS = 1 << 19
+SLICE = 4096
 JOIN_SALTS = 16
 MIN_BLOOM, MAX_BLOOM = 26, 29
 
@@ -262,6 +266,80 @@ def _wide_suffix(percent: int, na: Column, nb: Column, xa: Column, xb: Column) -
     return F.coalesce((100 + percent) * (na + nb - apart) >= 2 * percent * (na + nb), F.lit(True))
 
 
+def _link_counts(percent: int) -> Callable[[pa.Table], pa.Table]:
+    """For one cell of two runs of classes (or of one run with itself) the rows that each class links with.
+
+    Intersections are products of 0/1 matrices over the shingles that two sets
+    or more have, ``SLICE`` of them at a time.
+    """
+
+    def run(cell: pa.Table) -> pa.Table:
+        node, n, weight = (cell[c].to_numpy().astype(np.int64) for c in ("node", "n", "n_rows"))
+        left = cell["left"].to_numpy(zero_copy_only=False).astype(bool)
+        mine = np.flatnonzero(left)
+        other = np.flatnonzero(~left) if not left.all() else mine
+        tokens = cell["tokens"].combine_chunks()
+        sizes = tokens.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+        _, token, often = np.unique(tokens.flatten().to_numpy(zero_copy_only=False), return_inverse=True, return_counts=True)
+        of = np.repeat(np.arange(len(node)), sizes)
+        shared = often[token] > 1
+        number = np.cumsum(often > 1) - 1
+        token, of = number[token[shared]], of[shared]
+        order = np.argsort(token, kind="stable")
+        token, of = token[order], of[order]
+        common = np.zeros((len(mine), len(other)))
+        for a in range(0, int(token[-1]) + 1 if len(token) else 0, SLICE):
+            lo, hi = np.searchsorted(token, (a, a + SLICE))
+            held = np.zeros((len(node), SLICE), np.float32)
+            held[of[lo:hi], token[lo:hi] - a] = 1
+            common += held[mine] @ held[other].T
+        linked = 100 * common >= percent * (n[mine][:, None] + n[other][None] - common)
+        if other is mine:
+            np.fill_diagonal(linked, False)
+            return pa.table({"node": node[mine], "n_linked": linked @ weight[mine]})
+        return pa.table({"node": np.concatenate((node[mine], node[other])), "n_linked": np.concatenate((linked @ weight[other], weight[mine] @ linked))})
+
+    return run
+
+
+def linked_rows(classes: DataFrame, roots: DataFrame, sets_of: Callable[[DataFrame], DataFrame], percent: int) -> DataFrame:
+    """(node, n_linked): how many rows the links of every class in a component of two or more lead to.
+
+    All links are within components.  Two classes of a component are linked;
+    in larger ones the sets are compared in cells: classes go to size bins
+    (only sets of one bin or of neighbours can link), a bin of a component to
+    runs of about ``RUN`` classes and ``RUN_TOKENS`` shingles, and every two
+    runs that may link meet in one cell, which gives sums, not pairs.
+    """
+    members = cut(roots.join(classes.select("node", "s0", "s1", "rep_doc", "n", "n_rows"), "node"))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(JOIN_SALTS - 1))).alias("salt")
+    salted = members.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(JOIN_SALTS)).cast("int"))
+    totals = members.groupBy("root").agg(F.count("*").alias("m"), F.sum("n_rows").alias("all_rows"))
+    two = salted.join(totals.where("m = 2").select("root", "all_rows", salts), ["root", "salt"]).select("node", (F.col("all_rows") - F.col("n_rows")).alias("n_linked"))
+    large = cut(salted.join(totals.where("m > 2").select("root", salts), ["root", "salt"]).withColumn("bin", F.floor(F.log("n") / F.lit(-math.log(percent / 100) * 1.000001)).cast("int")))
+    runs = large.groupBy("root", "bin").agg(F.greatest(F.ceil(F.count("*") / RUN), F.ceil(F.sum("n") / RUN_TOKENS)).cast("int").alias("runs"))
+    # what a member meets: the runs of its own bin and of the next ones
+    near = cut(runs.groupBy("root").agg(F.map_from_entries(F.collect_list(F.struct("bin", "runs"))).alias("by_bin")))
+    placed = large.join(near.select("root", "by_bin", salts), ["root", "salt"])
+    placed = placed.withColumn("runs", F.col("by_bin")[F.col("bin")]).withColumn("run", F.pmod(F.xxhash64(F.lit("run"), "node"), "runs").cast("int"))
+    runs_of = lambda step: F.coalesce(F.try_element_at("by_bin", F.col("bin") + step), F.lit(0))
+
+    def cells(step: int, left: bool) -> Column:
+        """The cells with the runs of the bin ``step`` further, as the left or the right side; a run meets itself as the left."""
+        upto = F.sequence(F.lit(0), runs_of(step) - 1)
+        cell = lambda r: F.struct(*((F.col("bin") + (0 if left else step)).alias("lb"), (F.col("run") if left else r).alias("lr"), (F.col("bin") + (step if left else 0)).alias("rb"), (r if left else F.col("run")).alias("rr"), F.lit(left).alias("left")))
+        with_ = F.filter(upto, lambda r: (r >= F.col("run")) if left else (r < F.col("run"))) if step == 0 else upto
+        return F.when(runs_of(step) > 0, F.transform(with_, cell)).otherwise(F.array().cast("array<struct<lb:int,lr:int,rb:int,rr:int,left:boolean>>"))
+
+    here = placed.select("node", "s0", "s1", "n", "n_rows", "root", F.concat(cells(0, True), cells(0, False), cells(1, True), cells(-1, False)).alias("cells"))
+    sets = sets_of(large.select("s0", "s1", "rep_doc")).select("s0", "s1", "tokens")
+    again = F.row_number().over(Window.partitionBy("s0", "s1").orderBy(F.size("tokens")))
+    filled = here.join(sets.withColumn("again", again).where("again = 1"), ["s0", "s1"])
+    sent = filled.select("node", "n", "n_rows", "root", "tokens", F.explode("cells").alias("c")).select("root", "c.lb", "c.lr", "c.rb", "c.rr", "c.left", "node", "n", "n_rows", "tokens")
+    found = sent.groupBy("root", "lb", "lr", "rb", "rr").applyInArrow(_link_counts(percent), "node long, n_linked long")
+    return two.unionByName(found).groupBy("node").agg(F.sum("n_linked").alias("n_linked"))
+
+
 def row_keys(doc_id: Column, text: Column) -> tuple[Column, Column]:
     """128 bits that tell (id, text) pairs apart, nulls included."""
     known = F.concat(doc_id.isNull().cast("string"), text.isNull().cast("string"))
@@ -313,12 +391,16 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         near = F.when(near, _wide_suffix(percent, col("n_a"), col("n_b"), col("wide_a"), col("wide_b"))).otherwise(False)
         return joined.where(near).select("a", "b", "n_a", "n_b", "s0_a", "s1_a", "s0_b", "s1_b")
 
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        """(s0, s1, tokens) of at least the wanted classes (s0, s1, rep_doc); a row that repeats its id comes again."""
+        bloom = spark.sparkContext.broadcast(_bloom(wanted))  # at most 2^MAX_BLOOM bits
+        return rows.mapInArrow(_sets(width, bloom), "doc_id long, s0 long, s1 long, tokens array<long>")
+
     def verified(pairs: DataFrame) -> DataFrame:
         """The links among pairs: sets are sent only of classes in pairs, by signature."""
         ends = pairs.select(F.explode(F.array(*[F.struct(F.col(x).alias("node"), F.col(f"s0_{x}").alias("s0"), F.col(f"s1_{x}").alias("s1")) for x in "ab"])).alias("e"))
         wanted = ends.select("e.*").distinct().join(classes.select("node", "rep_doc"), "node")
-        bloom = spark.sparkContext.broadcast(_bloom(wanted))  # at most 2^MAX_BLOOM bits
-        sets = rows.mapInArrow(_sets(width, bloom), "doc_id long, s0 long, s1 long, tokens array<long>")
+        sets = sets_of(wanted)
         side = lambda x: sets.select(F.col("s0").alias(f"s0_{x}"), F.col("s1").alias(f"s1_{x}"), F.col("tokens").alias(f"t_{x}"))
         common = F.size(F.array_intersect("t_a", "t_b"))
         both = pairs.join(side("b"), ["s0_b", "s1_b"]).join(side("a"), ["s0_a", "s1_a"])
@@ -358,35 +440,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         links = cut(links.union(verified(rest).distinct()))
         roots = components(links)
 
-    if all_links:
-        inside = Window.partitionBy("token", "root")
-        members = (
-            runs.select("token", "node", "n", "pos")
-            .join(roots, "node")
-            .withColumn("cuts", F.ceil(F.count("*").over(inside) / RUN).cast("int"))
-            .join(classes.select("node", "parity"), "node")
-        )
-        mine = members.withColumn("run", F.pmod(F.xxhash64("node"), F.col("cuts")).cast("int"))
-        left = mine.select("token", "root", "run", *[F.col(c).alias(f"l_{c}") for c in ("node", "n", "pos", "parity")])
-        right = members.withColumn("run", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-        right = right.select("token", "root", "run", *[F.col(c).alias(f"r_{c}") for c in ("node", "n", "pos", "parity")])
-        within = (
-            (col("l_node") < col("r_node"))
-            & _may_link(percent, col("l_n"), col("r_n"))
-            & _position(percent, col("l_n"), col("r_n"), col("l_pos"), col("r_pos"))
-            & _suffix(percent, col("l_n"), col("r_n"), col("l_parity"), col("r_parity"))
-        )
-        same = (left["token"] == right["token"]) & (left["root"] == right["root"]) & (left["run"] == right["run"])
-        dense = left.join(right, same & within).select(F.col("l_node").alias("a"), F.col("r_node").alias("b")).distinct()
-        seen = tested.select("a", "b").union(rest.select("a", "b"))
-        dense = cut(filtered(dense.join(seen, ["a", "b"], "left_anti")))
-        if not dense.isEmpty():
-            links = cut(links.union(verified(dense).distinct()))
-
     # links of a document: the copies of its class, and all documents of the classes linked with it
-    sizes = classes.select("node", "n_rows")
-    ends = links.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other")))).alias("e")).select("e.*")
-    degree = ends.join(sizes.toDF("other", "others"), "other").groupBy("node").agg(F.sum("others").alias("n_linked"))
+    if all_links:
+        degree = linked_rows(classes, roots, lambda wanted: sets_of(wanted), percent)
+    else:
+        ends = links.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("other")), F.struct(F.col("b").alias("node"), F.col("a").alias("other")))).alias("e")).select("e.*")
+        degree = ends.join(classes.select(F.col("node").alias("other"), F.col("n_rows").alias("others")), "other").groupBy("node").agg(F.sum("others").alias("n_linked"))
     placed = classes.select("s0", "s1", "node", "rep_doc", "n_rows").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     placed = placed.join(placed.groupBy("root").agg(F.min("rep_doc").alias("component_id")), "root").join(degree, "node", "left")
     n_links = F.col("n_rows") - 1 + F.coalesce("n_linked", F.lit(0).cast("long"))
