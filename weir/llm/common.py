@@ -63,36 +63,44 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def sums_at(data: np.ndarray, table_: np.ndarray | None, positions: np.ndarray, base: int | None = None) -> np.ndarray:
-    """Sums of ``table_[data[:p]]`` (of ``data[:p]`` without a table) for sorted positions p, step by step.
+def sums_at(data: np.ndarray, table_: np.ndarray | None, *positions: np.ndarray, base: int | None = None) -> list[np.ndarray]:
+    """Sums of ``table_[data[:p]]`` (of ``data[:p]`` without a table) for the p of some sorted arrays, step by step.
 
     With a ``base`` the i-th value counts ``base**i`` times, modulo 2^64.
     """
     kind = np.int64 if base is None else np.uint64
-    out = np.zeros(len(positions), kind)
-    carry, scale = kind(0), np.uint64(1)
+    out = [np.zeros(len(p), kind) for p in positions]
+    local = np.zeros(min(STEP, len(data)) + 1, kind)
+    carry, scale, step = kind(0), 1, 0 if base is None else pow(base, STEP, 1 << 64)
     for a in range(0, len(data), STEP):
         part = data[a : a + STEP]
+        n = len(part)
         part = part if table_ is None else table_[part]
-        if base is None:
-            local = np.cumsum(part, dtype=kind)
-        else:
-            local = np.cumsum(part * POWERS.upto(len(part)), dtype=kind) * scale
-            scale = scale * np.uint64(pow(base, STEP, 1 << 64))
-        lo, hi = np.searchsorted(positions, (a, a + len(part)), "right")
-        out[lo:hi] = carry + local[positions[lo:hi] - a - 1]
-        carry = carry + local[-1]
+        if base is not None:
+            part = part * POWERS.upto(n)
+        np.cumsum(part, dtype=kind, out=local[1 : n + 1])
+        if scale != 1:
+            local[1 : n + 1] *= np.uint64(scale)
+        for own, p in zip(out, positions, strict=True):
+            lo, hi = np.searchsorted(p, (a, a + n), "right") if len(data) > STEP else (0, len(p))
+            own[lo:hi] = local[p[lo:hi] - a] + carry
+        carry = kind((int(carry) + int(local[n])) % (1 << 64)) if base is not None else carry + local[n]
+        scale = scale * step % (1 << 64)
     return out
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table_: np.ndarray | None = None) -> np.ndarray:
     """A 64-bit hash of every ``data[start:end]`` (by its values in ``table_``); starts and ends are sorted."""
-    with np.errstate(over="ignore"):
-        sums = sums_at(data, table_, ends, _BASE) - sums_at(data, table_, starts, _BASE)
-    far = starts // STEP
-    steps = np.cumprod(np.full(int(far.max()) + 1 if len(far) else 1, pow(_BASE_INV, STEP, 1 << 64), np.uint64)) * np.uint64(pow(_BASE, STEP, 1 << 64))
-    inverse = POWERS_INV.upto(min(STEP, len(data) + 1))[starts - far * STEP] * steps[far]
-    return mix64(sums * inverse + (ends - starts).astype(np.uint64) * np.uint64(_BASE))
+    to_end, to_start = sums_at(data, table_, ends, starts, base=_BASE)
+    inverse = POWERS_INV.upto(min(STEP, len(data) + 1))
+    if len(data) < STEP:
+        inverse = inverse[starts]
+    else:
+        far = starts // STEP
+        steps = np.full(int(far.max()) + 1 if len(far) else 1, pow(_BASE_INV, STEP, 1 << 64), np.uint64)
+        steps[0] = 1
+        inverse = inverse[starts - far * STEP] * np.cumprod(steps, dtype=np.uint64)[far]
+    return mix64((to_end - to_start) * inverse + (ends - starts).astype(np.uint64) * np.uint64(_BASE))
 
 
 class Block:
@@ -126,7 +134,7 @@ class Block:
 
     def per_text(self, table_: np.ndarray) -> np.ndarray:
         """The sum of ``table_`` over the bytes of each text."""
-        return np.diff(sums_at(self.data, table_, self.offsets))
+        return np.diff(sums_at(self.data, table_, self.offsets)[0])
 
 
 def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[Block]:

@@ -89,8 +89,8 @@ def block_stats(block: Block) -> dict[str, object]:
     text_of = np.repeat(np.arange(n), counts)
     exact = span_hashes(data, starts, ends, BYTE_VALUES)
     folded = span_hashes(data, starts, ends, BYTE_VALUES_LOWER)
-    sizes = sums_at(data, _FIRST_BYTES, ends) - sums_at(data, _FIRST_BYTES, starts)
-    word_sums = np.concatenate(([0], np.cumsum(sizes)))
+    to_end, to_start = sums_at(data, _FIRST_BYTES, ends, starts)
+    word_sums = np.concatenate(([0], np.cumsum(to_end - to_start)))
     # lines: cut at every line feed and at the ends of the texts
     feeds = np.flatnonzero(data == 10)
     begin = np.sort(np.concatenate((block.offsets[:-1], feeds + 1)))
