@@ -107,6 +107,22 @@ def test_hashes_do_not_depend_on_the_steps(monkeypatch):
             assert [x.tolist() for x in common.shingle_sets(b, 3)] == sets, step
 
 
+def test_texts_of_several_steps():
+    """Texts longer than a step, at the step the operators use, against plain code."""
+    import pyarrow as pa
+
+    from weir.llm import common
+
+    text = "\n".join(f"line {k} é 日 # of some words {k % 97}" for k in range(20_000))
+    assert len(text.encode()) > 2 * common.STEP
+    (block,) = common.blocks(pa.array([text]))
+    s = quality.block_stats(block)
+    got = tuple(int(s[k][0]) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"))
+    assert got == base_stats(text)
+    w = words(text)
+    assert len(common.shingle_sets(block, 3)[0]) == len(set(zip(w, w[1:], w[2:], strict=False)))
+
+
 def test_repeated_rows_are_one_document_of_a_host(spark):
     body = " ".join(f"w{k}" for k in range(60))
     rows = [(1, f"{body} a\nshared line", "en", "h")] * 9 + [(None, f"{body} b\nshared line", "en", "h")] * 3 + [(None, f"{body} {k}\nother line", "en", "h") for k in range(4)] + [(2, f"{body} c\nother line", "en", None)]

@@ -79,7 +79,7 @@ def sums_at(data: np.ndarray, table_: np.ndarray | None, *positions: np.ndarray,
         if base is not None:
             part = part * POWERS.upto(n)
         np.cumsum(part, dtype=kind, out=local[1 : n + 1])
-        if scale != 1:
+        if base is not None and scale != 1:
             local[1 : n + 1] *= np.uint64(scale)
         for own, p in zip(out, positions, strict=True):
             lo, hi = np.searchsorted(p, (a, a + n), "right") if len(data) > STEP else (0, len(p))
