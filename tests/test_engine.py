@@ -7,6 +7,7 @@ from reference_eval import truth
 from weir import queries as Q
 from weir.errors import AggregateUpdateRequiresOldRow, MissingImage, TruncateRequiresReset, UnknownTableId, WalParseError
 from weir.model import Catalog, EventBuilder, TableDef, event_schema
+from weir.operators import aggregate as A
 from weir.operators.aggregate import aggregate_deltas, epochs, running_totals
 from weir.operators.dispatch import affected, dispatch, notifications
 from weir.operators.registry import Registry, Request
@@ -178,6 +179,34 @@ def test_strict_errors(spark):
     assert dispatch(broken, r, 1).count() == 0
 
 
+def test_running_totals_of_many_events(spark):
+    """Spans of unequal sizes, gaps, subscriptions with few events: as plain running sums."""
+    rnd = random.Random(5)
+    rows = [(seq, sub, 1, "avg", rnd.randrange(-2, 3), float(rnd.randrange(9))) for sub in (1, 2, 3) for seq in sorted(rnd.sample(range(10_000), (700, 3, 90)[sub - 1]))]
+    want, totals = {}, {}
+    for seq, sub, _, _, c, x in rows:
+        totals[sub] = (totals.get(sub, (0, 0.0))[0] + c, totals.get(sub, (0, 0.0))[1] + x)
+        want[seq, sub] = totals[sub]
+    df = spark.createDataFrame(rows, A.DELTAS)
+    for spans in (1, 7, 64):
+        assert {(r["seq"], r["subscription_id"]): (r["count_total"], r["sum_total"]) for r in running_totals(df, spans=spans).collect()} == want
+    assert running_totals(df.limit(0)).count() == 0
+
+
+def test_ids_of_other_types(spark, tmp_path):
+    r = Registry(Catalog([PARCELS]), consumer_type="string", session_type="string")
+    r.register(Request("ann", "SELECT * FROM parcels WHERE weight > 1", session_id="s-1"))
+    r.register(Request("bob", "SELECT COUNT(*) FROM parcels"))
+    events = frame(spark, [EventBuilder(PARCELS, 1).insert().new(row(1, 2.0, 1.0, "x")).build()])
+    assert [tuple(x) for x in dispatch(events, r, 1).collect()] == [(1, "ann", "inserted")]
+    assert [x["consumer_id"] for x in aggregate_deltas(events, r, 1).collect()] == ["bob"]
+    store = Store(spark, (tmp_path / "s").as_uri())
+    store.save(r, 1)
+    back = store.load(Catalog([PARCELS]))
+    assert {(b.consumer_id, b.session_id) for b in back.bindings.values()} == {("ann", "s-1"), ("bob", None)}
+    assert [tuple(x) for x in dispatch(events, back, 1).collect()] == [(1, "ann", "inserted")] and back.unregister_session("s-1").bindings == 1
+
+
 def test_epochs(spark):
     events = [EventBuilder(PARCELS, n).truncate().build() if n in (3, 6) else EventBuilder(PARCELS, n).insert().new(row(n, 1.0, 1.0, "x")).build() for n in range(1, 8)]
     assert {r["seq"]: r["epoch"] for r in epochs(frame(spark, events)).collect()} == {1: 0, 2: 0, 3: 1, 4: 1, 5: 1, 6: 2, 7: 2}

@@ -85,9 +85,9 @@ def aggregate_deltas(events: DataFrame, registry: Registry, table_id: int, stric
         found = F.filter(F.array(*[one(p) for p in singles[k : k + FILTER_RUN]]), lambda x: x.isNotNull())
         parts.append(images.select("seq", F.explode(found).alias("h")).select("seq", "h.predicate_id", "h.c", "h.s"))
     if not parts:
-        return spark.createDataFrame([], DELTAS)
+        return spark.createDataFrame([], DELTAS.replace("consumer_id long", f"consumer_id {registry.consumer_type}"))
     rows = [(b.predicate_id, b.subscription_id, b.consumer_id, AGG_KIND[registry.by_id[b.predicate_id].projection.kind]) for b in registry.bindings.values() if registry.by_id[b.predicate_id].table.table_id == table_id and registry.by_id[b.predicate_id].projection.kind != "rows"]
-    bound = _small(local_frame(spark, rows, "predicate_id long, subscription_id long, consumer_id long, agg_kind string"), len(rows))
+    bound = _small(local_frame(spark, rows, f"predicate_id long, subscription_id long, consumer_id {registry.consumer_type}, agg_kind string"), len(rows))
     sums = reduce(DataFrame.unionByName, parts).groupBy("seq", "predicate_id").agg(F.sum("c").cast("long").alias("count_delta"), F.sum("s").alias("sum_delta"))
     return sums.where("count_delta <> 0 OR sum_delta <> 0").join(bound, "predicate_id").select("seq", "subscription_id", "consumer_id", "agg_kind", "count_delta", "sum_delta")
 
@@ -110,11 +110,11 @@ def bootstrap(rows: DataFrame, registry: Registry, table_id: int) -> DataFrame:
         hit = F.coalesce(predicate(p.where, table, _image("row")), F.lit(False))
         sums += [F.coalesce(F.sum(F.when(hit, count)), F.lit(0)).cast("long").alias(f"c{p.predicate_id}"), F.coalesce(F.sum(F.when(hit, total)), F.lit(0.0)).alias(f"s{p.predicate_id}")]
     if not predicates:
-        return spark.createDataFrame([], "subscription_id long, consumer_id long, agg_kind string, count_total long, sum_total double")
+        return spark.createDataFrame([], f"subscription_id long, consumer_id {registry.consumer_type}, agg_kind string, count_total long, sum_total double")
     one = image.agg(*sums)
     parts = F.array(*[F.struct(F.lit(p.predicate_id).cast("long").alias("predicate_id"), F.col(f"c{p.predicate_id}").alias("count_total"), F.col(f"s{p.predicate_id}").alias("sum_total")) for p in predicates])
     rows_ = [(b.predicate_id, b.subscription_id, b.consumer_id, AGG_KIND[registry.by_id[b.predicate_id].projection.kind]) for b in registry.bindings.values() if b.predicate_id in {p.predicate_id for p in predicates}]
-    bound = local_frame(spark, rows_, "predicate_id long, subscription_id long, consumer_id long, agg_kind string")
+    bound = local_frame(spark, rows_, f"predicate_id long, subscription_id long, consumer_id {registry.consumer_type}, agg_kind string")
     return one.select(F.explode(parts).alias("t")).select("t.*").join(_small(bound, len(rows_)), "predicate_id").select("subscription_id", "consumer_id", "agg_kind", "count_total", "sum_total")
 
 
@@ -127,10 +127,22 @@ def epochs(events: DataFrame) -> DataFrame:
     return events.join(spans, inside, "left").select(*events.columns, F.coalesce("epoch", F.lit(0)).cast("long").alias("epoch"))
 
 
-def running_totals(deltas: DataFrame, start: DataFrame | None = None) -> DataFrame:
-    """Deltas with totals up to each event, from bootstrap totals if given; avg is their quotient."""
-    w = Window.partitionBy("subscription_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    out = deltas.select("*", F.sum("count_delta").over(w).alias("count_total"), F.sum("sum_delta").over(w).alias("sum_total"))
+def running_totals(deltas: DataFrame, start: DataFrame | None = None, spans: int = 64) -> DataFrame:
+    """Deltas with totals up to each event, from bootstrap totals if given; avg is their quotient.
+
+    A subscription's events are cut into ``spans`` by quantiles of seq; totals
+    run within each span, from what the spans before it add up to, so no task
+    orders all events of a subscription.
+    """
+    cuts = sorted(set(deltas.approxQuantile("seq", [k / spans for k in range(1, spans)], 0.002) if spans > 1 else []))
+    span = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<double>"), lambda c: c < F.col("seq").cast("double")))
+    rows = deltas.withColumn("_span", span)
+    before = Window.partitionBy("_of").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    sums = rows.groupBy(F.col("subscription_id").alias("_of"), F.col("_span").alias("_at")).agg(F.sum("count_delta").alias("_c"), F.sum("sum_delta").alias("_s"))
+    sums = sums.select("_of", "_at", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_c"), F.coalesce(F.sum("_s").over(before), F.lit(0.0)).alias("_s"))
+    w = Window.partitionBy("subscription_id", "_span").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    out = rows.join(sums, (F.col("subscription_id") == F.col("_of")) & (F.col("_span") == F.col("_at")))
+    out = out.select(*deltas.columns, (F.sum("count_delta").over(w) + F.col("_c")).alias("count_total"), (F.sum("sum_delta").over(w) + F.col("_s")).alias("sum_total"))
     if start is not None:
         base = start.select("subscription_id", F.col("count_total").alias("c0"), F.col("sum_total").alias("s0"))
         out = out.join(base, "subscription_id", "left").withColumn("count_total", F.col("count_total") + F.coalesce("c0", F.lit(0))).withColumn("sum_total", F.col("sum_total") + F.coalesce("s0", F.lit(0.0))).drop("c0", "s0")

@@ -314,7 +314,7 @@ def dispatch(events: DataFrame, registry: Registry, table_id: int, strict: bool
     """(seq, consumer_id, change): each consumer at most once per change of an event."""
     found = subscription_matches(events, registry, table_id, strict)
     rows = sorted({(b.predicate_id, b.consumer_id) for b in registry.bindings.values() if registry.by_id[b.predicate_id].table.table_id == table_id})
-    bound = local_frame(events.sparkSession, rows, "predicate_id long, consumer_id long")
+    bound = local_frame(events.sparkSession, rows, f"predicate_id long, consumer_id {registry.consumer_type}")
     return found.join(_small(bound, len(rows)), "predicate_id").select("seq", "consumer_id", "change").distinct()
 
 

@@ -25,9 +25,9 @@ SUM_KINDS = ("sum", "avg")
 class Request:
     """One standing query of a consumer; without ``session_id`` it is durable."""
 
-    consumer_id: int
+    consumer_id: int | str
     sql: str
-    session_id: int | None = None
+    session_id: int | str | None = None
     updated_at_unix_ms: int = 0
 
 
@@ -67,8 +67,8 @@ class Predicate:
 class Binding:
     subscription_id: int
     predicate_id: int
-    consumer_id: int
-    session_id: int | None
+    consumer_id: int | str
+    session_id: int | str | None
     updated_at_unix_ms: int
 
 
@@ -76,6 +76,9 @@ class Binding:
 class Registry:
     catalog: Catalog
     dialect: str = "postgres"
+    #: Spark types of the ids that consumers and sessions bring; subscriptions and predicates are numbered here.
+    consumer_type: str = "bigint"
+    session_type: str = "bigint"
     on_register: list = field(default_factory=list)  # called with each table whose registrations changed
 
     def __post_init__(self) -> None:
@@ -151,11 +154,11 @@ class Registry:
     def unregister(self, subscription_id: int) -> bool:
         return bool(self._remove([subscription_id]).bindings)
 
-    def unregister_session(self, session_id: int) -> Removed:
+    def unregister_session(self, session_id: int | str) -> Removed:
         """All bindings of a session; durable ones stay."""
         return self._remove([s for s, b in self.bindings.items() if b.session_id == session_id and session_id is not None])
 
-    def unregister_query(self, consumer_id: int, sql: str) -> Removed:
+    def unregister_query(self, consumer_id: int | str, sql: str) -> Removed:
         """A consumer's bindings of one query, in any scope."""
         table, where, projection = self.compile(sql)
         found = self.by_hash.get(predicate_hash(table, where, projection))
@@ -195,4 +198,4 @@ class Registry:
 
     def subscriptions(self, spark: SparkSession) -> DataFrame:
         rows = [(b.subscription_id, b.predicate_id, b.consumer_id, b.session_id, b.updated_at_unix_ms) for b in self.bindings.values()]
-        return spark.createDataFrame(rows, "subscription_id long, predicate_id long, consumer_id long, session_id long, updated_at_unix_ms long")
+        return spark.createDataFrame(rows, f"subscription_id long, predicate_id long, consumer_id {self.consumer_type}, session_id {self.session_type}, updated_at_unix_ms long")

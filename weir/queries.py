@@ -1032,15 +1032,13 @@ def s_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _store(spark: SparkSession):  # noqa: ANN202
-    import tempfile
+    """A store in a new folder that executors share: below the checkpoint folder, or the warehouse where that is unset."""
+    import uuid
 
     from weir.store import Store
 
-    base = spark.conf.get("spark.checkpoint.dir", None) or ""
-    base = base.removeprefix("file://") if base.startswith(("file://", "/")) else None
-    return Store(spark, tempfile.mkdtemp(prefix="registry_", dir=base if base else None))
-
-
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    return Store(spark, f"{base.rstrip('/')}/registry_{uuid.uuid4().hex}")
 
 
 def _shards(spark: SparkSession, sf_dir: str) -> list[tuple[DataFrame, DataFrame]]:
@@ -1113,10 +1111,9 @@ def x_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     import json
 
     store, r, m = _saved(spark)
-    path = store.path / f"table_{ORDERS.table_id}" / "manifest.json"
     rows = []
     for field in ("version", "table_id", "schema_fingerprint", "bindings", "none"):
-        path.write_text(json.dumps(m | ({} if field == "none" else {field: 99})))
+        store.folder.write(json.dumps(m | ({} if field == "none" else {field: 99})), f"table_{ORDERS.table_id}", "manifest.json")
         try:
             store.load(r.catalog)
             rows.append((field, "ok"))
@@ -1131,21 +1128,19 @@ def x_rot(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weir.store import Config, Store
 
     r, store = _registered(spark, sf_dir)[0], _store(spark)
-    small = Store(spark, str(store.path), Config(str(store.path), rotation_threshold=60_000))
+    small = Store(spark, store.folder.path, Config(store.folder.path, rotation_threshold=60_000))
     return spark.createDataFrame([(store.should_rotate(r, ORDERS.table_id), small.should_rotate(r, ORDERS.table_id))], "at_default boolean, at_small boolean")
 
 
 @add("x_dur", "SELECT * FROM (VALUES ('required', 'storage', CAST(0 AS BIGINT)), ('best_effort', 'ok', CAST(1 AS BIGINT))) AS t(durability, code, subscriptions)")
 def x_dur(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A snapshot that can't be written undoes the registration, or is passed over."""
-    import tempfile
-
     from weir.errors import StorageError
     from weir.store import Config, Store
 
     rows = []
     for mode in ("required", "best_effort"):
-        store, r = Store(spark, tempfile.gettempdir(), Config("x", rotation_threshold=1, durability=mode)), registry([])
+        store, r = Store(spark, _store(spark).folder.path, Config("x", rotation_threshold=1, durability=mode)), registry([])
 
         def fail(*_: object) -> dict:
             raise StorageError("no space")
@@ -1235,12 +1230,12 @@ def x_notif(spark: SparkSession, sf_dir: str) -> DataFrame:
 def t_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weir.streaming.runner import dispatch_stream
 
-    base = _store(spark).path
-    inserts(spark, sf_dir).write.parquet(str(base / "in"))
-    stream = spark.readStream.schema(event_schema(ORDERS)).parquet(str(base / "in"))
-    q = dispatch_stream(stream, registry(), ORDERS.table_id, lambda df, n: df.write.mode("append").parquet(str(base / "out")), str(base / "ckpt"))
+    base = _store(spark).folder
+    inserts(spark, sf_dir).write.parquet(base.of("in"))
+    stream = spark.readStream.schema(event_schema(ORDERS)).parquet(base.of("in"))
+    q = dispatch_stream(stream, registry(), ORDERS.table_id, lambda df, n: df.write.mode("append").parquet(base.of("out")), base.of("ckpt"))
     q.awaitTermination()
-    return spark.read.parquet(str(base / "out"))
+    return spark.read.parquet(base.of("out"))
 
 
 @add("t_messages", _changes("updates"))
@@ -1249,12 +1244,12 @@ def t_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weir.sources.json_formats import debezium
     from weir.streaming.runner import message_stream
 
-    base = _store(spark).path
-    dbz_messages(spark, sf_dir).write.parquet(str(base / "in"))
-    stream = spark.readStream.schema("msg_id long, value string").parquet(str(base / "in"))
-    q = message_stream(stream, debezium, registry(), ORDERS, lambda df, n: df.write.mode("append").parquet(str(base / "out")), str(base / "ckpt"))
+    base = _store(spark).folder
+    dbz_messages(spark, sf_dir).write.parquet(base.of("in"))
+    stream = spark.readStream.schema("msg_id long, value string").parquet(base.of("in"))
+    q = message_stream(stream, debezium, registry(), ORDERS, lambda df, n: df.write.mode("append").parquet(base.of("out")), base.of("ckpt"))
     q.awaitTermination()
-    return spark.read.parquet(str(base / "out")).select(message_of().alias("seq"), "consumer_id", "change")
+    return spark.read.parquet(base.of("out")).select(message_of().alias("seq"), "consumer_id", "change")
 
 
 @add("t_totals", "SELECT CAST(count(*) AS BIGINT) AS count_total, round(sum(value), 4) AS sum_total FROM events")
@@ -1264,11 +1259,11 @@ def t_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     r = Registry(Catalog([EVENTS]))
     r.register(Request(1, "SELECT AVG(value) FROM clicks"))
-    base = _store(spark).path
+    base = _store(spark).folder
     d = A.aggregate_deltas(events_from_snapshot(_table(spark, sf_dir, "events"), EVENTS, "insert", "event_id"), r, EVENTS.table_id)
-    d.write.parquet(str(base / "in"))
-    stream = spark.readStream.schema(A.DELTAS).parquet(str(base / "in"))
+    d.write.parquet(base.of("in"))
+    stream = spark.readStream.schema(A.DELTAS).parquet(base.of("in"))
     totals = running_totals_stream(stream)
-    q = totals.writeStream.outputMode("update").foreachBatch(lambda df, n: df.write.mode("append").parquet(str(base / "out"))).option("checkpointLocation", str(base / "ckpt")).trigger(availableNow=True).start()
+    q = totals.writeStream.outputMode("update").foreachBatch(lambda df, n: df.write.mode("append").parquet(base.of("out"))).option("checkpointLocation", base.of("ckpt")).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.parquet(str(base / "out")).agg(F.max("count_total").alias("count_total"), F.round(F.max(F.struct("count_total", "sum_total"))["sum_total"], 4).alias("sum_total"))
+    return spark.read.parquet(base.of("out")).agg(F.max("count_total").alias("count_total"), F.round(F.max(F.struct("count_total", "sum_total"))["sum_total"], 4).alias("sum_total"))

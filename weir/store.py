@@ -1,14 +1,14 @@
 """Registry snapshots as Parquet with a manifest, and their background merge.
 
 A snapshot of one table is a folder ``table_<id>/v<version>`` with its
-predicates and bindings; the manifest that names the version is written last
-and swapped in by rename, so a reader sees the old or the new snapshot whole.
+predicates and bindings; the manifest that names the version is written last, to
+the same file system, and swapped in by rename, so a reader sees the old or the
+new snapshot whole.
 """
 
 from __future__ import annotations
 
 import json
-import os
 import tomllib
 import uuid
 from concurrent.futures import Future, ThreadPoolExecutor
@@ -16,10 +16,13 @@ from dataclasses import asdict, dataclass, field
 from pathlib import Path
 from time import perf_counter
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weir.errors import ConfigError, MergeError, StorageError
+from weir.files import Folder
 from weir.model import Catalog, TableDef
 from weir.operators.registry import Binding, Predicate, Registry
 from weir.plans.compile import canonical, check, predicate_hash, text
@@ -83,14 +86,15 @@ def frames(registry: Registry, spark: SparkSession, table_id: int) -> tuple[Data
     ids = {p.predicate_id: p.hash for p in own}
     predicates = [(p.predicate_id, p.hash, p.normalized, p.projection.kind, p.projection.column, p.updated_at_unix_ms) for p in own]
     bindings = [(b.subscription_id, b.predicate_id, ids[b.predicate_id], b.consumer_id, b.session_id, b.updated_at_unix_ms) for b in registry.bindings.values() if b.predicate_id in ids]
-    return spark.createDataFrame(predicates, PREDICATES), spark.createDataFrame(bindings, BINDINGS)
+    types = BINDINGS.replace("consumer_id long", f"consumer_id {registry.consumer_type}").replace("session_id long", f"session_id {registry.session_type}")
+    return spark.createDataFrame(predicates, PREDICATES), spark.createDataFrame(bindings, types)
 
 
 class Store:
-    """Snapshots below a local or mounted folder."""
+    """Snapshots below a folder of any file system that Spark reads."""
 
     def __init__(self, spark: SparkSession, path: str, config: Config | None = None) -> None:
-        self.spark, self.path = spark, Path(path)
+        self.spark, self.folder = spark, Folder(spark, path)
         self.config = config or Config(storage_path=path)
         self.jobs: dict[str, tuple[int, Future]] = {}
         self.pool = ThreadPoolExecutor(4)
@@ -108,21 +112,16 @@ class Store:
         return self._write(table, predicates, bindings)
 
     def _write(self, table: TableDef, predicates: DataFrame, bindings: DataFrame) -> dict:
-        folder = self.path / f"table_{table.table_id}"
-        name = f"v{uuid.uuid4().hex}"
+        folder, name = f"table_{table.table_id}", f"v{uuid.uuid4().hex}"
+        manifest = {"version": VERSION, "table_id": table.table_id, "schema_fingerprint": table.fingerprint(), "data": name}
         try:
-            predicates.write.parquet(str(folder / name / "predicates"))
-            bindings.write.parquet(str(folder / name / "bindings"))
-            manifest = {"version": VERSION, "table_id": table.table_id, "schema_fingerprint": table.fingerprint(), "data": name}
-            manifest |= {k: self.spark.read.schema(s).parquet(str(folder / name / k)).count() for k, s in (("predicates", PREDICATES), ("bindings", BINDINGS))}
-            tmp = folder / f"manifest.{uuid.uuid4().hex}.tmp"
-            with tmp.open("w") as out:
-                json.dump(manifest, out)
-                out.flush()
-                os.fsync(out.fileno())
-            os.replace(tmp, folder / "manifest.json")
-        except OSError as e:
+            for kind, rows in (("predicates", predicates), ("bindings", bindings)):
+                path = self.folder.of(folder, name, kind)
+                rows.write.parquet(path)
+                manifest[kind] = self.spark.read.parquet(path).count()
+        except (OSError, Py4JJavaError, PySparkException) as e:
             raise StorageError(str(e)) from e
+        self.folder.write(json.dumps(manifest), folder, "manifest.json")
         return manifest
 
     def register(self, registry: Registry, request) -> object:  # noqa: ANN001
@@ -142,13 +141,13 @@ class Store:
     # -- read
     def manifest(self, table: TableDef) -> dict:
         """The validated manifest of a table."""
-        path = self.path / f"table_{table.table_id}" / "manifest.json"
+        place = (f"table_{table.table_id}", "manifest.json")
+        if not self.folder.exists(*place):
+            raise StorageError(f"table {table.table_id} has no snapshot")
         try:
-            found = json.loads(path.read_text())
-        except FileNotFoundError:
-            raise StorageError(f"table {table.table_id} has no snapshot") from None
+            found = json.loads(self.folder.read(*place))
         except ValueError as e:
-            raise StorageError(f"{path}: {e}") from None
+            raise StorageError(f"{self.folder.of(*place)}: {e}") from None
         if found.get("version") != VERSION:
             raise StorageError(f"snapshot version {found.get('version')}")
         if found.get("table_id") != table.table_id:
@@ -159,25 +158,26 @@ class Store:
 
     def read(self, table: TableDef) -> tuple[DataFrame, DataFrame]:
         found = self.manifest(table)
-        folder = self.path / f"table_{table.table_id}" / found["data"]
-        out = [self.spark.read.schema(s).parquet(str(folder / k)) for k, s in (("predicates", PREDICATES), ("bindings", BINDINGS))]
-        for k, df in zip(("predicates", "bindings"), out, strict=True):
+        paths = [self.folder.of(f"table_{table.table_id}", found["data"], k) for k in ("predicates", "bindings")]
+        out = [self.spark.read.parquet(path) for path in paths]
+        for k, path, df in zip(("predicates", "bindings"), paths, out, strict=True):
             if df.count() != found[k]:
-                raise StorageError(f"{folder / k} has not the {found[k]} rows of its manifest")
+                raise StorageError(f"{path} has not the {found[k]} rows of its manifest")
         return out[0], out[1]
 
     def load(self, catalog: Catalog, dialect: str = "postgres") -> Registry:
         """A registry with all stored tables; the next ids follow the largest stored ones.  Other folders are ignored."""
         registry = Registry(catalog, dialect)
-        for folder in sorted(self.path.glob("table_*")) if self.path.exists() else []:
-            number = folder.name.removeprefix("table_")
-            if number.isdigit() and (folder / "manifest.json").exists():
+        for name in self.folder.folders():
+            number = name.removeprefix("table_")
+            if name.startswith("table_") and number.isdigit() and self.folder.exists(name, "manifest.json"):
                 table = catalog.by_id(int(number))
                 self._fill(registry, table, *self.read(table))
         return registry
 
     def _fill(self, registry: Registry, table: TableDef, predicates: DataFrame, bindings: DataFrame) -> None:
         moved = {}
+        registry.consumer_type, registry.session_type = (dict(bindings.dtypes)[c] for c in ("consumer_id", "session_id"))
         for r in predicates.orderBy("predicate_id").collect():
             where = canonical(parse_predicate(r["normalized"])) if r["normalized"] else None
             check(where, table)
