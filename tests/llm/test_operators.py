@@ -926,3 +926,50 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
     empty = docs.limit(0)
     for _, stage in cp.STAGES:
         assert stage(spark, empty, str(tmp_path)).count() == 0
+
+
+def test_pipeline_against_plain_code(spark, tmp_path, vocabulary):
+    """Every stage on what its predecessor kept, against brute force; then the whole run against the stages."""
+    import corpus_pipeline as cp
+
+    rnd = random.Random(21)
+    word = lambda: "".join(rnd.choice("etaoinshrdlu") for _ in range(rnd.randrange(2, 8)))
+    rows = [(k, " ".join(word() for _ in range(rnd.randrange(30, 80))), "en", f"s{k % 3}") for k in range(70)]
+    rows += [(100 + k, rows[k][1] + " " + word(), "en", "s1") for k in range(12)]  # near copies
+    rows += [(5, rows[6][1], "en", "s0"), (5, rows[5][1], "en", "s2"), (None, rows[7][1], None, "s0"), (None, " ".join(word() for _ in range(40)), None, None)]
+    rows += [(200 + k, f"{rows[k][1][:150]} write to {word()}{k}@example.com or 10.0.0.{k} {word()} {word()}", "en", "s2") for k in range(8)]
+    rows += [(300, None, None, None), (301, "12 34", None, "s1"), (302, "", "en", "s1")]
+    frame(spark, rows).drop("extra").write.parquet(str(tmp_path / "documents.parquet"))
+    docs, kept = spark.read.parquet(str(tmp_path / "documents.parquet")), [tuple(r[:2]) for r in rows]
+    after = {}
+    for name, stage in cp.STAGES:
+        stage(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / name))
+        docs = after[name] = spark.read.parquet(str(tmp_path / name))
+    pairs = lambda name: Counter((r["doc_id"], r["text"]) for r in after[name].collect())
+    kept = [(i, t) for i, t in kept if any(c.isalpha() for c in t or "")]
+    assert pairs("language") == Counter(kept) and after["language"].where("lang IS NULL").count() == 0
+    part = defaultdict(list)
+    for k, (_, root) in brute_components([(k, t) for k, (_, t) in enumerate(kept)], 5, 80).items():
+        part[root].append(kept[k])
+    got = pairs("near_duplicates")
+    low = lambda members: min(members, key=lambda m: (m[0] is None, m[0] or 0))[0]
+    assert sum(got.values()) == len(part) and all(sum(got[m] for m in set(members) if m[0] == low(members)) == 1 for members in part.values())
+    clean = Counter()
+    for (i, t), n in got.items():
+        for kind, a, b in sorted((x.split(":") for x in base_spans(t).split(",") if x), key=lambda x: -int(x[1])):
+            t = t[: int(a)] + f"[{kind.upper()}]" + t[int(b) :]
+        clean[(i, t)] += n
+    assert pairs("personal_data") == clean and any("[EMAIL]" in t for _, t in clean) and after["personal_data"].where("n_chars <> length(text)").count() == 0
+    sizes, taken = defaultdict(int), defaultdict(int)
+    for r in after["personal_data"].collect():
+        sizes[r["source"]] += len(words(r["text"]))
+    for r in after["mixture"].collect():
+        taken[r["source"]] += len(words(r["text"]))
+    mixed = pairs("mixture")
+    assert set(mixed) <= set(clean) and max(mixed.values()) <= 3
+    assert all(abs(taken[s] - t) <= 90 for s, t in brute_targets(dict(sizes)).items())
+    keyed = after["mixture"].select("doc_id", "text", F.xxhash64("doc_id").alias("k")).collect()
+    want = Counter((r["doc_id"], tuple(brute_encode(vocabulary, r["text"], r["k"] & (2**64 - 1)))) for r in keyed)
+    ids = lambda df: Counter((r["doc_id"], tuple(r["piece_ids"])) for r in df.collect())
+    assert ids(after["sentencepiece"]) == want
+    assert ids(cp.run(spark, str(tmp_path))) == want
