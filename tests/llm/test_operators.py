@@ -179,6 +179,22 @@ def test_near_duplicates_against_all_pairs(spark, width, percent):
     assert got == brute_components(rows, width, percent)
 
 
+@pytest.mark.parametrize(("percent", "salts", "pivots"), [(90, 64, 1), (60, 2, 2), (100, 64, 1)])
+def test_frequent_ngrams_and_hubs(spark, monkeypatch, percent, salts, pivots):
+    """Few words, so that most n-grams are frequent, few pivots, and a hub with many neighbours; against all pairs."""
+    monkeypatch.setattr(neardup, "HUB_SALTS", salts)
+    monkeypatch.setattr(neardup, "PIVOTS", pivots)
+    rnd = random.Random(percent)
+    hub = [f"h{k}" for k in range(60)]
+    texts = [" ".join([*hub[: 58 + k % 3], f"x{k}"]) for k in range(40)]
+    for _ in range(60):
+        base = [rnd.choice("abc") for _ in range(rnd.randrange(3, 40))]
+        texts += [" ".join(base[k:]) for k in range(rnd.randrange(1, 4))]
+    rows = list(enumerate(texts))
+    found = neardup.near_duplicates(frame(spark, [(i, t, "en", "s") for i, t in rows]).repartition(5), 3, percent).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == brute_components(rows, 3, percent)
+
+
 @pytest.mark.parametrize(("run", "tokens", "slice_"), [(7, 1 << 19, 4096), (neardup.RUN, 300, 16), (neardup.RUN, neardup.RUN_TOKENS, neardup.SLICE)])
 def test_links_of_dense_groups_are_exact(spark, monkeypatch, run, tokens, slice_):
     """Sizes over several bins, repeated rows, components of two, three and many, chains; against all pairs."""

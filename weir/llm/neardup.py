@@ -15,8 +15,9 @@ prefix n-gram not all pairs are made:
 1. each class meets up to ``PIVOTS`` pivots of its n-gram (other pivots for
    every n-gram); the verified links give first components;
 2. what remains are pairs across components.  For each n-gram, the members
-   outside its largest component meet the members of other components, and the
-   filters are part of the join condition.
+   outside its largest component meet the members of other components that have
+   a like size (equal or neighbouring size bins), and the filters are part of
+   the join condition.
 
 A pair inside a component can't change the components, so they are exact after
 two steps.  With ``all_links`` (op2_jaccard) a third counts the links inside:
@@ -66,6 +67,7 @@ RUN = 512
 RUN_TOKENS = 1 << 19
 SLICE = 4096
 JOIN_SALTS = 16
+HUB_SALTS = 64
 MIN_BLOOM, MAX_BLOOM = 26, 29
 
 FACTS = "row_key long, doc_id long, k0 long, k1 long, n int, s0 long, s1 long, parity array<long>, wide array<long>, part int, chunk int, counts binary"
@@ -223,20 +225,31 @@ def _sets(width: int, bloom):  # noqa: ANN001, ANN202
     return run
 
 
+def _with_least(edges: DataFrame) -> DataFrame:
+    """Edges (u, v) with m, the least v of their u.
+
+    The edges of a hub are split by ``HUB_SALTS`` values of v: the least of each
+    is found first, then of these at most ``HUB_SALTS`` rows, and only salts
+    that occur are joined back.
+    """
+    salted = edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(HUB_SALTS)).cast("int")).repartition("u", "salt")
+    low = salted.groupBy("u", "salt").agg(F.min("v").alias("least")).select("u", "salt", F.min("least").over(Window.partitionBy("u")).alias("m"))
+    return salted.join(low, ["u", "salt"]).select("u", "v", "m")
+
+
 def components(links: DataFrame) -> DataFrame:
-    """(node, root) for every node of the links (a, b); the root is the component's smallest node."""
+    """(node, root) for every node of the links (a, b); the root is the component's smallest node.
+
+    Steps end when the edges (u, v), u > v, are stars: every u has one v, and no v is a u.
+    """
     edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    mark = None
     while True:
-        state = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        if tuple(state) == mark:
+        ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up")).union(edges.select("v", F.lit(0)))
+        if ends.groupBy("node").agg(F.sum("up").alias("up"), F.count("*").alias("n")).where("up > 1 OR up = 1 AND n > 1").isEmpty():
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-        mark = tuple(state)
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        large = _with_least(both).where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
+        small = _with_least(large).select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         edges = cut(small.select("e.u", "e.v").where("u <> v").distinct())
 
 
@@ -244,6 +257,11 @@ def _may_link(percent: int, na: Column, nb: Column) -> Column:
     return 100 * F.least(na, nb) >= percent * F.greatest(na, nb)
 
 
+def _size_bin(percent: int, n: Column) -> Column:
+    """Sets that may link are in one bin or in neighbouring ones."""
+    return n if percent >= 100 else F.floor(F.log(n) / F.lit(-math.log(percent / 100) * 1.000001)).cast("int")
+
+
 def _position(percent: int, na: Column, nb: Column, pa_: Column, pb: Column) -> Column:
     most = F.least(pa_, pb) + 1 + F.least(na - pa_ - 1, nb - pb - 1)
     return (100 + percent) * most >= percent * (na + nb)
@@ -316,7 +334,7 @@ def linked_rows(classes: DataFrame, roots: DataFrame, sets_of: Callable[[DataFra
     salted = members.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(JOIN_SALTS)).cast("int"))
     totals = members.groupBy("root").agg(F.count("*").alias("m"), F.sum("n_rows").alias("all_rows"))
     two = salted.join(totals.where("m = 2").select("root", "all_rows", salts), ["root", "salt"]).select("node", (F.col("all_rows") - F.col("n_rows")).alias("n_linked"))
-    large = cut(salted.join(totals.where("m > 2").select("root", salts), ["root", "salt"]).withColumn("bin", F.floor(F.log("n") / F.lit(-math.log(percent / 100) * 1.000001)).cast("int")))
+    large = cut(salted.join(totals.where("m > 2").select("root", salts), ["root", "salt"]).withColumn("bin", _size_bin(percent, F.col("n"))))
     runs = large.groupBy("root", "bin").agg(F.greatest(F.ceil(F.count("*") / RUN), F.ceil(F.sum("n") / RUN_TOKENS)).cast("int").alias("runs"))
     # what a member meets: the runs of its own bin and of the next ones
     near = cut(runs.groupBy("root").agg(F.map_from_entries(F.collect_list(F.struct("bin", "runs"))).alias("by_bin")))
@@ -424,8 +442,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         .select("token", "node", "n", "pos", "root", (F.col("root") == F.col("largest")).alias("main"))
         .join(classes.select("node", "parity"), "node")
     )
-    left = open_.where("NOT main").select("token", *[F.col(c).alias(f"l_{c}") for c in ("node", "n", "pos", "root", "parity")])
-    right = open_.select("token", "main", *[F.col(c).alias(f"r_{c}") for c in ("node", "n", "pos", "root", "parity")])
+    # members meet by n-gram and size bin; those outside the largest component come to the bins beside theirs too
+    size_bin = _size_bin(percent, F.col("n"))
+    left = open_.where("NOT main").select("token", size_bin.alias("bin"), *[F.col(c).alias(f"l_{c}") for c in ("node", "n", "pos", "root", "parity")])
+    left = left.withColumn("bin", F.explode(F.array(*[F.col("bin") + d for d in (-1, 0, 1)])))
+    right = open_.select("token", size_bin.alias("bin"), "main", *[F.col(c).alias(f"r_{c}") for c in ("node", "n", "pos", "root", "parity")])
     col = F.col
     across = (
         (col("l_root") != col("r_root"))
@@ -434,11 +455,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id_col:
         & _position(percent, col("l_n"), col("r_n"), col("l_pos"), col("r_pos"))
         & _suffix(percent, col("l_n"), col("r_n"), col("l_parity"), col("r_parity"))
     )
-    rest = left.join(right, (left["token"] == right["token"]) & across).select(F.least("l_node", "r_node").alias("a"), F.greatest("l_node", "r_node").alias("b"))
+    rest = left.join(right, (left["token"] == right["token"]) & (left["bin"] == right["bin"]) & across).select(F.least("l_node", "r_node").alias("a"), F.greatest("l_node", "r_node").alias("b"))
     rest = cut(filtered(rest.distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")))
     if not rest.isEmpty():
-        links = cut(links.union(verified(rest).distinct()))
-        roots = components(links)
+        found = cut(verified(rest).distinct())
+        links, roots = links.union(found), components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(found))
 
     # links of a document: the copies of its class, and all documents of the classes linked with it
     if all_links:
