@@ -1,4 +1,5 @@
 import random
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
@@ -212,6 +213,21 @@ def test_epochs(spark):
     assert {r["seq"]: r["epoch"] for r in epochs(frame(spark, events)).collect()} == {1: 0, 2: 0, 3: 1, 4: 1, 5: 1, 6: 2, 7: 2}
 
 
+def test_epochs_of_many_truncates(spark):
+    """Truncates as frequent as events, equal and absent places, places that differ beyond a double, several tables; no event is compared with truncates."""
+    rnd = random.Random(13)
+    kinds = ["insert", "truncate", None]
+    rows = [(rnd.choice([None, 10**20, 10**20 + 1, 10**20 + 2, *[rnd.randrange(300) for _ in range(20)]]), rnd.choice([1, 1, 1, 2, 3, None]), rnd.choice(kinds), n) for n in range(900)]
+    df = spark.createDataFrame([(None if s is None else Decimal(s), t, k, n) for s, t, k, n in rows], "seq decimal(38,0), table_id int, kind string, n int")
+    assert not [x for x in plan_of(epochs(df)).splitlines() if "Join" in x and (">=" in x or "NestedLoop" in x)]
+    last = lambda s: (s is None, s or 0)
+    want = {n: sum(k2 == "truncate" and t2 == t is not None and last(s2) <= last(s) for s2, t2, k2, _ in rows) for s, t, _, n in rows}
+    for spans in (1, 7, 64):
+        found = epochs(df, spans)
+        assert {r["n"]: r["epoch"] for r in found.collect()} == want and found.columns == [*df.columns, "epoch"]
+    assert epochs(df.limit(0)).count() == 0
+
+
 MESSAGES = {
     wal2json_v1: '{"change":[{"kind":"update","schema":"public","table":"parcels","columnnames":["parcel_id","weight","distance","depot"],"columntypes":["bigint","double","double","text"],"columnvalues":[1,2.5,null,"x"],"oldkeys":{"keynames":["parcel_id"],"keytypes":["bigint"],"keyvalues":[1]}}]}',
     wal2json_v2: '{"action":"U","schema":"public","table":"parcels","columns":[{"name":"parcel_id","type":"bigint","value":1},{"name":"weight","type":"double","value":2.5},{"name":"distance","type":"double","value":null},{"name":"depot","type":"text","value":"x"}],"identity":[{"name":"parcel_id","type":"bigint","value":1}]}',

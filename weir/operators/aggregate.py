@@ -118,13 +118,26 @@ def bootstrap(rows: DataFrame, registry: Registry, table_id: int) -> DataFrame:
     return one.select(F.explode(parts).alias("t")).select("t.*").join(_small(bound, len(rows_)), "predicate_id").select("subscription_id", "consumer_id", "agg_kind", "count_total", "sum_total")
 
 
-def epochs(events: DataFrame) -> DataFrame:
-    """Events with their epoch: the truncates of the table before them (a TRUNCATE opens the epoch it is in)."""
-    cuts = events.where("kind = 'truncate'").select("table_id", F.col("seq").alias("cut"))
-    upto = Window.partitionBy("table_id").orderBy("cut")
-    spans = cuts.select(F.col("table_id").alias("_table"), "cut", F.row_number().over(upto).alias("epoch"), F.lead("cut").over(upto).alias("next_cut"))
-    inside = (F.col("table_id") == F.col("_table")) & (F.col("seq") >= F.col("cut")) & (F.col("next_cut").isNull() | (F.col("seq") < F.col("next_cut")))
-    return events.join(spans, inside, "left").select(*events.columns, F.coalesce("epoch", F.lit(0)).cast("long").alias("epoch"))
+def _span(events: DataFrame, spans: int) -> Column:
+    """The number of an event's span: events are cut into ``spans`` by quantiles of seq."""
+    cuts = sorted(set(events.approxQuantile("seq", [k / spans for k in range(1, spans)], 0.002) if spans > 1 else []))
+    return F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<double>"), lambda c: c < F.col("seq").cast("double")))
+
+
+def epochs(events: DataFrame, spans: int = 64) -> DataFrame:
+    """Events with their epoch: the truncates of the table before them (a TRUNCATE opens the epoch it is in).
+
+    Truncates are counted within spans of seq, from what the spans before them
+    hold, so no event meets a truncate.  An event without a seq comes after all.
+    """
+    cut = F.when(F.col("kind") == "truncate", 1)
+    rows = events.withColumn("_span", F.when(F.col("seq").isNull(), spans).otherwise(_span(events, spans)))
+    before = Window.partitionBy("_of").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    held = rows.groupBy(F.col("table_id").alias("_of"), F.col("_span").alias("_at")).agg(F.count(cut).alias("_n"))
+    held = held.select("_of", "_at", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n"))
+    upto = Window.partitionBy("table_id", "_span").orderBy("seq").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    out = rows.join(held, (F.col("table_id") == F.col("_of")) & (F.col("_span") == F.col("_at")), "left")
+    return out.select(*events.columns, F.coalesce(F.count(cut).over(upto) + F.col("_n"), F.lit(0)).cast("long").alias("epoch"))
 
 
 def running_totals(deltas: DataFrame, start: DataFrame | None = None, spans: int = 64) -> DataFrame:
@@ -134,9 +147,7 @@ def running_totals(deltas: DataFrame, start: DataFrame | None = None, spans: int
     run within each span, from what the spans before it add up to, so no task
     orders all events of a subscription.
     """
-    cuts = sorted(set(deltas.approxQuantile("seq", [k / spans for k in range(1, spans)], 0.002) if spans > 1 else []))
-    span = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]).cast("array<double>"), lambda c: c < F.col("seq").cast("double")))
-    rows = deltas.withColumn("_span", span)
+    rows = deltas.withColumn("_span", _span(deltas, spans))
     before = Window.partitionBy("_of").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
     sums = rows.groupBy(F.col("subscription_id").alias("_of"), F.col("_span").alias("_at")).agg(F.sum("count_delta").alias("_c"), F.sum("sum_delta").alias("_s"))
     sums = sums.select("_of", "_at", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_c"), F.coalesce(F.sum("_s").over(before), F.lit(0.0)).alias("_s"))
